@@ -1,6 +1,9 @@
 """Queries of this subpackage and their SQL."""
 
+from .chat import OP1_SQL, op1_chat
+from .fingerprints import op4_fingerprints
+from .jaccard import OP3_SQL, op3_jaccard
 from .mixing import OP10_SQL, op10_mixing
 
-QUERIES = {"op10_mixing": op10_mixing}
-ORACLES = {"op10_mixing": OP10_SQL}
+QUERIES = {"op1_chat": op1_chat, "op3_jaccard": op3_jaccard, "op4_fingerprints": op4_fingerprints, "op10_mixing": op10_mixing}
+ORACLES = {"op1_chat": OP1_SQL, "op3_jaccard": OP3_SQL, "op10_mixing": OP10_SQL}
