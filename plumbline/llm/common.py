@@ -49,7 +49,14 @@ class Workspace:
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        # The table replaces the shuffle files behind it.
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, None)
+        self.spark.conf.set(clean, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(clean, before) if before is not None else self.spark.conf.unset(clean)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
