@@ -32,7 +32,7 @@ D = len(FEATURES)
 STEPS = 4
 KEEP = 0.75
 #: 0.75 / P(chi2_7 <= q) with P(chi2_5 <= q) = 0.75: makes the scatter of the nearest three quarters that of a normal sample.
-CONSISTENCY = 1.4128
+CONSISTENCY = 1.4121
 #: Squared distance beyond which a document is rejected: the chi-square quantile of 5 degrees for a chance of 1 in 100,000.
 CUTOFF = 30.856
 #: Groups with fewer documents are judged with the other small groups of their language, then of all languages.
