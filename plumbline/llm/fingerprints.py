@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import partitions, table
 
@@ -41,16 +42,14 @@ def likeness(a: bytes, b: bytes, digest_a: str, digest_b: str) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
     """The given rows with the digest of their canonical text."""
-    schema = docs.schema.add(column, "string") if column not in docs.columns else docs.schema
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != column), T.StructField(column, T.StringType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.array([digest(canonical(t)) for t in batch.column(at).to_pylist()], pa.string())
-            arrays = [own if n == column else batch.column(i) for i, n in enumerate(batch.schema.names)]
-            if column not in batch.schema.names:
-                arrays.append(own)
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+            arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != column]
+            yield pa.RecordBatch.from_arrays([*arrays, own], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 

@@ -12,10 +12,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton, spans
 from .common import Workspace, table
@@ -96,7 +96,8 @@ def automaton_dedup(docs: DataFrame, references: DataFrame, text: str = "text",
         size += len(words)
     sent = docs.sparkSession.sparkContext.broadcast([(s.next, s.link, s.length) for s in shards])
     at = docs.columns.index(text)
-    schema = docs.schema.add("matched", "array<struct<a:long,b:long>>")
+    span = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("matched", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = []
