@@ -209,14 +209,16 @@ def shard(solver: Callable[[], Solver]):
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: int, gram: int, solver: Callable[[], Solver], work: Workspace) -> DataFrame:
-    """(doc_id, text, copy, spans) for every row: whether it is a copy of the text of a smaller id, and [a, b) unit spans to
-    remove (null if none), possibly overlapping.
+    """(doc_id, text, copy, spans, rest) for every row: whether it is a copy of the text of a smaller id, [a, b) unit spans
+    to remove (null if none), possibly overlapping, and the other columns as a struct.
 
     solver: see ``shard``.
     A row without id is compared with nothing.  Rows of one id, with one text or several, don't remove each other.
     """
     h = [F.xxhash64(F.lit(i), F.coalesce("text", F.lit(""))) for i in (1, 2)]
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    rest = F.struct(*others) if others else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("rest"))
     marks = work.write(rows.where("id is not null").select("id", h[0].alias("h1"), h[1].alias("h2")), "marks")
     firsts = marks.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     texts_of = marks.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("id")
@@ -224,7 +226,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: i
     odd = marks.join(firsts, ["h1", "h2"]).where("id > least").select("id", "h1", "h2").distinct().withColumn("copy", F.lit(True))
     odd = work.write(odd.join(several, ["id", "h1", "h2"], "full_outer").select("id", "h1", "h2", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("seq", F.lit(0)).alias("seq")), "odd")
     rows = rows.withColumns({"h1": h[0], "h2": h[1]}).join(broadcast_if_small(odd, 64), ["id", "h1", "h2"], "left")
-    rows = rows.select("id", F.coalesce("seq", F.lit(0)).alias("seq"), "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    rows = rows.select("id", F.coalesce("seq", F.lit(0)).alias("seq"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "rest")
 
     own = rows.where("not copy and id is not null").select("id", "seq", "text")
     anchors = own.mapInArrow(_anchors(kind, length, gram), "anchor long, id long, seq int")
@@ -235,7 +237,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: i
     found = stretches.repartition("anchor").sortWithinPartitions("anchor", "id", "seq").mapInArrow(shard(solver), "id long, seq int, a long, b long")
     found = work.write(found.groupBy("id", "seq").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
     work.drop("shared")
-    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans")
+    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans", "rest")
 
 
 def union(spans) -> list[tuple[int, int]]:

@@ -51,7 +51,7 @@ class WordSolver(Solver):
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, n_words, n_removed, kept) for every row: a word goes if it is in ``length`` consecutive words that also
+    """(doc_id, text, n_words, n_removed, kept, rest) for every row, rest being its other columns: a word goes if it is in ``length`` consecutive words that also
     start in a document with a smaller id; kept: the remaining words, joined by a space (the whole text if none goes).
 
     A null text has no words.  Rows without id, and rows of one id among themselves, remove nothing.
@@ -75,9 +75,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     totals.append(len(words))
                     gone.append(len(words) - len(left))
                     kept.append(b" ".join(left))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "text", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), part.column(4)], ["doc_id", "text", "n_words", "n_removed", "kept", "rest"])
 
-    return found.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept string")
+    counts = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
+    return found.mapInArrow(run, T.StructType([found.schema["doc_id"], found.schema["text"], *counts, found.schema["rest"]]))
 
 
 def automaton_dedup(docs: DataFrame, references: DataFrame, text: str = "text", reference_text: str = "text", length: int = WINDOW) -> DataFrame:
@@ -115,7 +116,7 @@ def automaton_dedup(docs: DataFrame, references: DataFrame, text: str = "text",
 
 
 def op6_substring(spark, sf_dir):
-    done = substring_dedup(table(spark, sf_dir, "documents"))
+    done = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 

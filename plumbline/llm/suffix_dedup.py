@@ -66,7 +66,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     A null text is empty.  Rows without id, and rows of one id among themselves, remove nothing.
     """
     work = Workspace(docs.sparkSession, "suffix")
-    found = repeated_spans(docs, doc_id, text, "bytes", length, gram, lambda: ByteSolver(length), work)
+    found = repeated_spans(docs.select(doc_id, text), doc_id, text, "bytes", length, gram, lambda: ByteSolver(length), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
