@@ -16,19 +16,20 @@ from plumbline.llm.quality import outliers, statistics
 from plumbline.llm.substring import substring_dedup
 from plumbline.llm.token_files import vocabulary_path
 
-_HASH = F.xxhash64(F.lit(9), F.col("text"))
+def _hash():
+    return F.xxhash64(F.lit(9), F.col("text"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, hash of the text) is among gone, a written table."""
     gone = broadcast_if_small(gone.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_gone")).distinct(), 32)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_HASH == F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_hash() == F.col("_gone")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     work = Workspace(spark, "quality-stage")
-    stats = work.write(statistics(docs.select("doc_id", "lang", "source", "text", _HASH.alias("_hash"))).drop("text"), "statistics")
+    stats = work.write(statistics(docs.select("doc_id", "lang", "source", "text", _hash().alias("_hash"))).drop("text"), "statistics")
     judged = outliers(stats, "lang", "source", work)
     return _without(docs, work.write(judged.where("not kept").select("doc_id", "_hash"), "rejected"))
 

@@ -89,16 +89,17 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     rounds grows with the logarithm of the longest chain, no edge list reaches the driver, and a node with very many
     edges is only ever aggregated.  Nodes without an edge are not in the result.
     """
+    state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     now = work.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
+    before = state(now)
     for round_ in range(1, 200):
-        before = now
         large = _star(now, large=True)
         small = _star(large, large=False)
         now = work.write(small.distinct(), f"{name}-{round_}")
-        changed = before.exceptAll(now).limit(1).count() or now.exceptAll(before).limit(1).count()
         work.drop(f"{name}-{round_ - 1}")
-        if not changed:
+        if (after := state(now)) == before:
             break
+        before = after
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -8,7 +8,9 @@ work there is, never what is found.  In a tile the bitmaps (one bit for each has
 size) bound the overlap from above, and what passes is decided by intersecting the sorted arrays.
 
 Only components are asked for, so a tile isn't expanded into all its pairs.  Equal sets are one class from the start.
-First the neighbours by size of every tile are compared; then the pairs whose ends are still in different components.
+First every set of a tile is compared with its neighbour by size and with the tile's hub, the set that shares most of
+its prefix with others (the text that a group of near copies comes from).  Then, in tiles that still hold several
+components, with the hub outside the first hub's component.  Last come all pairs whose ends are still apart.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .textkit import pieces, shingle_sets
 #: Shingles that a task reports as frequent, and that all tasks together put last in the order: a hint, 16 bytes each.
 LOCAL_HEAVY, HEAVY, HEAVY_LEAST = 4096, 65536, 8
 NUM, DEN = 80, 100
+#: Rounds in which tiles that are still open are compared with hubs before all their pairs are.
+HUB_ROUNDS = 1
 
 
 def frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +75,8 @@ def frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """One bit for each value modulo the least power of two of at least their number (64 to begin with)."""
-    width = max(64, 1 << max(0, int(len(values) - 1).bit_length()))
+    """One bit for each value modulo a power of two of at least eight times their number, so that few values meet in one."""
+    width = max(64, 8 << max(0, int(len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -122,7 +126,9 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cid, n, prefix = batch.columns
         counts = np.asarray(pc.binary_length(prefix), np.int64) // 8
         keys = np.frombuffer(b"".join(prefix.to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(cid), counts)), pa.array(np.repeat(np.asarray(n), counts))], ["key", "cid", "n"])
+        sizes = np.repeat(np.asarray(n), counts)
+        left = sizes - (np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.asarray(cid), counts)), pa.array(sizes), pa.array(left)], ["key", "cid", "n", "left"])
 
 
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +173,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = work.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     by_size = Window.partitionBy("key").orderBy("n", "cid")
-    keys = classes.select("cid", "n", "prefix").mapInArrow(_tiles, "key long, cid long, n int")
-    tiles = keys.select("key", "cid", "n", F.lag("cid").over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"), F.lag("n").over(by_size).alias("n_before"))
+    keys = classes.select("cid", "n", "prefix").mapInArrow(_tiles, "key long, cid long, n int, left int")
+    tiles = keys.select("key", "cid", "n", "left", F.lag(F.struct("cid", "n", "left")).over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"))
     tiles = work.write(tiles.where("before is not null or after is not null").drop("after"), "tiles")
+    support = tiles.groupBy("cid").agg(F.count(F.lit(1)).alias("support"))
+    members_of = tiles.select("key", "cid", "n", "left").join(support, "cid")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of classes that link, written."""
@@ -188,20 +196,44 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         work.drop(f"{name}-near", f"{name}-ends", f"{name}-sets")
         return out
 
-    neighbours = tiles.where("before is not null and 100L * n_before >= 80L * n").select(F.col("before").alias("a"), F.col("cid").alias("b"))
-    first = verified(neighbours, "first")
-    roots = work.write(components(first, work, "roots"), "roots")
+    rank = F.struct("support", F.negative("cid").alias("last"), "n", "left", "root")
+
+    def may(n, m, left_n, left_m):
+        """Whether two sets of a tile may link: by their sizes, and by what each has from the tile's element on.  For the
+        first element that two sets share, the latter bounds their overlap; if they link, they pass there."""
+        n, m = n.cast("long"), m.cast("long")
+        return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((DEN + NUM) * F.least(left_n, left_m).cast("long") >= NUM * (n + m))
+
+    def with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        hub = hubs.select("key", F.negative("hub.last").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.left").alias("left_a"), F.col("hub.root").alias("root_a"))
+        return rows.join(hub, "key").where((F.col("root") != F.col("root_a")) & may(F.col("n"), F.col("n_a"), F.col("left"), F.col("left_a"))).select("a", F.col("cid").alias("b"))
+
+    def placed_by(roots: DataFrame) -> DataFrame:
+        """Rows of tiles that still hold several components."""
+        placed = members_of.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return placed.join(several, "key", "left_semi")
+
+    neighbours = tiles.where("before is not null").where(may(F.col("before.n"), F.col("n"), F.col("before.left"), F.col("left"))).select(F.col("before.cid").alias("a"), F.col("cid").alias("b"))
+    apart = members_of.withColumn("root", F.col("cid"))
+    first = verified(neighbours.unionAll(with_hubs(apart, apart.groupBy("key").agg(F.max(rank).alias("hub")))), "first")
+    links = first
+    roots = work.write(components(links, work, "roots"), "roots")
+    for turn in range(HUB_ROUNDS):
+        placed = work.write(placed_by(roots), f"open{turn}")
+        hubs = placed.groupBy("key").agg(F.max(rank).alias("hub"))
+        others = placed.join(hubs, "key").where("root <> hub.root").groupBy("key").agg(F.max(rank).alias("hub"))
+        more = verified(with_hubs(placed, others).unionAll(with_hubs(placed, hubs)), f"hub{turn}")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
+        roots = work.write(components(links, work, f"roots{turn}"), f"roots-{turn}")
 
-    placed = tiles.select("key", "cid", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     band = F.floor(F.log("n") / np.log(DEN / NUM)).cast("int")
-    placed = work.write(placed.join(open_keys, "key", "left_semi").withColumn("band", band), "open")
-    small = placed.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    large = placed.select("key", "band", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    placed = work.write(placed_by(roots).withColumn("band", band), "open")
+    small = placed.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("root").alias("root_a"))
+    large = placed.select("key", "band", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"), F.col("root").alias("root_b"))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    sized = F.lit(DEN) * F.col("n_a").cast("long") >= F.lit(NUM) * F.col("n_b").cast("long")
-    across = small.join(large, ["key", "band"]).where(ordered & sized & (F.col("root_a") != F.col("root_b"))).select("a", "b")
-    second = verified(across, "second")
+    across = small.join(large, ["key", "band"]).where(ordered & may(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+    second = verified(across, "last")
 
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second)
     final = components(joined, work, "final").withColumnRenamed("node", "cid")
