@@ -1 +1,130 @@
+"""Scalar functions: exact numbers, pointers, canonical JSON, text."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+DEC = "decimal(38,9)"
+
+
+def col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def exact(c: Column | str) -> Column:
+    """Exact number of a value or of a numeric string; null for what is none."""
+    return col(c).try_cast(DEC)
+
+
+def exact_equal(a: Column | str, b: Column | str) -> Column:
+    return exact(a) == exact(b)
+
+
+def exact_divide(a: Column | str, b: Column | str) -> Column:
+    return F.try_divide(exact(a), exact(b)).cast(DEC)
+
+
+def finite_decimal(numerator: Column, denominator: Column) -> Column:
+    """The quotient if it has an exact decimal expansion of at most nine places, else null."""
+    q = F.try_divide(numerator.cast(DEC), denominator.cast(DEC)).cast(DEC)
+    return F.when((q * denominator.cast("decimal(19,0)")).cast(DEC) == numerator.cast(DEC), q)
+
+
+def fold(c: Column | str) -> Column:
+    return F.lower(col(c))
+
+
+def singular(name: str) -> str:
+    """Singular of an English plural field name."""
+    if name.endswith("ies"):
+        return name[:-3] + "y"
+    if name.endswith("ses") or name.endswith("xes"):
+        return name[:-2]
+    return name[:-1] if name.endswith("s") and not name.endswith("ss") else name
+
+
+def name_tokens(name: str) -> list[str]:
+    return [t for t in name.lower().replace("-", "_").split("_") if t]
+
+
+def affinity(a: str, b: str) -> float:
+    """Share of name tokens in common."""
+    x, y = set(name_tokens(a)), set(name_tokens(b))
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def escape(token: str) -> str:
+    return token.replace("~", "~0").replace("/", "~1")
+
+
+def unescape(token: str) -> str:
+    return token.replace("~1", "/").replace("~0", "~")
+
+
+def pointer(*parts: Column | str) -> Column:
+    """JSON Pointer of path parts: strings are literals, columns are values."""
+    token = lambda p: F.lit(escape(p)) if isinstance(p, str) else F.replace(F.replace(p.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return F.concat(*(x for p in parts for x in (F.lit("/"), token(p))))
+
+
+def json_path(pointer_text: str) -> str:
+    """The JSON path of a pointer: digits index arrays."""
+    out = "$"
+    for token in pointer_text.split("/")[1:]:
+        token = unescape(token)
+        out += f"[{token}]" if token.isdigit() else f"['{token}']"
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """A pointer glob as a regular expression: * is one token, ** any number of them."""
+    import re
+
+    parts = [".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in pattern.split("/")]
+    return "^" + "/".join(parts).replace("/.*", "(/.*)?") + "$"
+
+
+def canonical(c: Column) -> Column:
+    """Canonical JSON of a JSON text: keys sorted, no spaces; null if it isn't strict JSON."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def digest(c: Column) -> Column:
+    return F.sha2(canonical(c), 256)
+
+
+def selector_bits(n: Column | str) -> Column:
+    """Bits of a fixed-width selector among n choices."""
+    n = col(n).cast("long")
+    return F.when(n <= 1, F.lit(0)).otherwise(F.length(F.bin(n - 1))).cast("long")
+
+
+def seconds(c: Column | str) -> Column:
+    """Seconds since the epoch of a timestamp or an ISO-8601 text."""
+    return F.unix_seconds(F.try_to_timestamp(col(c).cast("string")))
+
+
+def project(x: Column, low=None, high=None, step=None) -> Column:
+    """The admissible value nearest to x between bounds on a lattice of step; null if none exists or two are as near."""
+    x = x.cast(DEC)
+    low, high = (None if b is None else F.lit(b).cast(DEC) for b in (low, high))
+    if step is None:
+        y = x if low is None else F.greatest(x, low)
+        return y if high is None else F.least(y, high)
+    step = F.lit(step).cast(DEC)
+    lo = F.floor(x / step).cast(DEC) * step if low is None else F.greatest(F.floor(x / step).cast(DEC), F.ceil(low / step).cast(DEC)) * step
+    hi = F.ceil(x / step).cast(DEC) * step
+    if high is not None:
+        top = F.floor(high / step).cast(DEC) * step
+        lo, hi = F.least(lo, top), F.least(hi, top)
+    if low is not None:
+        bottom = F.ceil(low / step).cast(DEC) * step
+        lo, hi = F.greatest(lo, bottom), F.greatest(hi, bottom)
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & (lo >= low)
+    if high is not None:
+        inside = inside & (hi <= high)
+    near = F.when(lo == hi, lo).when(F.abs(x - lo) < F.abs(hi - x), lo).when(F.abs(x - lo) > F.abs(hi - x), hi)
+    return F.when(inside, near).cast(DEC)

@@ -1,4 +1,7 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from . import discovery
+
+_PARTS = (discovery,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
