@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from . import discovery
+from . import discovery, relations
 
-_PARTS = (discovery,)
+_PARTS = (discovery, relations)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
