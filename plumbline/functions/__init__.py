@@ -78,11 +78,11 @@ def json_path(pointer_text: str) -> str:
 
 
 def glob_regex(pattern: str) -> str:
-    """A pointer glob as a regular expression: * is one token, ** any number of them."""
+    """A pointer glob as a regular expression: * is any part of one token, ** any number of tokens."""
     import re
 
-    parts = [".*" if p == "**" else "[^/]*" if p == "*" else re.escape(p) for p in pattern.split("/")]
-    return "^" + "/".join(parts).replace("/.*", "(/.*)?") + "$"
+    token = lambda p: "[^/]*".join(map(re.escape, p.split("*")))
+    return "^" + "".join("(?:/.*)?" if p == "**" else "/" + token(p) for p in pattern.split("/")[1:]) + "$"
 
 
 def canonical(c: Column) -> Column:

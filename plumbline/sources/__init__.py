@@ -1 +1,101 @@
+"""Readers and writers: strict JSON texts, record files, bundles of documents, reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bounds beyond which a document is refused, never truncated.
+MAX_TEXT, MAX_DEPTH, MAX_NUMBER = 8 << 20, 96, 4096
+
+
+def strict(raw: Column) -> Column:
+    """Variant of a strict JSON text: repeated keys, NaN and infinities give null; a byte order mark is skipped."""
+    return F.try_parse_json(F.regexp_replace(raw, "^﻿", ""))
+
+
+def depth(raw: Column) -> Column:
+    """Nesting depth of a JSON text: strings are taken out, then openings and closings are summed along the text."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(acc["top"], acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("top"))
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda a: a["top"])
+
+
+def within_limits(raw: Column, text: int = MAX_TEXT, levels: int = MAX_DEPTH, number: int = MAX_NUMBER) -> Column:
+    return (F.octet_length(raw) <= text) & (depth(raw) <= levels) & ~raw.rlike(rf"[0-9]{{{number},}}")
+
+
+def format_of(path: str) -> str:
+    return "jsonl" if path.lower().endswith((".jsonl", ".ndjson")) else "array"
+
+
+def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(line, raw, value): records of a JSONL file, blank lines skipped, or of a file with one top-level array (which is one
+    split, as its records have no line ends)."""
+    if (kind or format_of(path)) == "jsonl":
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿", "").alias("raw"))
+        return lines.where("trim(raw) <> ''").withColumn("value", F.try_parse_json("raw"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.try_variant_get(strict(F.col("value")), "$", "array<variant>")).alias("line", "value"))
+    return whole.select(F.col("line").cast("long").alias("line"), F.to_json("value").alias("raw"), "value")
+
+
+def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, raw, value): all .json documents below a folder."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("raw"), strict(F.col("value")).alias("value"))
+
+
+def with_role(sources: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
+    """Context tables (source_id, role, independent_group, rows) under one roof; ids must differ."""
+    if len({s for s, *_ in sources}) < len(sources):
+        raise ValueError("source ids must differ")
+    out = None
+    for source_id, role, group, df in sources:
+        one = df.withColumns({"source_id": F.lit(source_id), "role": F.lit(role), "independent_group": F.lit(group)})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def object_arrays(raw: Column) -> Column:
+    """Names of top-level fields that hold an array of at least three objects."""
+    members = F.map_entries(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"))
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    good = F.filter(members, lambda e: (F.size(items(e["value"])) >= 3) & F.forall(items(e["value"]), lambda x: F.schema_of_variant(x).startswith("OBJECT")))
+    return F.array_sort(F.transform(good, lambda e: e["key"]))
+
+
+def leaves(raw: Column, path: str = "$", depth_left: int = 3) -> Column:
+    """array<struct<path, value>>: scalar leaves of nested objects; arrays are values."""
+
+    def walk(v: Column, prefix: Column, left: int) -> Column:
+        members = F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+
+        def one(e: Column) -> Column:
+            at = F.concat(prefix, F.lit("/"), F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+            leaf = F.array(F.struct(at.alias("path"), F.to_json(e["value"]).alias("value")))
+            if not left:
+                return leaf
+            return F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), walk(e["value"], at, left - 1)).otherwise(leaf)
+
+        return F.flatten(F.transform(members, one))
+
+    return walk(F.try_parse_json(raw), F.lit(""), depth_left)
+
+
+def write_records(df: DataFrame, path: str, order: str) -> None:
+    """JSONL in the order of a column; each task's file becomes visible only when the job commits."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select(F.to_json(F.struct(*(c for c in df.columns if c != order))).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_report(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table under a staging name first, then all renamed: a report is whole or absent."""
+    spark = next(iter(tables.values())).sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stage, final = jvm.org.apache.hadoop.fs.Path(f"{folder}.staging"), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = stage.getFileSystem(conf)
+    fs.delete(stage, True)
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}.staging/{name}")
+    fs.delete(final, True)
+    if not fs.rename(stage, final):
+        raise OSError(f"can't publish {folder}")
