@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .textkit import buffers, pieces
 BLOCK_TOKENS = 1 << 16
 #: Pieces of text whose ids a worker remembers, about 200 bytes each.
 CACHED_PIECES = 1 << 20
+#: Letters below are letters to every Unicode version.
+LATIN_END = "\u0250"
 SCHEMA = "shard int, first long, width int, ids array<long>, ends array<long>, least long, most long, payload binary"
 _KINDS = pa.schema([("shard", pa.int32()), ("first", pa.int64()), ("width", pa.int32()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("least", pa.int64()), ("most", pa.int64()), ("payload", pa.binary())])
 
@@ -76,6 +79,16 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    own = {b for lo, hi in ((33, 127), (161, 173), (174, 256)) for b in range(lo, hi)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class PieceEncoder:
     """Encodes batches of texts by their distinct pieces.
 
@@ -109,13 +122,21 @@ class PieceEncoder:
         code, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         found = [self.known.get(p) for p in distinct]
         new = [i for i, f in enumerate(found) if f is None]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
+        model, other = self.tokenizer.model, []
+        for i in new:
+            p = distinct[i]
+            # Letters, with a space before them or not, are one unit of the pattern: the model takes them as they are.
+            word = p.decode().removeprefix(" ")
+            if word.isalpha() and max(word) < LATIN_END:
+                found[i] = array("I", [t.id for t in model.tokenize(p.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                other.append(i)
+        for lo in range(0, len(other), 10_000):
+            part = other[lo : lo + 10_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([distinct[i].decode() for i in part], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32).tobytes()
-                found[i] = ids
-                if len(self.known) < CACHED_PIECES:
-                    self.known[distinct[i]] = ids
+                found[i] = array("I", e.ids).tobytes()
+        for i in new[: CACHED_PIECES - len(self.known)]:
+            self.known[distinct[i]] = found[i]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(sizes) - sizes
