@@ -29,7 +29,8 @@ from .textkit import binary_rows, buffers, pieces
 from .token_files import vocabulary_path
 
 SEED, RATE, VARIANTS = 7, 0.1, 4
-CACHED_PARTS = 1 << 20
+#: Parts whose ids a worker remembers (about 250 bytes each) and bytes of text that it encodes at a time.
+CACHED_PARTS, BATCH_BYTES = 1 << 18, 4 << 20
 _MASK = (1 << 64) - 1
 SPACE_MARK = "▁"
 
@@ -211,7 +212,7 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = DropoutEncoder(path, rate, seed, variants)
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, BATCH_BYTES):
             tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_rows(tokens.astype("<u4"), np.diff(at))], ["doc_id", "text", "ids"])
 
@@ -237,13 +238,16 @@ def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), batch.column(2)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
+        own = DropoutEncoder(path)
+        for batch in pieces(batches, 1, BATCH_BYTES):  # encoded and decoded in one pass: the ids don't leave the worker
+            tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1))
+            tokens, spans = tokens.astype("<u4"), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            same = [own.model.decode(tokens[a:b].tolist()) == text for (a, b), text in zip(spans, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    done = decode_pieces(encode_pieces(docs, path, doc_id, text), path)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return done.select("doc_id", "ids", (F.col("decoded") == F.col("text")).alias("lossless")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return own.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def op7_pieces(spark, sf_dir, vocabulary: str = "piece_bpe_32k.model"):
