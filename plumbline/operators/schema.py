@@ -121,7 +121,8 @@ def keyword_conditions(v: Column, schema: dict, root, depth: int = 0) -> list[tu
     for k, s in schema.get("properties", {}).items():
         add("properties", holds(members.isNull() | ~has(k) | sub(got(k), s)))
     for p, s in schema.get("patternProperties", {}).items():
-        add("patternProperties", holds(F.forall(F.map_entries(members), lambda e, p=p, s=s: ~e["key"].rlike(p) | sub(e["value"], s))))
+        fits = (lambda p, s: lambda e: ~e["key"].rlike(p) | sub(e["value"], s))(p, s)
+        add("patternProperties", holds(F.forall(F.map_entries(members), fits)))
     if "additionalProperties" in schema:
         known = list(schema.get("properties", {}))
         patterns = list(schema.get("patternProperties", {}))
