@@ -12,6 +12,7 @@ from ..operators import repair as rp
 from ..operators import rules as rl
 from ..operators import schema as sc
 from ..operators import systems as sy
+from ..sources.shared import cutter
 from ..sources.syntax import repaired
 from ..streaming import batches
 from .inputs import t, using, view
@@ -151,32 +152,17 @@ def sys_graph(spark, d):
     return sy.graph_issues(nodes, edges)
 
 
-def _workspace(spark):
-    """Cuts lineage by checkpoint: the folder of the session, or one of its own in a local session."""
-    sc_ = spark.sparkContext
-    if not sc_.getCheckpointDir():
-        known = sc_.getConf().get("spark.checkpoint.dir")
-        if not known and not sc_.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if known is None:
-            import tempfile
-
-            known = tempfile.mkdtemp(prefix="plumbline-")
-        sc_.setCheckpointDir(known)
-    return lambda df, name: df.checkpoint()
-
-
 def set_components(spark, d):
     """Nodes reachable from the smallest key along division by three: iterative frontiers."""
     edges = t(spark, d, "customer").where("c_custkey > 1 and c_custkey <= 500").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS src", "c_custkey AS dst")
     roots = spark.range(1, 2)
-    return sy.reachable(edges, roots, _workspace(spark))
+    return sy.reachable(edges, roots, cutter(spark))
 
 
 def sys_topological(spark, d):
     nodes = t(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id")
     edges = t(spark, d, "nation").where("n_nationkey > 0").selectExpr("CAST(n_nationkey DIV 2 AS BIGINT) AS src", "CAST(n_nationkey AS BIGINT) AS dst").where("src <> dst")
-    return sy.topological_levels(nodes, edges, _workspace(spark))
+    return sy.topological_levels(nodes, edges, cutter(spark))
 
 
 def sys_reciprocal(spark, d):
@@ -249,12 +235,12 @@ def patch_apply(spark, d):
 
 def fixed_point(spark, d):
     df = view(spark, d, "cust").select("id", "nation", "region")
-    return rp.fixed_point(df, "id", ["region"], _region_candidates, _workspace(spark))[0]
+    return rp.fixed_point(df, "id", ["region"], _region_candidates, cutter(spark))[0]
 
 
 def patch_replay_inverse(spark, d):
     df = view(spark, d, "cust").select("id", "nation", "region")
-    done, journal, _ = rp.fixed_point(df, "id", ["region"], _region_candidates, _workspace(spark))
+    done, journal, _ = rp.fixed_point(df, "id", ["region"], _region_candidates, cutter(spark))
     return rp.replay_inverse(done, "id", ["region"], journal)
 
 

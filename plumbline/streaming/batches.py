@@ -6,24 +6,12 @@ counts that each batch appends to, so a restarted batch replaces its own part.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MIN_GROUP, MIN_GROUPS, CONFIDENCE = 2, 2, 0.95
-
+from ..sources.shared import shared_folder
 
-def _folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir")
-    if not known:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        known = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{known.rstrip('/')}/stream-{uuid.uuid4().hex}"
+MIN_GROUP, MIN_GROUPS, CONFIDENCE = 2, 2, 0.95
 
 
 def counted(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -47,7 +35,7 @@ def modes(counts: DataFrame) -> DataFrame:
 
 def functional(rows: DataFrame, spark: SparkSession, parts: int = 3) -> DataFrame:
     """rows: (id, d, v), written as ``parts`` or more files and streamed one file a batch."""
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     rows.repartition(parts).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     counted(stream, f"{folder}/counts", f"{folder}/state")
