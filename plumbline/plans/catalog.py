@@ -1,7 +1,7 @@
 """All registered queries and their SQL."""
 
-from . import declared, discovery, relations
+from . import certify, declared, discovery, relations
 
-_PARTS = (discovery, relations, declared)
+_PARTS = (discovery, relations, declared, certify)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
