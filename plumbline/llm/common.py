@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,17 +84,50 @@ def count_words(text: Column | str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+#: Edges that a task contracts at a time.
+CHUNK_EDGES = 250_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's edges as stars: each node to the smallest of its component in the chunk."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = a, b
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            while (up := root.setdefault(y, y)) != y:
+                root[y] = y = root[up]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    found = []
+    for x in root:
+        y = x
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            found.append((x, y))
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, work: Workspace, name: str, chunk: int = 0) -> DataFrame:
     """(node, root): connected components of the undirected edges (a, b), root the smallest node.
 
-    Alternating large-star and small-star rounds, each a grouped minimum over a written edge table.  The number of
-    rounds grows with the logarithm of the longest chain, no edge list reaches the driver, and a node with very many
-    edges is only ever aggregated.  Nodes without an edge are not in the result.
+    Edges are dealt into chunks of a fixed size and each chunk is contracted to stars, which leaves short paths and at
+    most one edge for each node of a chunk.  If there is more than one chunk, alternating large-star and small-star rounds,
+    each a grouped minimum over a written table, join them; their number grows with the logarithm of the longest path.  No
+    edge list reaches the driver, and a node with very many edges is only ever aggregated.  Nodes without an edge are not
+    in the result.
     """
     state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    now = work.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-0")
+    given = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    given = work.write(given, f"{name}-edges")
+    chunks = max(1, -(-given.count() // (chunk or CHUNK_EDGES)))
+    dealt = given.repartition(chunks) if chunks > 1 else given.coalesce(1)
+    now = work.write(dealt.mapInArrow(_contract, "a long, b long"), f"{name}-0")
+    work.drop(f"{name}-edges")
     before = state(now)
-    for round_ in range(1, 200):
+    for round_ in range(1, 200 if chunks > 1 else 1):
         large = _star(now, large=True)
         small = _star(large, large=False)
         now = work.write(small.distinct(), f"{name}-{round_}")

@@ -131,9 +131,10 @@ def test_shingle_hashes_agree_with_sets(rows):
     assert [len(s) for s in shingle_sets(pa.array(texts, pa.string()))] == [len(shingles(t)) for t in texts]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("chunk", [0, 40])
+def test_components_of_a_long_chain(spark, chunk):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long").repartition(4)
-    got = {r["node"]: r["root"] for r in components(edges, Workspace(spark, "t"), "c").collect()}
+    got = {r["node"]: r["root"] for r in components(edges, Workspace(spark, "t"), "c", chunk).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
 
 
