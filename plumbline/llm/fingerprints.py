@@ -90,20 +90,31 @@ def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int | None = Non
     bounds = ids.where("id is not null").approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
     cuts = np.unique(np.array(bounds, dtype="int64"))
 
-    known = {r["b"]: r["top"] for r in ids.select(F.coalesce("id", F.lit(-(1 << 63))).alias("id")).withColumn("b", _range(cuts, "id")).groupBy("b").agg(F.max("id").alias("top")).collect()}
+    known = {r["b"]: r["top"] for r in _range(ids.select(F.coalesce("id", F.lit(-(1 << 63))).alias("id")), cuts, "id").groupBy("b").agg(F.max("id").alias("top")).collect()}
     order = sorted(known)
     guests = [(known[b], order[i + 1] if i + 1 < len(order) else order[0]) for i, b in enumerate(order)]
     hosts = F.broadcast(spark.createDataFrame(guests, "gid long, host int"))  # a row for each bucket
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    rows = rows.withColumn("b", _range(cuts, "k")).join(hosts, F.col("k") == F.col("gid"), "left")
+    rows = _range(rows, cuts, "k").join(hosts, F.col("k") == F.col("gid"), "left")
     rows = rows.withColumn("place", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guest")))).otherwise(F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))))))
     rows = rows.select("place.bucket", "place.guest", "doc_id", "text", "k").repartition(partitions(spark), "bucket")
     return rows.sortWithinPartitions("bucket", "guest", F.desc("k"), F.xxhash64("text"), "text").drop("k")
 
 
-def _range(cuts: np.ndarray, column: str):
-    """The index of the range of a value: a balanced tree of comparisons, compiled with the rest of the plan up to 64
-    leaves at a time, so its depth is the logarithm of the number of ranges."""
+#: Range bounds that are compiled into the plan; more are searched by a Bucketizer.
+TREE_CUTS = 1024
+
+
+def _range(rows: DataFrame, cuts: np.ndarray, column: str) -> DataFrame:
+    """rows with b, the index of the range of a value: a balanced tree of comparisons, or for very many ranges a binary
+    search over bounds as doubles (large ids that round to one double share a range either way)."""
+    if len(cuts) > TREE_CUTS:
+        from pyspark.ml.feature import Bucketizer
+
+        bounds = np.unique(cuts.astype(float)).tolist()
+        splits = [-float("inf"), *bounds, float("inf")]
+        found = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(rows.withColumn("_value", F.col(column).cast("double")))
+        return found.withColumn("b", F.col("_range").cast("int")).drop("_value", "_range")
 
     def tree(lo: int, hi: int):
         if lo == hi:
@@ -111,7 +122,7 @@ def _range(cuts: np.ndarray, column: str):
         mid = (lo + hi) // 2
         return F.when(F.col(column) < F.lit(int(cuts[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts)).cast("int")
+    return rows.withColumn("b", tree(0, len(cuts)).cast("int"))
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

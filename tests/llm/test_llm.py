@@ -324,7 +324,9 @@ def test_targets():
     assert sum(f.get(0, 0) for f in flow) == 15 and sum(f.get(1, 0) for f in flow) == 5
 
 
-def test_fingerprints(docs, rows, spark, empty):
+@pytest.mark.parametrize("tree", [1024, 1])
+def test_fingerprints(docs, rows, spark, empty, tree, monkeypatch):
+    monkeypatch.setattr(fingerprints, "TREE_CUTS", tree)
     order = sorted(rows, key=lambda r: -r[0])
     got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(docs).collect()}
     assert len(got) == len(rows)
