@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import table
 from .textkit import binary_rows, buffers, pieces
-from .token_files import vocabulary_path
+from .token_files import LETTER, STOP, vocabulary_path
 
 SEED, RATE, VARIANTS = 7, 0.1, 4
 #: Parts whose ids a worker remembers (about 250 bytes each) and bytes of text that it encodes at a time.
@@ -70,6 +72,8 @@ class PieceModel:
         self.rank.append(self.none)
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids):
             raise ValueError("a piece of this model has a space mark behind another character")
+        #: No piece has a stop behind an ASCII letter: a text can be cut there too.
+        self.stops_apart = not any(re.search(r"[A-Za-z][.,;:!?]", p) for p in self.ids)
 
     def encode(self, part: str, variant: int = 0, rate: float = 0.0, seed: int = SEED) -> list[int]:
         """Ids of a part; its spaces are space marks, a space mark in the text itself becomes bytes."""
@@ -81,13 +85,12 @@ class PieceModel:
             symbols, starts = self._scan(symbols, base, limit)
         else:
             symbols, starts = self._heap(symbols, base, limit)
+        known = list(map(ids.get, symbols))
+        if None not in known:
+            return known
         out: list[int] = []
-        for at, s in zip(starts, symbols, strict=True):
-            i = ids.get(s) if s else None
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.byte_id[b] for b in (s or part[at]).encode("utf-8", "surrogatepass")]
+        for at, s, i in zip(starts, symbols, known, strict=True):
+            out += [i] if i is not None else [self.byte_id[b] for b in (s or part[at]).encode("utf-8", "surrogatepass")]
         return out
 
     def _scan(self, symbols: list[str], base: int, limit: int) -> tuple[list[str], list[int]]:
@@ -99,9 +102,11 @@ class PieceModel:
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             merged = merges[i]
-            if limit and _skipped(base, starts[i], merged, limit):
-                ranks[i], merges[i] = none, -1
-                continue
+            if limit:  # as in _skipped
+                h = ((base ^ (starts[i] * 0x9E3779B97F4A7C15)) + merged * 0xC2B2AE3D27D4EB4F) & _MASK
+                if (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < limit:
+                    ranks[i], merges[i] = none, -1
+                    continue
             symbols[i] += symbols[i + 1]
             del symbols[i + 1], starts[i + 1], ranks[i], merges[i]
             if i < len(merges):
@@ -179,6 +184,8 @@ class DropoutEncoder:
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             cut[1:-1] = (data[1:] == 0x20) & (data[:-1] != 0x20)
+            if self.model.stops_apart:
+                cut[1:-1] |= LETTER[data[:-1]] & STOP[data[1:]]
         cut[offsets] = True
         starts = np.flatnonzero(cut)
         ends = starts if len(starts) and starts[-1] == len(data) else np.append(starts, len(data))
@@ -194,7 +201,7 @@ class DropoutEncoder:
             key = (w % self.variants, distinct[w // self.variants])
             own = known.get(key)
             if own is None:
-                own = np.array(encode(key[1].decode("utf-8", "surrogatepass"), key[0], self.rate, self.seed), np.uint32).tobytes()
+                own = array("I", encode(key[1].decode("utf-8", "surrogatepass"), key[0], self.rate, self.seed)).tobytes()
                 if len(known) < CACHED_PARTS:
                     known[key] = own
             found.append(own)

@@ -112,8 +112,9 @@ def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with at most about so many bytes of the column each (a longer single row comes alone)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with at most about so many bytes of the column each (a longer single row comes alone).  When they
+    are used up, memory that Arrow keeps for later goes back, as the worker may wait a while for its next task."""
     for batch in batches:
         col = batch.column(column)
         if not len(col):
@@ -124,6 +125,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:

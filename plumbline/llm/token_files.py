@@ -73,10 +73,10 @@ def _tokenizer(path: str):
 
 _SPLIT_NEXT = np.zeros(256, bool)
 _SPLIT_NEXT[[*range(0x21, 0x7F), *range(0xC3, 0xE0)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".,;:!?"]] = True
 
 
 def _byte_chars() -> dict[int, str]:
@@ -105,7 +105,7 @@ class PieceEncoder:
         cut = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
             cut[:-2] = (data[:-1] == 0x20) & _SPLIT_NEXT[data[1:]]
-            cut[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+            cut[1:-1] |= LETTER[data[:-1]] & STOP[data[1:]]
         cut[offsets] = True
         return np.flatnonzero(cut)
 
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, work: Workspace, encoder: Callable[[], PieceEn
             held.clear(), ids.clear(), ends.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _KINDS.types, strict=True)], schema=_KINDS)
 
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, 8 << 20):
             tokens, at = own.encode(batch.column(1))
             for i, (doc, a, b) in enumerate(zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 held.append(np.append(tokens[a:b], np.uint32(end_id)))
