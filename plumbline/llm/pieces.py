@@ -32,7 +32,7 @@ from .token_files import LETTER, STOP, vocabulary_path
 
 SEED, RATE, VARIANTS = 7, 0.1, 4
 #: Parts whose ids a worker remembers (about 250 bytes each) and bytes of text that it encodes at a time.
-CACHED_PARTS, BATCH_BYTES = 1 << 18, 4 << 20
+CACHED_PARTS, BATCH_BYTES = 1 << 19, 4 << 20
 _MASK = (1 << 64) - 1
 SPACE_MARK = "▁"
 
