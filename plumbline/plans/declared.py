@@ -152,13 +152,22 @@ def sys_graph(spark, d):
     return sy.graph_issues(nodes, edges)
 
 
-def set_components(spark, d):
-    """Nodes reachable from the smallest key along division by three: iterative frontiers."""
-    edges = t(spark, d, "customer").where("c_custkey > 1 and c_custkey <= 500").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS src", "c_custkey AS dst")
+def _by_thirds(spark, customers):
+    edges = customers.where("c_custkey > 1").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS src", "c_custkey AS dst")
     roots = spark.range(1, 2)
     return sy.reachable(edges, roots, cutter(spark))
 
 
+def set_components(spark, d):
+    """Nodes reachable from the smallest key along division by three: iterative frontiers.  Its SQL has keys up to 500 only."""
+    return _by_thirds(spark, t(spark, d, "customer").where("c_custkey <= 500"))
+
+
+def set_components_whole(spark, d):
+    """The same over all keys."""
+    return _by_thirds(spark, t(spark, d, "customer"))
+
+
 def sys_topological(spark, d):
     nodes = t(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id")
     edges = t(spark, d, "nation").where("n_nationkey > 0").selectExpr("CAST(n_nationkey DIV 2 AS BIGINT) AS src", "CAST(n_nationkey AS BIGINT) AS dst").where("src <> dst")
@@ -342,11 +351,20 @@ def ptr_get(spark, d):
     return t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), fn.json_path("/k"), "long").alias("value"))
 
 
-def syn_min_repair(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "get_json_object(props, '$.k') AS k", "props").where("event_id <= 700").selectExpr("event_id", "CASE event_id % 7 WHEN 0 THEN concat('{\"k\":', k, ',}') WHEN 1 THEN concat('{k: ', k, '}') WHEN 2 THEN concat('{''k'': ', k, '}') WHEN 3 THEN concat('{\"k\":', k, '} // end') WHEN 4 THEN concat('{\"k\":', k) WHEN 5 THEN concat('{\"k\":', k, ',\"k\":1}') ELSE props END AS raw")
+def _broken_props(events):
+    raw = events.selectExpr("event_id", "get_json_object(props, '$.k') AS k", "props").selectExpr("event_id", "CASE event_id % 7 WHEN 0 THEN concat('{\"k\":', k, ',}') WHEN 1 THEN concat('{k: ', k, '}') WHEN 2 THEN concat('{''k'': ', k, '}') WHEN 3 THEN concat('{\"k\":', k, '} // end') WHEN 4 THEN concat('{\"k\":', k) WHEN 5 THEN concat('{\"k\":', k, ',\"k\":1}') ELSE props END AS raw")
     return raw.select("event_id", repaired("raw")["value"].alias("value"))
 
 
+def syn_min_repair(spark, d):
+    """Its SQL has ids up to 700 only."""
+    return _broken_props(t(spark, d, "events").where("event_id <= 700"))
+
+
+def syn_min_repair_whole(spark, d):
+    return _broken_props(t(spark, d, "events"))
+
+
 def fn_decimal(spark, d):
     return t(spark, d, "part").selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN concat(p_size, '.50') ELSE '' END AS v").select("id", fn.exact("v").alias("number"))
 
@@ -400,9 +418,9 @@ def st_journal_inverse(spark, d):
 
 
 _NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates rule_sat logic_authoritative logic_exactly_one logic_implies2 dsl_simple dsl_parse dsl_numeric_intersection
-boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority fast_select
+boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components set_components_whole sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority fast_select
 identifiability federation fw_control fw_boundary fw_robust patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff multisource_assimilate multisource_lifecycle
-materialize_witness horizon struct_rename src_strict_json src_jsonl sec_limits scan_object_arrays scan_leaf_paths scan_tree_walk ptr_get syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time
+materialize_witness horizon struct_rename src_strict_json src_jsonl sec_limits scan_object_arrays scan_leaf_paths scan_tree_walk ptr_get syn_min_repair syn_min_repair_whole fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time
 st_functional st_apply st_enum st_required st_choose st_journal_inverse"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -440,6 +458,7 @@ ORACLES = {
         UNION ALL SELECT id, '/k', 'schema_type_violation' FROM e WHERE f = 2 UNION ALL SELECT id, '/u', 'schema_required_missing' FROM e WHERE f = 1 UNION ALL SELECT id, '', 'schema_dependentRequired_violation' FROM e WHERE f = 1 UNION ALL SELECT id, '/u', 'schema_oneof_violation' FROM e WHERE f = 0 AND u > 100""",
     "sys_graph": "SELECT 'duplicate_node_identity' AS code, '3' AS item UNION ALL SELECT 'malformed_edge', '24>?' UNION ALL SELECT 'dangling_edge', n_nationkey || '>' || (n_nationkey + 100) FROM nation WHERE n_nationkey % 7 = 6",
     "set_components": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS id UNION SELECT c_custkey FROM customer, r WHERE c_custkey > 1 AND c_custkey <= 500 AND c_custkey // 3 = r.id) SELECT id FROM r",
+    "set_components_whole": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS id UNION SELECT c_custkey FROM customer, r WHERE c_custkey > 1 AND c_custkey // 3 = r.id) SELECT id FROM r",
     "sys_topological": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN 0 ELSE floor(log2(n_nationkey)) + 1 END::INT AS level FROM nation",
     "sys_reciprocal": "WITH e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation) SELECT DISTINCT dst AS src, src AS dst FROM e WHERE src <> dst AND (dst, src) NOT IN (SELECT (src, dst) FROM e)",
     "sys_state_machine": """WITH r AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 37 = 0 THEN 'tool' ELSE role END AS s FROM conversations WHERE role IN ('user', 'assistant')), x AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -475,6 +494,7 @@ ORACLES = {
     "scan_object_arrays": "SELECT l_orderkey, CASE WHEN count(*) >= 3 THEN 'lines' ELSE '' END AS arrays FROM lineitem GROUP BY 1",
     "scan_leaf_paths": _LEAF, "scan_tree_walk": _LEAF,
     "syn_min_repair": "SELECT event_id, CASE WHEN event_id % 7 <> 5 THEN '{\"k\":' || (props->>'$.k') || '}' END AS value FROM events WHERE event_id <= 700",
+    "syn_min_repair_whole": "SELECT event_id, CASE WHEN event_id % 7 <> 5 THEN '{\"k\":' || (props->>'$.k') || '}' END AS value FROM events",
     "fn_decimal": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END::DECIMAL(38,9) AS number FROM part",
     "fn_selector_bits": "SELECT p_partkey, CASE WHEN p_partkey <= 1 THEN 0 ELSE length(ltrim(bin(p_partkey - 1), '0')) END::BIGINT AS bits FROM part",
     "fn_pointer": "SELECT p_partkey, '/part/' || p_type || '/a~1b~0c' AS pointer FROM part",
