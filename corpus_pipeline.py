@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import Workspace, broadcast_if_small, count_words
 from plumbline.llm.jaccard import jaccard_components
@@ -63,7 +64,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_digests(docs, vocabulary_path("piece_bpe_32k.model"))
+    """Copies of a row that the mix takes several times are numbered, so that each draws its own dropout."""
+    same = Window.partitionBy("doc_id", _hash()).orderBy("doc_id")
+    return piece_digests(docs.select("doc_id", "text", F.row_number().over(same).alias("_copy")), vocabulary_path("piece_bpe_32k.model"), copy="_copy")
 
 
 STAGES = [

@@ -1,12 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda by score, leftmost first.  Each candidate that comes up is skipped if a keyed hash of it
-(seed, variant, piece of text, place, merged id) falls below the dropout rate; it may come up again when a neighbour has
-changed the pair.  So a text has one segmentation for each variant, the same on every machine and rerun, and all of
-them decode to the text.  A document's variant is a keyed hash of its id.
+Merges are taken from an agenda by score, leftmost first.  Each candidate that comes up is skipped with the dropout rate;
+it may come up again when a neighbour has changed the pair.  The draws are keyed by (seed, doc_id, text, number of the
+copy, place of the part in the text), so each occurrence of a word has its own, the same on every machine and rerun.  All
+segmentations decode to the text.
 
 No piece of the vocabulary has a space mark behind another character, so a merge never crosses from a word into the
-spaces after it: a text is cut there, and each distinct part of a batch is encoded once for each variant.
+spaces after it: a text is cut there.  What a part becomes depends only on which of its candidates are skipped, counted
+in the order in which they come up.  So the draws are made as distances between skips, for all occurrences at once, and
+what is remembered is the ids of (part, skips).
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ import heapq
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +31,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .textkit import binary_rows, buffers, pieces
+from .textkit import U64, binary_rows, buffers, mix, pieces
 from .token_files import LETTER, STOP, vocabulary_path
 
-SEED, RATE, VARIANTS = 7, 0.1, 4
-#: Parts whose ids a worker remembers (about 250 bytes each) and bytes of text that it encodes at a time.
+SEED, RATE = 7, 0.1
+#: (part, skips) whose ids a worker remembers (about 300 bytes each) and bytes of text that it encodes at a time.
 CACHED_PARTS, BATCH_BYTES = 1 << 19, 4 << 20
 _MASK = (1 << 64) - 1
+_STEP, _COPY = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 SPACE_MARK = "▁"
 
 
 #: Longest part that is merged by scanning its pairs.
 SHORT = 40
+#: Parts of more bytes are merged anew for each occurrence.
+LONG = 64
 
 
-def _skipped(base: int, place: int, merged: int, limit: int) -> bool:
-    h = ((base ^ (place * 0x9E3779B97F4A7C15)) + merged * 0xC2B2AE3D27D4EB4F) & _MASK
-    return (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < limit
+@functools.cache
+def _tails(rate: float) -> np.ndarray:
+    """Ascending, of 64-bit fractions: the chances that more than 0, 1, ... candidates are kept before the next skip."""
+    keep = max(0, min(_MASK, int((1.0 - rate) * (1 << 64))))
+    tails, now = [], keep
+    while now:
+        tails.append(now)
+        now = now * keep >> 64
+    return np.array(tails[::-1], np.uint64)
+
+
+def _kept(keys: np.ndarray, turn, rate: float) -> np.ndarray:
+    """Number of candidates kept between a part's skips turn - 1 and turn."""
+    tails = _tails(rate)
+    return len(tails) - np.searchsorted(tails, mix(keys + (np.atleast_1d(turn).astype(np.uint64) + U64(1)) * _STEP), side="right")
+
+
+def _skips(key: int, rate: float, at: int = -1, turn: int = 0) -> Iterator[int]:
+    """The numbers of the candidates that a part with this key skips, without end; those after at, of which there were turn."""
+    while True:
+        for kept in _kept(np.array([key], np.uint64), np.arange(turn, turn + 16), rate).tolist():
+            at += kept + 1
+            yield at
+        turn += 16
 
 
 class PieceModel:
@@ -70,6 +98,7 @@ class PieceModel:
                 self.text.append(piece.replace(SPACE_MARK, " ").encode())
         self.none = float("inf")
         self.rank.append(self.none)
+        self.rank_of = {piece: self.rank[i] for piece, i in self.ids.items()}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids):
             raise ValueError("a piece of this model has a space mark behind another character")
         #: No piece has a stop behind an ASCII letter: a text can be cut there too.
@@ -77,49 +106,48 @@ class PieceModel:
 
     def encode(self, part: str, variant: int = 0, rate: float = 0.0, seed: int = SEED) -> list[int]:
         """Ids of a part; its spaces are space marks, a space mark in the text itself becomes bytes."""
-        ids, rank = self.ids, self.rank
-        base = xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), (seed * 1_000_003 + variant) & _MASK) if rate else 0
-        limit = int(rate * (1 << 32))
+        if not rate:
+            return self.merge(part)[0]
+        return self.merge(part, _skips(xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), (seed * 1_000_003 + variant) & _MASK), rate))[0]
+
+    def merge(self, part: str, skips: Iterable[int] = ()) -> tuple[list[int], int]:
+        """Ids of a part of which the candidates with these numbers, ascending, are skipped; number of its candidates."""
+        ids, skips = self.ids, iter(skips)
         symbols = [SPACE_MARK if c == " " else ("" if c == SPACE_MARK else c) for c in part] if SPACE_MARK in part or " " in part[1:] else [SPACE_MARK, *part[1:]] if part[:1] == " " else list(part)
         if len(symbols) <= SHORT:
-            symbols, starts = self._scan(symbols, base, limit)
+            symbols, seen = self._scan(symbols, skips)
         else:
-            symbols, starts = self._heap(symbols, base, limit)
+            symbols, seen = self._heap(symbols, skips)
         known = list(map(ids.get, symbols))
         if None not in known:
-            return known
+            return known, seen
         out: list[int] = []
-        for at, s, i in zip(starts, symbols, known, strict=True):
-            out += [i] if i is not None else [self.byte_id[b] for b in (s or part[at]).encode("utf-8", "surrogatepass")]
-        return out
+        for s, i in zip(symbols, known, strict=True):
+            out += [i] if i is not None else [self.byte_id[b] for b in (s or SPACE_MARK).encode("utf-8", "surrogatepass")]
+        return out, seen
 
-    def _scan(self, symbols: list[str], base: int, limit: int) -> tuple[list[str], list[int]]:
+    def _scan(self, symbols: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
         """The agenda as a list of the current pairs' ranks: faster than a heap for a word."""
-        ids, rank, none = self.ids, self.rank, self.none
-        starts = list(range(len(symbols)))
-        merges = [ids.get(a + b, -1) if a and b else -1 for a, b in zip(symbols, symbols[1:], strict=False)]
-        ranks = [rank[m] for m in merges]  # the last rank is that of no merge
+        get, none = self.rank_of.get, self.none
+        ranks = [get(a + b, none) if a and b else none for a, b in zip(symbols, symbols[1:], strict=False)] if "" in symbols else list(map(get, map(add, symbols, symbols[1:]), repeat(none)))
+        seen, skip = 0, next(skips, -1)
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            merged = merges[i]
-            if limit:  # as in _skipped
-                h = ((base ^ (starts[i] * 0x9E3779B97F4A7C15)) + merged * 0xC2B2AE3D27D4EB4F) & _MASK
-                if (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32 < limit:
-                    ranks[i], merges[i] = none, -1
-                    continue
-            symbols[i] += symbols[i + 1]
-            del symbols[i + 1], starts[i + 1], ranks[i], merges[i]
-            if i < len(merges):
+            seen += 1
+            if seen - 1 == skip:
+                ranks[i], skip = none, next(skips, -1)
+                continue
+            symbols[i] = s = symbols[i] + symbols.pop(i + 1)
+            ranks.pop(i)
+            if i < len(ranks):
                 b = symbols[i + 1]
-                merges[i] = m = ids.get(symbols[i] + b, -1) if b else -1
-                ranks[i] = rank[m]
+                ranks[i] = get(s + b, none) if b else none
             if i:
                 a = symbols[i - 1]
-                merges[i - 1] = m = ids.get(a + symbols[i], -1) if a else -1
-                ranks[i - 1] = rank[m]
-        return symbols, starts
+                ranks[i - 1] = get(a + s, none) if a else none
+        return symbols, seen
 
-    def _heap(self, symbols: list, base: int, limit: int) -> tuple[list[str], list[int]]:
+    def _heap(self, symbols: list, skips: Iterator[int]) -> tuple[list[str], int]:
         ids, rank = self.ids, self.rank
         n = len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), n]
@@ -133,13 +161,16 @@ class PieceModel:
         for i in range(n - 1):
             offer(i, i + 1)
         heapq.heapify(agenda)
+        seen, skip = 0, next(skips, -1)
         while agenda:
             _, i, merged, size = heapq.heappop(agenda)
             a = symbols[i]
             j = right[i]
             if a is None or j >= n or (b := symbols[j]) is None or len(a) + len(b) != size or ids.get(a + b) != merged:
                 continue
-            if limit and _skipped(base, i, merged, limit):
+            seen += 1
+            if seen - 1 == skip:
+                skip = next(skips, -1)
                 continue
             symbols[i], symbols[j] = a + b, None
             right[i] = right[j]
@@ -154,8 +185,7 @@ class PieceModel:
             del agenda[known:]
             for item in new:
                 heapq.heappush(agenda, item)
-        starts = [i for i, x in enumerate(symbols) if x is not None]
-        return [symbols[i] for i in starts], starts
+        return [x for x in symbols if x is not None], seen
 
     def decode(self, tokens) -> str:
         """The text: bytes of the pieces without the space put before it.  Inverse of encoding."""
@@ -169,15 +199,26 @@ def model(path: str) -> PieceModel:
 
 
 class DropoutEncoder:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.model, self.rate, self.seed, self.variants = model(path), rate, seed, variants
-        self.known: dict[tuple[int, bytes], bytes] = {}
-
-    def variant(self, doc_id) -> int:
-        return xxhash.xxh64_intdigest(str(doc_id), self.seed) % self.variants
-
-    def encode(self, ids: list, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids before each; one more entry).  An empty text has none."""
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED):
+        self.model, self.rate, self.seed = model(path), rate, seed
+        self.known: dict[tuple[bytes, tuple[int, ...]], tuple[bytes, int]] = {}
+
+    def _merged(self, part: bytes, skips: tuple[int, ...]) -> tuple[bytes, int]:
+        """(ids, number of candidates) of a part, remembered."""
+        found = self.known.get((part, skips))
+        if found is None:
+            tokens, seen = self.model.merge(part.decode("utf-8", "surrogatepass"), skips)
+            found = array("I", tokens).tobytes(), seen
+            if len(self.known) < CACHED_PARTS:
+                self.known[part, skips] = found
+        return found
+
+    def key(self, doc_id, text) -> int:
+        return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(str(doc_id), self.seed))
+
+    def encode(self, ids: list, column: pa.Array, copies: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids before each; one more entry).  An empty text has none.  Rows of one id, text and
+        number of the copy get equal ids."""
         spaced = pc.binary_join_element_wise(*(pa.scalar(c, pa.large_string()) if isinstance(c, str) else c for c in ("", column.cast(pa.large_string()), " ")))  # a space before each text
         spaced = pc.if_else(pc.equal(pc.binary_length(column), 0), pa.scalar("", pa.large_string()), spaced)
         data, offsets = buffers(spaced)
@@ -192,39 +233,84 @@ class DropoutEncoder:
         raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = raw.dictionary_encode()
         first = np.searchsorted(ends, offsets)  # parts before each text
-        variants = np.repeat(np.array([self.variant(i) for i in ids], np.int64), np.diff(first))
-        code = coded.indices.to_numpy().astype(np.int64) * self.variants + variants
-        wanted, code = np.unique(code, return_inverse=True)
         distinct = coded.dictionary.to_pylist()
-        known, encode, found = self.known, self.model.encode, []
-        for w in wanted.tolist():
-            key = (w % self.variants, distinct[w // self.variants])
-            own = known.get(key)
-            if own is None:
-                own = array("I", encode(key[1].decode("utf-8", "surrogatepass"), key[0], self.rate, self.seed)).tobytes()
-                if len(known) < CACHED_PARTS:
-                    known[key] = own
-            found.append(own)
+        node = coded.indices.to_numpy().astype(np.int64)  # the (part, skips) that each occurrence has come to
+        if self.rate:
+            found, node = self._dropped(ids, copies, data, offsets, ends, first, distinct, node)
+        else:
+            found = [self._merged(part, ())[0] for part in distinct]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
-        begin, own = np.cumsum(sizes) - sizes, sizes[code]
+        begin, own = np.cumsum(sizes) - sizes, sizes[node]
         total = np.concatenate([[0], np.cumsum(own)])
-        take = np.arange(total[-1]) - np.repeat(total[:-1], own) + np.repeat(begin[code], own)
+        take = np.arange(total[-1]) - np.repeat(total[:-1], own) + np.repeat(begin[node], own)
         return flat[take], total[first]
 
-
-def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """(doc_id, text, ids): ids as little-endian 32-bit integers.  A null text is empty and has none; repeated rows and rows of
-    one id give equal results for equal texts."""
+    def _dropped(self, ids: list, copies, data, offsets, ends, first, distinct: list[bytes], node: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """(ids of all (part, skips) that come up, which of them each occurrence has)."""
+        keys = np.array([self.key(i, data[a:b]) for i, a, b in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
+        if copies is not None:
+            keys = keys + np.asarray(copies).astype(np.uint64) * _COPY
+        parts = np.diff(first)
+        keys = mix(np.repeat(keys, parts) + (ends[:-1] - np.repeat(offsets[:-1], parts)).astype(np.uint64) * _STEP)
+        where: list[tuple[bytes, tuple[int, ...]]] = []
+        found: list[bytes] = []
+        seen: list[int] = []
+        parents: list[tuple[bytes, tuple[int, ...]]] = [(part, ()) for part in distinct]
+        code, node = node, np.zeros(len(node), np.int64)
+        active, skip, turn = np.arange(len(node)), _kept(keys, 0, self.rate), 0
+        while len(active):
+            # What one occurrence alone comes to is merged by all its skips at once, else by those so far.
+            times = np.bincount(code, minlength=len(parents))
+            fresh = np.fromiter((p not in self.known for p in parents), bool, len(parents))
+            alone = ((times == 1) & fresh | np.fromiter((len(p) > LONG for p, _ in parents), bool, len(parents)))[code]
+            own = active[alone]
+            ahead = [skip[own]]
+            for t in range(turn + 1, turn + 4):
+                ahead.append(ahead[-1] + 1 + _kept(keys[own], t, self.rate))
+            for i, key, at, later in zip(own.tolist(), keys[own].tolist(), code[alone].tolist(), np.stack(ahead, 1).tolist(), strict=True):
+                part, skips = parents[at]
+                tokens, n = self.model.merge(part.decode("utf-8", "surrogatepass"), chain(skips, later, _skips(key, self.rate, later[-1], turn + 4)))
+                node[i] = len(found)
+                where.append((part, ()))
+                found.append(array("I", tokens).tobytes())
+                seen.append(0)
+                if later[-1] >= n and len(part) <= LONG and len(self.known) < CACHED_PARTS:
+                    self.known[part, (*skips, *(x for x in later if x < n))] = found[-1], n
+            active, code = active[~alone], code[~alone]
+            wanted, at = np.unique(code, return_inverse=True)
+            base = len(found)
+            for w in wanted.tolist():
+                tokens, n = self._merged(*parents[w])
+                where.append(parents[w])
+                found.append(tokens)
+                seen.append(n)
+            node[active] = base + at
+            active = active[skip[active] < np.array(seen, np.int64)[node[active]]]
+            width = max(seen, default=0) + 1
+            wanted, code = np.unique(node[active] * width + skip[active], return_inverse=True)
+            parents = [(where[w // width][0], (*where[w // width][1], w % width)) for w in wanted.tolist()]
+            turn += 1
+            skip[active] += 1 + _kept(keys[active], turn, self.rate)
+        return found, node
+
+
+def _inputs(docs: DataFrame, doc_id: str, text: str, copy: str | None) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(copy) if copy else F.lit(0)).cast("long").alias("copy"))
+
+
+def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """(doc_id, text, ids): ids as little-endian 32-bit integers.  A null text is empty and has none; rows of one id, text
+    and copy (a column that numbers repeated rows; all 0 without it) give equal results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = DropoutEncoder(path, rate, seed, variants)
+        own = DropoutEncoder(path, rate, seed)
         for batch in pieces(batches, 1, BATCH_BYTES):
-            tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1))
+            tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_rows(tokens.astype("<u4"), np.diff(at))], ["doc_id", "text", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
+    return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
@@ -240,21 +326,20 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", column: str =
     return encoded.mapInArrow(run, schema)
 
 
-def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", copy: str | None = None) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, lossless): number and unsigned crc32 of a document's ids, and whether they decode to its
-    text."""
+    text.  copy: as for encode_pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = DropoutEncoder(path)
         for batch in pieces(batches, 1, BATCH_BYTES):  # encoded and decoded in one pass: the ids don't leave the worker
-            tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1))
+            tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1), batch.column(2))
             tokens, spans = tokens.astype("<u4"), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             same = [own.model.decode(tokens[a:b].tolist()) == text for (a, b), text in zip(spans, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
+    return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def op7_pieces(spark, sf_dir, vocabulary: str = "piece_bpe_32k.model"):

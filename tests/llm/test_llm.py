@@ -422,6 +422,37 @@ def test_sentencepiece_without_dropout_and_round_trip():
         pieces.SHORT = short
 
 
+def test_dropout_is_drawn_for_each_occurrence(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "international", "of", "segmentation"]) for _ in range(400)) for _ in range(30)] + ["日本語のテキスト" * 40 + " international"] + odd_texts(200, 8)
+    own = pieces.DropoutEncoder(SP, rate=0.2)
+    ids, at = own.encode(list(range(len(texts))), pa.array(texts))
+    words = {}
+    for n, (a, b, t) in enumerate(zip(at[:-1], at[1:], texts)):  # every part anew, from the draws of its own place
+        want, raw = [], (" " + t).encode() if t else b""
+        key = own.key(n, np.frombuffer(raw, np.uint8))
+        place, parts = 0, []
+        for i in range(1, len(raw) + 1):
+            if i == len(raw) or (raw[i] == 32 and raw[i - 1] != 32) or (own.model.stops_apart and chr(raw[i]) in ".,;:!?" and chr(raw[i - 1]).isascii() and chr(raw[i - 1]).isalpha()):
+                parts.append((place, raw[place:i]))
+                place = i
+        for place, part in parts:
+            k = int(pieces.mix(np.array([key], np.uint64) + np.array([place], np.uint64) * pieces._STEP)[0])
+            tokens = own.model.merge(part.decode(), pieces._skips(k, 0.2))[0]
+            want += tokens
+            words.setdefault(part, []).append(tuple(tokens))
+        assert ids[a:b].tolist() == want
+        assert own.model.decode(want) == t
+    for word in (b" international", b" segmentation"):
+        found = words[word]
+        plain = tuple(own.model.merge(word.decode())[0])
+        drawn = [own.model.merge(word.decode(), [i for i in range(60) if rng.random() < 0.2])[0] for _ in range(3000)]
+        assert len(set(found)) > 8 and len(found) > 2000
+        assert abs(sum(f == plain for f in found) / len(found) - sum(tuple(f) == plain for f in drawn) / 3000) < 0.05
+    again, _ = own.encode([5, 5], pa.array([texts[0]] * 2), pa.array([1, 2]))
+    assert again[: len(again) // 2].tolist() != again[len(again) // 2 :].tolist()
+
+
 def test_piece_query(docs, rows, empty):
     got = pieces.piece_digests(docs, SP).collect()
     assert len(got) == len(rows) and all(r["lossless"] for r in got)

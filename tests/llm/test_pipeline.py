@@ -49,3 +49,11 @@ def test_repeated_rows_and_empty(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_pieces", "ids_crc32", "lossless"] and got.count() > 0
+
+
+def test_copies_draw_their_own_dropout(spark):
+    docs = spark.createDataFrame([(1, "international segmentation of words " * 20)] * 3 + [(2, "")] * 2, "doc_id long, text string")
+    got = corpus_pipeline.token_ids(spark, docs, "").collect()
+    assert len({r["ids_crc32"] for r in got if r["doc_id"] == 1}) == 3 and len(got) == 5 and all(r["lossless"] for r in got)
+    again = corpus_pipeline.token_ids(spark, docs.repartition(3), "").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
