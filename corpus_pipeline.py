@@ -36,10 +36,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, and of repeated rows one."""
+    """Of each group of linked documents the one with the smallest id stays (one without an id only if none has one), and of
+    repeated rows one.
+
+    A document here is an id, null or not, and a text; the join knows it by a 64-bit hash of both."""
     work = Workspace(spark, "jaccard-stage")
-    found = work.write(jaccard_components(docs.select("doc_id", "text")).where("not doc_id <=> component_id").select("doc_id").distinct(), "linked")
-    kept = docs.join(broadcast_if_small(found.withColumnRenamed("doc_id", "_id"), 16), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    keyed = docs.withColumn("_key", F.xxhash64(F.lit(11), F.col("doc_id").isNull(), "doc_id", "text"))
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id")
+    found = work.write(found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_root")).distinct(), "linked")
+    members = work.write(found.unionAll(found.select(F.col("_root").alias("_key"), "_root").distinct()), "members")
+    ranked = keyed.select("_key", "doc_id", _hash().alias("_hash")).join(broadcast_if_small(members, 16), "_key").select("_root", "doc_id", "_hash", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash").alias("rank"))
+    ranked = work.write(ranked.distinct(), "ranked")
+    first = work.write(ranked.groupBy("_root").agg(F.min("rank").alias("first")), "first")
+    gone = ranked.join(broadcast_if_small(first, 40), "_root").where("rank <> first").select("doc_id", "_hash")
+    kept = _without(docs, work.write(gone, "gone"))
     again = work.write(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "again")
     repeated = broadcast_if_small(again, 16)
     single = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")

@@ -57,3 +57,14 @@ def test_copies_draw_their_own_dropout(spark):
     assert len({r["ids_crc32"] for r in got if r["doc_id"] == 1}) == 3 and len(got) == 5 and all(r["lossless"] for r in got)
     again = corpus_pipeline.token_ids(spark, docs.repartition(3), "").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_near_duplicates_without_or_with_shared_ids(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    near = lambda word: text(word) + " more"
+    rows = [(1, text("a")), (None, near("a")), (None, text("clean")), (2, text("b")), (3, near("b")), (3, text("other")), (None, text("c")), (None, near("c")), (4, text("d")), (4, text("d")), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    rest = [r for r in got if r not in ((None, text("c")), (None, near("c")))]
+    assert sorted(rest, key=str) == sorted([(1, text("a")), (None, text("clean")), (2, text("b")), (3, text("other")), (4, text("d")), (None, None)], key=str)
+    assert len(got) == len(rest) + 1
