@@ -11,11 +11,15 @@ of the corpus, so windows are first brought together by content.
 3. For a kept anchor each document sends the stretch of text that its windows with this anchor cover.  Stretches of an
    anchor meet in one shard, in the order of their documents, and the shard finds the repeated spans exactly (a suffix
    automaton for words, a suffix array for bytes).
-4. The spans of each document go back to its text.
+4. An anchor whose stretches have more than HOT_BYTES has no shard, so what a task holds is bounded: its windows are
+   taken apart by a 128-bit hash of the whole window.  Equal windows still meet, the least owner of each is a grouped
+   minimum that is added up before the shuffle, and a document gets back the hashes of those that an earlier one has.
+5. The spans of each document go back to its text.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,11 +55,31 @@ class Units:
         self.data, offsets = buffers(column)
         if kind == "words":
             self.starts, self.ends, self.first = word_spans(self.data, offsets)
-            grams = gram_hashes(word_hashes(self.data, self.starts, self.ends), gram)
+            self.words = word_hashes(self.data, self.starts, self.ends)
         else:
             self.first = offsets
-            grams = byte_grams(self.data, gram)
-        self.least = sliding_min(grams, length - gram + 1)
+        self.gram = gram
+
+    @functools.cached_property
+    def least(self) -> np.ndarray:
+        """The anchor of the window from each unit on."""
+        grams = gram_hashes(self.words, self.gram) if self.kind == "words" else byte_grams(self.data, self.gram)
+        return sliding_min(grams, self.length - self.gram + 1)
+
+    def window_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of the window from each unit on; windows that cross rows have meaningless ones."""
+        if self.kind == "words":
+            values, places = self.words, range(self.length)
+        else:
+            values, places = mix(packed(self.data)), [*range(0, self.length - 7, 8), *([self.length - 8] if self.length % 8 else [])]
+        n = max(0, len(self.data if self.kind == "bytes" else self.words) - self.length + 1)
+        out = []
+        for salt in (1, 2):
+            total = np.zeros(n, np.uint64)
+            for place in places:
+                total += values[place : place + n] * U64(_odd(salt, place))
+            out.append(mix(total))
+        return out[0], out[1]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, a, b): stretches of consecutive windows a, ..., b - 1 of one row with one anchor."""
@@ -69,15 +93,25 @@ class Units:
         sizes = np.diff(np.append(heads, len(at)))
         return rows[heads], anchor[heads], at[heads], at[heads] + sizes
 
-    def stretch(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
-        """The bytes of the units a, ..., b - 1 + length - 1 each."""
+    def sizes(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, number of bytes) of the units a, ..., b - 1 + length - 1 each."""
         last = b + self.length - 2
         lo, hi = (self.starts[a], self.ends[last]) if self.kind == "words" else (a, last + 1)
-        sizes = hi - lo
+        return lo, hi - lo
+
+    def stretch(self, a: np.ndarray, b: np.ndarray) -> pa.Array:
+        """The bytes of the units a, ..., b - 1 + length - 1 each."""
+        lo, sizes = self.sizes(a, b)
         take = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
         return binary_rows(self.data[take], sizes)
 
 
+@functools.cache
+def _odd(salt: int, place: int) -> int:
+    """An odd 64-bit number for each place of a window."""
+    return int(mix(np.array([salt << 32 | place], np.uint64))[0]) | 1
+
+
 def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of ``gram`` consecutive bytes, 8 to 16."""
     n = len(data) - gram + 1
@@ -90,37 +124,46 @@ def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
 def _anchors(kind: str, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            rows, anchor, _, _ = Units(batch.column(2), kind, length, gram).runs()
+            units = Units(batch.column(2), kind, length, gram)
+            rows, anchor, a, b = units.runs()
+            if not len(rows):
+                continue
+            sizes = units.sizes(a, b)[1]
             once = np.lexsort((anchor, rows))
             rows, anchor = rows[once], anchor[once]
             keep = np.ones(len(rows), bool)
             keep[1:] = (rows[1:] != rows[:-1]) | (anchor[1:] != anchor[:-1])
+            sizes = np.add.reduceat(sizes[once], np.flatnonzero(keep))
             rows = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], ["anchor", "id", "seq"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes)], ["anchor", "id", "seq", "size"])
 
     return run
 
 
+def _wanted(units: Units, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of which a row's list has the anchor."""
+    rows, anchor, a, b = units.runs()
+    values = wanted.flatten().to_numpy().view(np.uint64)
+    counts = np.asarray(wanted.value_lengths().fill_null(0), np.int64)
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((values, of))
+    found = np.zeros(len(rows), bool)
+    values, ends = values[order], np.cumsum(counts)
+    bounds = np.searchsorted(rows, np.arange(len(counts) + 1))
+    for i in range(len(counts)):
+        own = values[ends[i] - counts[i] : ends[i]]
+        lo, hi = bounds[i], bounds[i + 1]
+        if len(own) and hi > lo:
+            at = np.minimum(np.searchsorted(own, anchor[lo:hi]), len(own) - 1)
+            found[lo:hi] = own[at] == anchor[lo:hi]
+    return rows[found], anchor[found], a[found], b[found]
+
+
 def _stretches(kind: str, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             units = Units(batch.column(2), kind, length, gram)
-            rows, anchor, a, b = units.runs()
-            wanted = batch.column(3)
-            values = wanted.flatten().to_numpy().view(np.uint64)
-            counts = np.asarray(wanted.value_lengths().fill_null(0), np.int64)
-            of = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((values, of))
-            found = np.zeros(len(rows), bool)
-            values, ends = values[order], np.cumsum(counts)
-            bounds = np.searchsorted(rows, np.arange(len(counts) + 1))
-            for i in range(len(counts)):
-                own = values[ends[i] - counts[i] : ends[i]]
-                lo, hi = bounds[i], bounds[i + 1]
-                if len(own) and hi > lo:
-                    at = np.minimum(np.searchsorted(own, anchor[lo:hi]), len(own) - 1)
-                    found[lo:hi] = own[at] == anchor[lo:hi]
-            rows, anchor, a, b = rows[found], anchor[found], a[found], b[found]
+            rows, anchor, a, b = _wanted(units, batch.column(3))
             if not len(rows):
                 continue
             base = units.first[:-1][rows]
@@ -130,6 +173,49 @@ def _stretches(kind: str, length: int, gram: int):
     return run
 
 
+def _windows(kind: str, length: int, gram: int):
+    """(h1, h2, id, seq): the distinct windows of each row that have one of its listed anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            units = Units(batch.column(2), kind, length, gram)
+            rows, _, a, b = _wanted(units, batch.column(3))
+            if not len(rows):
+                continue
+            sizes = b - a
+            at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(a, sizes)
+            h1, h2 = units.window_hashes()
+            found = np.stack([np.repeat(rows, sizes).astype(np.uint64), h1[at], h2[at]])
+            found = found[:, np.lexsort(found[::-1])]
+            new = np.ones(found.shape[1], bool)
+            new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+            take = pa.array(found[0, new].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found[1, new].view(np.int64)), pa.array(found[2, new].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["h1", "h2", "id", "seq"])
+
+    return run
+
+
+def hot_spans(texts: pa.Array, hot: pa.Array, kind: str, length: int) -> list[list[tuple[int, int]]]:
+    """For each text the unit spans of its windows whose hashes (h1, h2) are listed."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
+    counts = np.asarray(hot.value_lengths().fill_null(0), np.int64)
+    rows = np.flatnonzero(counts)
+    if not len(rows):
+        return out
+    units = Units(texts.take(pa.array(rows)), kind, length, 1)
+    h1, h2 = units.window_hashes()
+    own = h1 + mix(h2)
+    for r, lo, hi in zip(rows.tolist(), units.first[:-1].tolist(), units.first[1:].tolist(), strict=True):
+        pairs = hot[r].values
+        listed = pairs.field(0).to_numpy().view(np.uint64) + mix(pairs.field(1).to_numpy().view(np.uint64))
+        for at in np.flatnonzero(np.isin(own[lo : max(lo, hi - length + 1)], listed)).tolist():
+            if out[r] and out[r][-1][1] >= at:
+                out[r][-1] = (out[r][-1][0], at + length)
+            else:
+                out[r].append((at, at + length))
+    return out
+
+
 class Solver:
     """Finds the repeats among the differing stretches of one shard."""
 
@@ -140,7 +226,11 @@ class Solver:
 
 
 #: Bytes of stretches that a task holds at a time; an anchor with more is solved in several shards.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: An anchor with more bytes of stretches is taken apart by window.
+HOT_BYTES = 1 << 20
+#: Parts into which the windows of one hash are dealt where their owners are too many to broadcast.
+SALTS = 16
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -209,11 +299,13 @@ def shard(solver: Callable[[], Solver]):
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: int, gram: int, solver: Callable[[], Solver], work: Workspace) -> DataFrame:
-    """(doc_id, text, copy, spans, rest) for every row: whether it is a copy of the text of a smaller id, [a, b) unit spans
-    to remove (null if none), possibly overlapping, and the other columns as a struct.
+    """(doc_id, text, copy, spans, hot, rest) for every row: whether it is a copy of the text of a smaller id, [a, b) unit
+    spans to remove (null if none), possibly overlapping, hashes of further windows to remove (see ``hot_spans``), and the
+    other columns as a struct.
 
     solver: see ``shard``.
     A row without id is compared with nothing.  Rows of one id, with one text or several, don't remove each other.
+    Intermediate tables stay in the work folder until its owner drops them.
     """
     h = [F.xxhash64(F.lit(i), F.coalesce("text", F.lit(""))) for i in (1, 2)]
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
@@ -229,15 +321,32 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: i
     rows = rows.select("id", F.coalesce("seq", F.lit(0)).alias("seq"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "rest")
 
     own = rows.where("not copy and id is not null").select("id", "seq", "text")
-    anchors = own.mapInArrow(_anchors(kind, length, gram), "anchor long, id long, seq int")
-    by_anchor = Window.partitionBy("anchor")
-    shared = anchors.withColumns({"lo": F.min("id").over(by_anchor), "hi": F.max("id").over(by_anchor)}).where("lo < hi")
-    shared = work.write(shared.groupBy("id", "seq").agg(F.collect_list("anchor").alias("anchors")), "shared")
-    stretches = own.join(shared, ["id", "seq"]).select("id", "seq", "text", "anchors").mapInArrow(_stretches(kind, length, gram), "anchor long, id long, seq int, at long, n long, bytes binary")
+    # Grouped minima are added up before the shuffle, so an anchor that very many documents have is a few rows; the join
+    # back is one that Spark splits if a key is hot.
+    anchors = work.write(own.mapInArrow(_anchors(kind, length, gram), "anchor long, id long, seq int, size long"), "anchors")
+    kept = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("size").alias("size")).where("lo < hi").select("anchor", (F.col("size") > HOT_BYTES).alias("hot"))
+    shared = anchors.drop("size").join(kept, "anchor").groupBy("id", "seq").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    shared = work.write(shared, "shared")
+    work.drop("anchors")
+    stretches = own.join(shared.where("size(anchors) > 0"), ["id", "seq"]).select("id", "seq", "text", "anchors").mapInArrow(_stretches(kind, length, gram), "anchor long, id long, seq int, at long, n long, bytes binary")
     found = stretches.repartition("anchor").sortWithinPartitions("anchor", "id", "seq").mapInArrow(shard(solver), "id long, seq int, a long, b long")
-    found = work.write(found.groupBy("id", "seq").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    work.drop("shared")
-    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans", "rest")
+    found = found.groupBy("id", "seq").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    pair = "array<struct<h1:long,h2:long>>"
+    if shared.where("size(hot) > 0").isEmpty():
+        found = found.withColumn("hot", F.lit(None).cast(pair))
+    else:
+        windows = own.join(shared.where("size(hot) > 0"), ["id", "seq"]).select("id", "seq", "text", "hot").mapInArrow(_windows(kind, length, gram), "h1 long, h2 long, id long, seq int")
+        windows = work.write(windows, "windows")
+        least = work.write(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"), "least")
+        small, key = broadcast_if_small(least, 32), ["h1", "h2"]
+        if small is least:
+            windows, key = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), ["h1", "h2", "salt"]
+            small = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        gone = windows.join(small, key).where("id > least").groupBy("id", "seq").agg(F.collect_list(F.struct("h1", "h2")).alias("hot"))
+        found = found.join(gone, ["id", "seq"], "full_outer")
+    found = work.write(found, "spans")
+    work.drop("shared", "windows", "least")
+    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans", "hot", "rest")
 
 
 def union(spans) -> list[tuple[int, int]]:

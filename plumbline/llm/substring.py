@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton, spans
 from .common import Workspace, table
-from .repeats import Solver, repeated_spans, union
+from .textkit import pieces
+from .repeats import Solver, hot_spans, repeated_spans, union
 
 WINDOW, GRAM = 13, 4
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -60,13 +61,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeated_spans(docs, doc_id, text, "words", length, gram, lambda: WordSolver(length), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 totals, gone, kept = [], [], []
-                for own, copy, spans_ in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                hot = hot_spans(part.column(1), part.column(4), "words", length)
+                for own, copy, spans_, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), hot, strict=True):
                     words = _WORDS.findall((own or "").encode("utf-8", "surrogatepass"))
-                    drop = [(0, len(words))] if copy and len(words) >= length else union((s["a"], s["b"]) for s in spans_ or ())
+                    drop = [(0, len(words))] if copy and len(words) >= length else union([(s["a"], s["b"]) for s in spans_ or ()] + more)
                     left, at = [], 0
                     for a, b in drop:
                         left += words[at:a]
@@ -75,7 +77,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     totals.append(len(words))
                     gone.append(len(words) - len(left))
                     kept.append(b" ".join(left))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), part.column(4)], ["doc_id", "text", "n_words", "n_removed", "kept", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), part.column(5)], ["doc_id", "text", "n_words", "n_removed", "kept", "rest"])
 
     counts = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return found.mapInArrow(run, T.StructType([found.schema["doc_id"], found.schema["text"], *counts, found.schema["rest"]]))

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .repeats import Solver, repeated_spans, union
+from .textkit import pieces
+from .repeats import Solver, hot_spans, repeated_spans, union
 from .suffixes import WindowShard
 
 WINDOW, GRAM = 50, 16
@@ -69,13 +70,14 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     found = repeated_spans(docs.select(doc_id, text), doc_id, text, "bytes", length, gram, lambda: ByteSolver(length), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 rows = []
-                for own, copy, spans in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                hot = hot_spans(part.column(1), part.column(4), "bytes", length)
+                for own, copy, spans, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), hot, strict=True):
                     data = (own or "").encode("utf-8", "surrogatepass")
-                    drop = [(0, len(data))] if copy and len(data) >= length else union((s["a"], s["b"]) for s in spans or ())
+                    drop = [(0, len(data))] if copy and len(data) >= length else union([(s["a"], s["b"]) for s in spans or ()] + more)
                     left, at = [], 0
                     for a, b in drop:
                         left.append(data[at:a])
