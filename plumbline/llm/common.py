@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
+import threading
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,30 +45,64 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="plumbline-")
 
 
+#: Folders of this process's workspaces; ``release`` deletes them, at the latest when the process ends.
+_ROOTS: dict[str, SparkSession] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning, _lock = [0, None], threading.Lock()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Deletes the tables of all workspaces (of a session).  Results that still read them can't be computed afterwards."""
+    for root, own in list(_ROOTS.items()):
+        if spark is None or own is spark:
+            _ROOTS.pop(root)
+            _delete(own, root)
+
+
+@atexit.register
+def _at_end() -> None:
+    try:
+        release()
+    except Exception as e:  # the JVM may have gone before
+        warnings.warn(f"work tables were left behind: {e}", stacklevel=1)
+
+
 class Workspace:
-    """Tables written to the shared folder to cut lineage; each can be deleted once it is used up."""
+    """Tables written to the shared folder to cut lineage; each can be deleted once it is used up, and all that are left go
+    with ``release``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+        _ROOTS[self.root] = spark
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
         writer = df.write.mode("overwrite")
-        # The table replaces the shuffle files behind it.
-        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(clean, None)
-        self.spark.conf.set(clean, "true")
+        # The table replaces the shuffle files behind it.  The setting is the session's, so the first of several writes
+        # at a time sets it and the last restores it.
+        with _lock:
+            if not _cleaning[0]:
+                _cleaning[1] = self.spark.conf.get(_CLEAN, None)
+                self.spark.conf.set(_CLEAN, "true")
+            _cleaning[0] += 1
         try:
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         finally:
-            self.spark.conf.set(clean, before) if before is not None else self.spark.conf.unset(clean)
+            with _lock:
+                _cleaning[0] -= 1
+                if not _cleaning[0]:
+                    self.spark.conf.set(_CLEAN, _cleaning[1]) if _cleaning[1] is not None else self.spark.conf.unset(_CLEAN)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -86,6 +123,7 @@ def count_words(text: Column | str) -> Column:
 
 #: Edges that a task contracts at a time.
 CHUNK_EDGES = 250_000
+MOST_ROUNDS = 200
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +155,7 @@ def components(edges: DataFrame, work: Workspace, name: str, chunk: int = 0) ->
     most one edge for each node of a chunk.  If there is more than one chunk, alternating large-star and small-star rounds,
     each a grouped minimum over a written table, join them; their number grows with the logarithm of the longest path.  No
     edge list reaches the driver, and a node with very many edges is only ever aggregated.  Nodes without an edge are not
-    in the result.
+    in the result.  A path that MOST_ROUNDS don't settle, longer than any 64-bit ids can make, raises.
     """
     state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     given = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -127,7 +165,7 @@ def components(edges: DataFrame, work: Workspace, name: str, chunk: int = 0) ->
     now = work.write(dealt.mapInArrow(_contract, "a long, b long"), f"{name}-0")
     work.drop(f"{name}-edges")
     before = state(now)
-    for round_ in range(1, 200 if chunks > 1 else 1):
+    for round_ in range(1, MOST_ROUNDS if chunks > 1 else 1):
         large = _star(now, large=True)
         small = _star(large, large=False)
         now = work.write(small.distinct(), f"{name}-{round_}")
@@ -135,6 +173,9 @@ def components(edges: DataFrame, work: Workspace, name: str, chunk: int = 0) ->
         if (after := state(now)) == before:
             break
         before = after
+    else:
+        if chunks > 1:
+            raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
