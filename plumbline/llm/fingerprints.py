@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, table
+from .common import Workspace, broadcast_if_small, partitions, table
+from .textkit import pieces
 
 _SPACES = re.compile(r"\s+")
 
@@ -40,13 +41,18 @@ def likeness(a: bytes, b: bytes, digest_a: str, digest_b: str) -> float:
     return 1.0 if digest_a == digest_b and a == b else 0.0
 
 
+#: Bytes of text that are held as Python objects at a time.
+BATCH_BYTES = 4 << 20
+
+
 def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint") -> DataFrame:
-    """The given rows with the digest of their canonical text."""
+    """The given rows, nulls, repeats and empty tables included, with the digest of their canonical text; a given column of
+    that name is replaced."""
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != column), T.StructField(column, T.StringType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at, BATCH_BYTES):
             own = pa.array([digest(canonical(t)) for t in batch.column(at).to_pylist()], pa.string())
             arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != column]
             yield pa.RecordBatch.from_arrays([*arrays, own], [f.name for f in schema.fields])
@@ -54,28 +60,44 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint
     return docs.mapInArrow(run, schema)
 
 
-def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, class_id): documents with equal canonical bytes get the smallest doc_id among them.
+def _digests(docs: DataFrame, doc_id: str, text: str, with_bytes: bool) -> DataFrame:
+    """(doc_id, fingerprint, canonical_sha256[, bytes])."""
+    names = ["doc_id", "fingerprint", "canonical_sha256", *(["bytes"] if with_bytes else [])]
 
-    Buckets of equal digests are compared byte by byte with their first member; what differs from it forms further
-    buckets by a second digest, so a collision never joins two texts.  Only buckets with more than one row move text,
-    and a bucket is a join on its digest, which Spark splits if it is hot.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), [canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(t) for t in texts], pa.string()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "fingerprint", "second", "bytes"])
+        for batch in pieces(batches, 1, BATCH_BYTES):
+            texts = [canonical(t) for t in batch.column(1).to_pylist()]
+            made = [batch.column(0), pa.array([digest(t) for t in texts], pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+            yield pa.RecordBatch.from_arrays([*made, *([pa.array(texts, pa.binary())] if with_bytes else [])], names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    made = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string, second binary, bytes binary")
-    heads = made.groupBy("fingerprint").agg(F.min(F.struct("second", "doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("fingerprint", F.col("head.second").alias("first"), F.col("head.doc_id").alias("head_id"))
-    bytes_of_heads = made.alias("m").join(heads.alias("h"), (F.col("m.fingerprint") == F.col("h.fingerprint")) & (F.col("m.second") == F.col("h.first")) & F.col("m.doc_id").eqNullSafe(F.col("h.head_id"))).select("m.fingerprint", F.col("m.bytes").alias("head_bytes")).dropDuplicates(["fingerprint"])
-    joined = made.join(bytes_of_heads, "fingerprint", "left")
-    # Equal to the head's bytes: the bucket's class.  Else (a collision): the class of its second digest.
-    joined = joined.select("doc_id", "fingerprint", F.when(F.col("head_bytes").isNull() | (F.col("bytes") == F.col("head_bytes")), F.lit(None).cast("binary")).otherwise(F.col("second")).alias("other"))
-    ids = joined.groupBy("fingerprint", F.coalesce("other", F.lit(b"")).alias("k")).agg(F.min("doc_id").alias("class_id"))
-    return joined.withColumn("k", F.coalesce("other", F.lit(b""))).join(ids, ["fingerprint", "k"]).select("doc_id", "fingerprint", "class_id")
+    schema = f"doc_id {kind}, fingerprint string, canonical_sha256 string" + (", bytes binary" if with_bytes else "")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def with_classes(made: DataFrame, docs: DataFrame, doc_id: str, text: str, work: Workspace) -> DataFrame:
+    """A written table of digests (doc_id, fingerprint, canonical_sha256, ...) of docs with class_id: the smallest doc_id
+    among the documents with equal canonical bytes.
+
+    Buckets are equal digests by xxhash and, should two texts ever share one, by SHA-256.  Inside a bucket the bytes are
+    compared: the least and the greatest text of it are aggregated before the shuffle, so of a hot bucket a task sends one
+    text, and texts of which there is one aren't sent where the buckets can be broadcast.  Texts that share both digests and
+    differ raise.  A bucket of null ids only has a null class.
+    """
+    key = ["fingerprint", "canonical_sha256"]
+    buckets = work.write(made.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("class_id")).where("n > 1").drop("n"), "buckets")
+    bound = broadcast_if_small(buckets, 160)
+    texts = _digests(docs, doc_id, text, True).join(F.broadcast(buckets.select(*key)) if bound is not buckets else buckets.select(*key), key)
+    if not texts.groupBy(*key).agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least <> most").isEmpty():
+        raise ValueError("different texts share both digests")
+    return made.join(bound, key, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
+def exact_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, canonical_sha256, class_id) for every row: see ``with_classes``.  A null text is empty; repeated
+    rows are copies of each other; an empty table gives no rows."""
+    work = Workspace(docs.sparkSession, "classes")
+    return with_classes(work.write(_digests(docs, doc_id, text, False), "digests"), docs, doc_id, text, work)
 
 
 def with_next(docs: DataFrame, doc_id: str, text: str, buckets: int | None = None) -> DataFrame:
@@ -127,8 +149,10 @@ def _range(rows: DataFrame, cuts: np.ndarray, column: str) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document with the digest of its text and of its edited text (see ``with_next``): the last third of its code
-    points replaced by as many first ones of the next document.  A null text is empty; the only document is its own
-    next.  Repeated rows each give a row."""
+    points replaced by as many first ones of the next document, and the SHA-256 of its canonical text.  A null text is
+    empty; the only document is its own next.  Repeated rows each give a row; rows of one id are in the order of a hash of
+    their texts.  Texts are held in batches of BATCH_BYTES, a longer one alone.  Other columns are ignored, whatever their
+    names; an empty table gives no rows."""
     ordered = with_next(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +167,14 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             raw = edited.encode("utf-8", "surrogatepass")
             a, b, c = row[4], canonical(edited), nxt[4]
             da, db, dc = row[5], digest(b), nxt[5]
-            return row[2], n, hashlib.sha256(raw).hexdigest(), da, db, likeness(a, b, da, db), likeness(a, c, da, dc)
+            return row[2], n, hashlib.sha256(raw).hexdigest(), da, db, likeness(a, b, da, db), likeness(a, c, da, dc), hashlib.sha256(a).hexdigest()
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
             out.clear()
             return made
 
-        for batch in batches:
+        for batch in pieces(batches, 3, BATCH_BYTES):
             for bucket, guest, own_id, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if guest and held and held[0] == bucket and held[1]:
                     continue  # of equal guests the first counts
@@ -164,10 +188,13 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         if out:
             yield flush()
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "canonical_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canonical_sha256 string")
 
 
 def op4_fingerprints(spark, sf_dir):
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    """With class_id: the smallest doc_id of the documents with equal canonical texts."""
+    docs = table(spark, sf_dir, "documents")
+    work = Workspace(spark, "fingerprints")
+    return with_classes(work.write(edited_fingerprints(docs), "edited"), docs, "doc_id", "text", work)
