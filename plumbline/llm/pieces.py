@@ -301,7 +301,8 @@ def _inputs(docs: DataFrame, doc_id: str, text: str, copy: str | None) -> DataFr
 
 def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", rate: float = RATE, seed: int = SEED, copy: str | None = None) -> DataFrame:
     """(doc_id, text, ids): ids as little-endian 32-bit integers.  A null text is empty and has none; rows of one id, text
-    and copy (a column that numbers repeated rows; all 0 without it) give equal results."""
+    and copy (a column that numbers repeated rows; all 0 without it) give equal results.  Texts are encoded in batches of
+    BATCH_BYTES, a longer one whole and alone; other columns are ignored, and an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = DropoutEncoder(path, rate, seed)
@@ -327,8 +328,10 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", column: str =
 
 
 def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", copy: str | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, lossless): number and unsigned crc32 of a document's ids, and whether they decode to its
-    text.  copy: as for encode_pieces."""
+    """(doc_id, n_pieces, ids_crc32, lossless, ids): number and unsigned crc32 of a document's ids, whether they decode to its
+    text, and the ids as little-endian 32-bit integers.  copy: as for encode_pieces.  Every row gives a row, ids null or
+    repeated included; a null text is empty; texts are encoded in batches of BATCH_BYTES, a longer one whole and alone.
+    Other columns are ignored, whatever their names; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = DropoutEncoder(path)
@@ -336,10 +339,10 @@ def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1), batch.column(2))
             tokens, spans = tokens.astype("<u4"), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             same = [own.model.decode(tokens[a:b].tolist()) == text for (a, b), text in zip(spans, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()), pa.array(same), binary_rows(tokens, np.diff(at))], ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean")
+    return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean, ids binary")
 
 
 def op7_pieces(spark, sf_dir, vocabulary: str = "piece_bpe_32k.model"):
