@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from plumbline.llm import chat, fingerprints, jaccard, licences, mixing, pieces, quality, registry, substring, suffix_dedup, suffixes, token_files  # noqa: E402
 from plumbline.llm.automaton import SuffixAutomaton, spans  # noqa: E402
 from plumbline.llm.common import Workspace, components  # noqa: E402
+from plumbline.llm import repeats  # noqa: E402
 from plumbline.llm.repeats import sliding_min, union  # noqa: E402
 from plumbline.llm.textkit import shingle_sets  # noqa: E402
 
@@ -169,16 +171,27 @@ def brute_bytes(rows, n=50):
     return out
 
 
-def test_substring(docs, rows):
+@pytest.mark.parametrize("hot", [1 << 20, 300])
+def test_substring(docs, rows, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)  # anchors with more are taken apart by window
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()}
     assert got == brute_words(rows)
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_hot_windows_without_a_broadcast(docs, rows, salted, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_BYTES", 0)  # no anchor has a shard
+    if salted:
+        monkeypatch.setattr(repeats, "broadcast_if_small", lambda df, row_bytes: df)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()}
+    assert got == brute_words(rows)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 2000, 0])
 @pytest.mark.parametrize("small", [False, True])
-def test_suffix(docs, rows, small, monkeypatch):
+def test_suffix(docs, rows, small, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     if small:  # anchors are spread over several shards and merged by binary search
-        import plumbline.llm.repeats as repeats
-
         class Small(suffix_dedup.ByteSolver):
             def __init__(self, length=50):
                 import plumbline.llm.repeats as r
@@ -287,6 +300,65 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark, empty):
     assert quality.quality(empty).count() == 0
 
 
+def brute_mcd(z, keys):
+    """Distances by numpy: z (documents x 5), keys (documents) of (language, source)."""
+    floors = np.diag([(f * 1024) ** 2 for _, f in quality.FEATURES])
+
+    def estimate(x):
+        m = np.median(x, axis=0)
+        a = np.maximum(1.4826 * np.median(abs(x - m), axis=0), np.sqrt(np.diag(floors)))
+        y = (x - m) / a
+        r = np.sqrt((y**2).sum(axis=1, keepdims=True))
+        t = np.floor(1024 * y / (1 + abs(y)) + 0.5)
+        u = np.floor(1024 * np.divide(y, r, out=np.zeros_like(y), where=r > 0) + 0.5)
+        best = None
+        for form in (None, np.cov(t.T, bias=True), u.T @ u / len(u)):
+            c = np.diag(a**2)
+            if form is not None:
+                d = np.sqrt(np.diag(form))
+                ok = np.outer(d > 0, d > 0) & ~np.eye(5, dtype=bool)
+                c = c + np.where(ok, 0.99 * form / np.where(ok, np.outer(d, d), 1) * np.outer(a, a), 0)
+            centre, least = m, np.inf
+            while True:
+                away = np.floor(32 * np.sqrt(np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(c), x - centre)))
+                near = x[away <= np.sort(away)[int(np.ceil(0.75 * len(x))) - 1]]
+                m2, c2 = near.mean(axis=0), 1.4121 * np.cov(near.T, bias=True) + floors
+                if np.sqrt(np.linalg.det(c2)) >= least * (1 - 1e-12):
+                    break
+                centre, c, least = m2, c2, np.sqrt(np.linalg.det(c2))
+            if best is None or least < best[0] * (1 - 1e-12):
+                best = (least, centre, c)
+        return len(x), best[1], best[2]
+
+    drawn = lambda own, up: tuple((own[0] * a + 50 * b) / (own[0] + 50) for a, b in zip(own[1:], up))
+    everything, out = estimate(z)[1:], np.zeros(len(z))
+    for lang in {k[0] for k in keys}:
+        of_lang = np.array([k[0] == lang for k in keys])
+        up = drawn(estimate(z[of_lang]), everything)
+        for key in {k for k in keys if k[0] == lang}:
+            mine = np.array([k == key for k in keys])
+            m, c = drawn(estimate(z[mine]), up)
+            out[mine] = np.einsum("ij,jk,ik->i", z[mine] - m, np.linalg.inv(c), z[mine] - m)
+    return out
+
+
+def test_quality_distances_against_numpy(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(420):
+        source = rng.choice(["a", "a", "a", "b", "b", None])
+        lang = rng.choice(["en", "en", "de", None]) if i else "rare"
+        n = int(2 ** rng.gauss(7 if source == "a" else 6, 0.7)) + 20
+        text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9 if lang == "en" else 14) + (rng.choice("#$%") if rng.random() < (0.9 if i % 29 == 5 else 0.02) else "") * (i % 29 == 5 and 9 or 1) + str(j % 90) for j in range(n))
+        rows.append((i, text + "\nsame\nsame" * (i % 4 == 0), lang, source))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not base_failed").collect()
+    at = {r[0]: (r[2], r[3]) for r in rows}
+    raw = [(np.log2(1 + r["n_words"]), np.log2((1 + r["word_chars"]) / (1 + r["n_words"])), np.sqrt(r["n_symbols"] / (1 + r["word_chars"])), np.sqrt(r["n_dup_lines"] / (1 + r["n_words"])), np.sqrt(r["n_repeat_words"] / (1 + r["n_words"]))) for r in got]
+    want = brute_mcd(np.floor(np.array(raw) * 1024 + 0.5), [at[r["doc_id"]] for r in got])
+    assert len(got) > 300 and np.allclose([r["distance"] for r in got], want, rtol=1e-6)
+    assert [r["kept"] for r in got] == (want <= quality.CUTOFF).tolist() and 0 < sum(not r["kept"] for r in got) < 100
+
+
 def test_mixing(spark, docs, rows, empty):
     sized = docs.withColumns({"sources": F.array("source"), "size": F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))})
     taken, plan = mixing.mix(sized, "doc_id", "size", "sources")
@@ -298,10 +370,24 @@ def test_mixing(spark, docs, rows, empty):
         by[r["source"]] += r["taken"]
     largest = max(r["size"] for r in got)
     for p in plan.collect():
-        assert p["target"] - largest - 1 <= by[p["source"]] <= p["target"] + 1e-6
+        assert abs(p["target"] - by[p["source"]]) <= largest / 2 + 1
     assert sorted((r["doc_id"], r["repeats"]) for r in mixing.mix(sized.repartition(5), "doc_id", "size", "sources")[0].collect()) == sorted((r["doc_id"], r["repeats"]) for r in got)
     none = empty.withColumns({"sources": F.array("source"), "size": F.lit(1)})
     assert mixing.mix(none, "doc_id", "size", "sources")[0].count() == 0
+    odd = sized.select("doc_id", "size", F.array(F.concat("source", F.lit("\x1f"), "lang")).alias("sources"), F.lit(7).alias("_size"), F.lit("p").alias("_pattern"), F.lit(9).alias("_bucket"), F.lit(1).alias("taken"))
+    got, plan = mixing.mix(odd, "doc_id", "size", "sources")
+    assert all((r["_size"], r["_pattern"], r["_bucket"]) == (7, "p", 9) for r in got.collect()) and got.columns.count("taken") == 1
+    assert "s1\x1fen" in {r["source"] for r in plan.collect()}
+    lost = sized.select(F.lit(None).cast("long").alias("doc_id"), "size", "sources", "text")
+    got = mixing.mix(lost, "doc_id", "size", "sources")[0]
+    assert got.select("repeats").distinct().count() > 1 and got.exceptAll(mixing.mix(lost.repartition(7), "doc_id", "size", "sources")[0]).count() == 0
+
+
+def test_mixing_refuses_too_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.lit(1).alias("size"), F.array(F.col("id").cast("string")).alias("sources"))
+    with pytest.raises(ValueError):
+        mixing.mix(df, "doc_id", "size", "sources")
 
 
 def test_mixing_overlapping_sources(spark):
@@ -458,6 +544,10 @@ def test_piece_query(docs, rows, empty):
     assert len(got) == len(rows) and all(r["lossless"] for r in got)
     assert pieces.piece_digests(docs.repartition(7), SP).exceptAll(pieces.piece_digests(docs, SP)).count() == 0
     assert pieces.piece_digests(empty, SP).count() == 0
+    own = {r["doc_id"]: r for r in pieces.decode_pieces(pieces.encode_pieces(docs, SP), SP).collect()}
+    for r in got:
+        assert bytes(r["ids"]) == bytes(own[r["doc_id"]]["ids"]) and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["n_pieces"]
+    assert {i: r["decoded"] for i, r in own.items()} == {i: t or "" for i, t, *_ in rows}
 
 
 def test_chat(spark):
@@ -482,11 +572,36 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licences_headers_and_tags(spark):
+    from plumbline.llm.licence_texts import TEMPLATES
+
+    wrap = lambda t, by: "\n\n".join(by + ("\n" + by).join(textwrap.wrap(p, 70)) for p in t.split("\n\n"))
+    longest = {}
+    for name, text in TEMPLATES:
+        if len(text) > len(longest.get(name, "")):
+            longest[name] = text
+    rows, want = [], {}
+    for i, (name, text) in enumerate(sorted(longest.items())):
+        head = "Copyright (c) 2021 Acme Widgets Inc. and contributors\n\n" if len(text) > 200 else ""
+        rows.append((i, f"{i}/LICENSE", head + wrap(text, "")))
+        rows.append((100 + i, f"{i}/a/x.py", head + wrap(text, "# ") + "\n\n" + "code() # of something else\n" * 400))
+        want |= {i: name, 100 + i: name, 300 + i: name}
+        rows.append((300 + i, f"{i}/a/b/y.py", "plain = code"))
+    rows += [(200, "t/x.c", "// SPDX-License-Identifier: MIT\nint x;"), (201, "t/y.c", "We permit nothing; permission to speak was granted by the king, who held the copyright of all songs.")]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string")
+    for copies in (1, 40):  # the same in a larger corpus
+        many = df.unionByName(df.crossJoin(spark.range(copies - 1)).where("file_id < 100").select(F.col("file_id"), F.concat(F.lit("more/"), F.col("id").cast("string"), F.lit("/"), "path").alias("path"), "text"))
+        got = {r["file_id"]: (r["licence"], r["origin"]) for r in licences.scan(many).collect() if not r["path"].startswith("more/")}
+        assert {i: got[i][0] for i in want} == want
+        assert got[200] == ("MIT", "own") and got[201] == (None, None) and all(got[300 + i][1] == str(i) for i in range(len(longest)))
+
+
 def test_native_plans_have_no_python(spark, docs):
     plan = chat.render(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    plan = quality.statistics(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for made in (quality.statistics(docs), quality.quality(docs), licences.scan(docs.withColumnRenamed("lang", "path"), "doc_id")):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_registry():
