@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import DEC, exact
+from ..functions import DEC, decimal, exact, minus, over, plus, times, total
 
 CONFIDENCE, MIN_SUPPORT, MIN_DISTINCT = 0.95, 4, 2
 SUM_NAMES = r"(?i)^(total|sum|subtotal|amount|.*_(total|sum))$"
@@ -15,7 +15,7 @@ COUNT_NAMES = r"(?i)^(count|n|size|.*_count)$"
 def discover(parents: DataFrame, key: str, target: str, children: DataFrame, foreign: str, value: Column, kind: str) -> tuple[DataFrame, DataFrame]:
     """(relation, candidates): whether parents' target is the sum of the children's value ("sum") or their number
     ("count") nearly always, and the rows where it isn't.  Children are summed before they meet their parents."""
-    made = F.sum(value.cast(DEC)) if kind == "sum" else F.count(F.lit(1)).cast(DEC)
+    made = exact_sum(exact(value)) if kind == "sum" else F.count(F.lit(1)).cast(DEC)
     sums = children.groupBy(F.col(foreign).alias("row_id")).agg(made.cast(DEC).alias("expected"))
     rows = parents.select(F.col(key).alias("row_id"), exact(target).alias("found")).join(sums, "row_id")
     relation = rows.where("found is not null").agg(F.count(F.lit(1)).alias("decided"), F.count(F.when(F.col("found") == F.col("expected"), 1)).alias("support"), F.approx_count_distinct("expected").alias("d"))
@@ -25,10 +25,15 @@ def discover(parents: DataFrame, key: str, target: str, children: DataFrame, for
     return relation, bad.select("row_id", code.alias("code"), F.col("found").alias("old_value"), F.col("expected").alias("new_value"))
 
 
+def exact_sum(c: Column) -> Column:
+    """The sum of DEC numbers; null beyond 28 digits before the point, or if a number in the group was lost."""
+    return F.try_sum(c).cast(DEC)
+
+
 def linear_balance(df: DataFrame, key: str, terms: dict[str, int], target: str) -> DataFrame:
     """Rows where the terms with their coefficients don't sum to zero; the target solves each."""
-    total = sum((exact(f) * c for f, c in sorted(terms.items()) if f != target), F.lit(0).cast(DEC))
-    wanted = (F.negative(total) / F.lit(terms[target])).cast(DEC)
+    others = [times(exact(f), decimal(c)) for f, c in sorted(terms.items()) if f != target]
+    wanted = over(F.negative(total(F.lit(0).cast(DEC), *others)), decimal(terms[target]))
     return df.select(F.col(key).alias("row_id"), exact(target).alias("old_value"), wanted.alias("new_value")).where("new_value is not null and (old_value is null or old_value <> new_value)").withColumn("code", F.lit("conservation_violation"))
 
 
@@ -52,13 +57,12 @@ def check_mean(found: DataFrame, made: DataFrame) -> DataFrame:
     """found: (row_id, value).  Rows whose value isn't the weighted mean: compared by cross-multiplication, so nothing is
     rounded; the candidate is given where the mean has a finite expansion of nine places."""
     joined = found.join(made, "row_id").where("mean_den is not null")
-    exact_mean = (F.col("mean_num") / F.col("mean_den")).cast(DEC)
-    holds = (exact("value") * F.col("mean_den").cast("decimal(19,4)")).cast("decimal(38,9)") == F.col("mean_num").cast("decimal(38,9)")
-    back = (exact_mean * F.col("mean_den").cast("decimal(19,4)")).cast("decimal(38,9)") == F.col("mean_num").cast("decimal(38,9)")
-    return joined.where(~holds | F.col("value").isNull()).select("row_id", F.lit("weighted_mean_violation").alias("code"), exact("value").alias("old_value"), F.when(back, exact_mean).alias("new_value"))
+    num, den, value = exact("mean_num"), exact("mean_den"), exact("value")
+    holds = F.coalesce(times(value, den) == num, F.lit(False))
+    return joined.where(~holds | F.col("value").isNull()).select("row_id", F.lit("weighted_mean_violation").alias("code"), value.alias("old_value"), over(num, den).alias("new_value"))
 
 
 def unit_normalise(df: DataFrame, key: str, value: str, unit: str, table: DataFrame) -> DataFrame:
     """table: (unit, scale, offset, base).  Rows in another unit than the base, with both new values as one edit."""
     joined = df.select(F.col(key).alias("row_id"), exact(value).alias("old_value"), F.col(unit).alias("unit")).join(F.broadcast(table), "unit")
-    return joined.where("unit <> base").select("row_id", "old_value", F.col("unit").alias("old_unit"), (F.col("old_value") * F.col("scale").cast("decimal(19,6)") + F.col("offset")).cast(DEC).alias("new_value"), F.col("base").alias("new_unit"))
+    return joined.where("unit <> base").select("row_id", "old_value", F.col("unit").alias("old_unit"), plus(times(F.col("old_value"), exact("scale")), exact("offset")).alias("new_value"), F.col("base").alias("new_unit"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions import DEC, exact
+from ..functions import exact, minus, over, plus, times
 
 CONFIDENCE, MIN_SUPPORT, DIRECTION, SEQUENTIAL = 0.95, 4, 0.90, 0.75
 SPARSE_FLOOR, SPARSE_SUPPORT, SPARSE_MARGIN = 0.60, 4, 2
@@ -27,19 +27,27 @@ def formulas(fields: list[str]) -> list[tuple[str, str, str, str]]:
     return out
 
 
+_VALUE = {"+": plus, "-": minus, "*": times, "/": over}
+
+
 def value_of(a: str, op: str, b: str) -> Column:
-    x, y = exact(a), exact(b)
-    if op == "/":
-        return F.try_divide(x, y).cast(DEC)
-    return {"+": x + y, "-": x - y, "*": (x * y)}[op].cast(DEC)
+    """The formula's exact value; null if it isn't defined or has more digits than DEC."""
+    return _VALUE[op](exact(a), exact(b))
 
 
 def holds(df: DataFrame, target: str, a: str, op: str, b: str) -> Column:
     """Whether a row's formula holds; null if it isn't decided.  Integral columns are compared as 64-bit integers (a
-    quotient by multiplying back), which is several times faster than decimals; an overflow is undecided."""
+    quotient by multiplying back), which is several times faster than decimals; an overflow is undecided.  A product or
+    quotient with more places than a number can have equals none."""
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if not all(isinstance(df.schema[c].dataType, integral) for c in (target, a, b)):
-        return value_of(a, op, b) == exact(target)
+        t, x, y = exact(target), exact(a), exact(b)
+        if op == "/":  # t = x / y as t * y = x
+            t, x, y, op = x, t, F.when(y != 0, y), "*"
+        known = t.isNotNull() & x.isNotNull() & y.isNotNull()
+        made = _VALUE[op](x, y)
+        fits = (F.abs(x.cast("double") * y.cast("double")) < 1e18) & (F.abs(x) < 10**18) & (F.abs(y) < 10**18)
+        return F.when(known, F.coalesce(made == t, F.when(fits, F.lit(False)) if op == "*" else None) if op == "*" else made == t)
     t, x, y = (F.col(c).cast("bigint") for c in (target, a, b))
     if op == "/":
         return F.when(y != 0, F.try_multiply(t, y) == x)
@@ -77,7 +85,7 @@ def consensus(found: DataFrame) -> DataFrame:
 def sparse(df: DataFrame, key: str, rule: tuple[str, str, str, str]) -> DataFrame:
     """Repairs of a formula that fails often, if its errors are all different: no systematic other relation explains them."""
     target, a, op, b = rule
-    rows = df.select(F.col(key).alias("row_id"), exact(target).alias("old_value"), value_of(a, op, b).alias("new_value")).where("old_value is not null and new_value is not null").withColumn("residual", F.col("old_value") - F.col("new_value"))
+    rows = df.select(F.col(key).alias("row_id"), exact(target).alias("old_value"), value_of(a, op, b).alias("new_value")).where("old_value is not null and new_value is not null").withColumn("residual", minus(F.col("old_value"), F.col("new_value")))
     by_residual = rows.groupBy("residual").agg(F.count(F.lit(1)).alias("n"))
     gate = by_residual.agg(F.sum("n").alias("n"), F.coalesce(F.max(F.when(F.col("residual") == 0, F.col("n"))), F.lit(0)).alias("support"), F.coalesce(F.max(F.when(F.col("residual") != 0, F.col("n"))), F.lit(0)).alias("most"))
     gate = gate.where(f"support / n >= {SPARSE_FLOOR} and support >= {SPARSE_SUPPORT} and most <= 1 and support - most >= {SPARSE_MARGIN}")
@@ -106,7 +114,7 @@ def balances(df: DataFrame, fields: list[str], confidence: float = CONFIDENCE) -
             sides.append((w, x, y, z))
     aggs, items = [], []
     for i, (w, x, y, z) in enumerate(sides):
-        left, right = exact(w) + exact(x), exact(y) + exact(z)
+        left, right = plus(exact(w), exact(x)), plus(exact(y), exact(z))
         aggs += [F.count(F.when(left == right, 1)).alias(f"s{i}"), F.count(left == right).alias(f"d{i}"), (F.max(left) != F.min(left)).alias(f"v{i}")]
         items.append(F.struct(F.lit(f"{w}+{x}").alias("left_side"), F.lit(f"{y}+{z}").alias("right_side"), F.col(f"s{i}").alias("support"), F.col(f"d{i}").alias("decided"), F.col(f"v{i}").alias("varies")))
     return df.agg(*aggs).select(F.explode(F.array(*items)).alias("f")).select("f.*").where(f"varies and decided >= {MIN_SUPPORT} and support / decided >= {confidence}").drop("varies")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import itertools
+import math
 import re
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import DEC, exact, project
+from ..functions import DEC, decimal, exact, exact_root, minus, number_text, over, plus, power, project, times, total
 
 
 # Predicates and rules over them: null is unknown, and only false is a violation.
@@ -177,11 +178,11 @@ CHECKS = {
     "type": lambda c, a: {"integer": c.try_cast("bigint").isNotNull(), "number": c.try_cast("double").isNotNull(), "boolean": c.try_cast("boolean").isNotNull(), "string": c.isNotNull()}[a],
     "enum": lambda c, a: c.isin(a),
     "const": lambda c, a: c.eqNullSafe(F.lit(a)),
-    "minimum": lambda c, a: exact(c) >= a,
-    "maximum": lambda c, a: exact(c) <= a,
-    "exclusiveMinimum": lambda c, a: exact(c) > a,
-    "exclusiveMaximum": lambda c, a: exact(c) < a,
-    "multipleOf": lambda c, a: F.pmod(exact(c), F.lit(a).cast(DEC)) == 0,
+    "minimum": lambda c, a: exact(c) >= decimal(a),
+    "maximum": lambda c, a: exact(c) <= decimal(a),
+    "exclusiveMinimum": lambda c, a: exact(c) > decimal(a),
+    "exclusiveMaximum": lambda c, a: exact(c) < decimal(a),
+    "multipleOf": lambda c, a: F.pmod(exact(c), decimal(a)) == 0,
     "minLength": lambda c, a: F.char_length(c) >= a,
     "maxLength": lambda c, a: F.char_length(c) <= a,
     "minItems": lambda c, a: F.size(c) >= a,
@@ -211,7 +212,7 @@ def evaluate(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
         elif r.kind in _NUMERIC:
             own = {x.kind: x.argument for x in rules if x.field == r.field and x.kind in _NUMERIC}
             if "exclusiveMinimum" not in own and "exclusiveMaximum" not in own:
-                new = project(exact(c), own.get("minimum"), own.get("maximum"), own.get("multipleOf")).cast("string")
+                new = number_text(project(c, own.get("minimum"), own.get("maximum"), own.get("multipleOf")))
         code = "required_missing" if r.kind == "require" else f"{r.kind}_violation"
         items.append(F.when(~ok, F.struct(F.lit(r.field).alias("field"), F.lit(code).alias("code"), c.cast("string").alias("old_value"), new.alias("new_value"))))
     return df.select(F.col(key).alias("row_id"), F.explode(F.array_compact(F.array(*items))).alias("i")).select("row_id", "i.*")
@@ -219,35 +220,41 @@ def evaluate(df: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
 
 # Expressions: a small whitelisted language compiled to exact columns.
 
-_CALLS = {"abs": lambda x: F.abs(x), "floor": lambda x: F.floor(x).cast(DEC), "ceil": lambda x: F.ceil(x).cast(DEC), "min": lambda *x: F.least(*x), "max": lambda *x: F.greatest(*x), "sum": lambda *x: reduce(lambda a, b: a + b, x), "mod": lambda a, b: F.pmod(a, F.nullif(b, F.lit(0).cast(DEC)))}
+def _known(function):
+    """Null if an argument is: greatest and least would skip it."""
+    return lambda *x: F.when(reduce(lambda a, b: a & b, (c.isNotNull() for c in x)), function(*x))
+
+
+_CALLS = {
+    "abs": F.abs, "floor": lambda x: F.floor(x).cast(DEC), "ceil": lambda x: F.ceil(x).cast(DEC), "min": _known(lambda *x: F.least(*x) if x[1:] else x[0]), "max": _known(lambda *x: F.greatest(*x) if x[1:] else x[0]),
+    "sum": lambda *x: total(*x), "product": lambda *x: reduce(times, x), "mod": lambda a, b: F.pmod(a, F.nullif(b, F.lit(0).cast(DEC))).cast(DEC), "sqrt": lambda x: exact_root(x, 2),
+}
+#: Largest whole power that an expression may have.
+MOST_POWER = 64
 
 
 def compile_expression(text: str) -> Column:
-    """Exact column of an expression; null where a field is, or where it isn't defined."""
+    """Exact column of an expression: + - * / % **, whole powers and 1/n-th roots, and the calls in _CALLS.  Null where a
+    field is, where it isn't defined, and where the value has more digits than DEC."""
 
     def walk(node) -> Column:
         if isinstance(node, ast.Expression):
             return walk(node.body)
         if isinstance(node, ast.Constant) and isinstance(node.value, int | float) and not isinstance(node.value, bool):
-            return F.lit(str(node.value)).cast(DEC)
+            return decimal(str(node.value))
         if isinstance(node, ast.Name):
             return exact(node.id)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
             return F.negative(walk(node.operand))
         if isinstance(node, ast.BinOp):
             a, b = walk(node.left), walk(node.right)
-            if isinstance(node.op, ast.Add):
-                return (a + b).cast(DEC)
-            if isinstance(node.op, ast.Sub):
-                return (a - b).cast(DEC)
-            if isinstance(node.op, ast.Mult):
-                return (a * b).cast(DEC)
-            if isinstance(node.op, ast.Div):
-                return F.try_divide(a, b).cast(DEC)
-            if isinstance(node.op, ast.Mod):
-                return _CALLS["mod"](a, b)
-            if isinstance(node.op, ast.Pow) and isinstance(node.right, ast.Constant) and isinstance(node.right.value, int) and 0 <= node.right.value <= 8:
-                return reduce(lambda x, _: (x * a).cast(DEC), range(node.right.value), F.lit(1).cast(DEC))
+            if type(node.op) in _OPERATORS:
+                return _OPERATORS[type(node.op)](a, b)
+            exponent = _whole(node.right)
+            if isinstance(node.op, ast.Pow) and exponent is not None and abs(exponent) <= MOST_POWER:
+                return power(a, exponent)
+            if isinstance(node.op, ast.Pow) and (root := _root(node.right)):
+                return exact_root(a, root)
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _CALLS and not node.keywords:
             return _CALLS[node.func.id](*map(walk, node.args))
         raise ValueError(f"not allowed in an expression: {ast.dump(node)[:60]}")
@@ -255,6 +262,36 @@ def compile_expression(text: str) -> Column:
     return walk(ast.parse(text.strip(), mode="eval"))
 
 
+_OPERATORS = {ast.Add: plus, ast.Sub: minus, ast.Mult: times, ast.Div: over, ast.Mod: _CALLS["mod"]}
+
+
+def _whole(node) -> int | None:
+    sign = 1
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        node, sign = node.operand, -1
+    return sign * node.value if isinstance(node, ast.Constant) and isinstance(node.value, int) and not isinstance(node.value, bool) else None
+
+
+def _root(node) -> int | None:
+    """n of an exponent 1/n."""
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Div) and _whole(node.left) == 1:
+        n = _whole(node.right)
+        return n if n and 0 < n <= MOST_POWER else None
+    return None
+
+
+def expression_fields(text: str) -> list[str]:
+    """The fields that an expression reads."""
+    return sorted({n.id for n in ast.walk(ast.parse(text.strip(), mode="eval")) if isinstance(n, ast.Name)} - set(_CALLS))
+
+
+def expression_status(text: str) -> Column:
+    """VALUE, UNKNOWN if a field is missing or no number, DOMAIN_ERROR if the expression isn't defined (a division by zero,
+    a root that isn't exact) or its value has more digits than DEC."""
+    known = reduce(lambda a, b: a & b, (exact(f).isNotNull() for f in expression_fields(text)), F.lit(True))
+    return F.when(~known, "UNKNOWN").when(compile_expression(text).isNotNull(), "VALUE").otherwise("DOMAIN_ERROR")
+
+
 def solve_for(text: str, name: str, value: str) -> str | None:
     """The expression for ``name`` with text = value, if it stands in it once behind invertible operations only."""
 
@@ -307,17 +344,19 @@ def expression_rule(df: DataFrame, key: str, left: str, right: str, target: str
 def linear_system(df: DataFrame, key: str, equations: list[tuple[dict[str, Fraction], Fraction]]) -> DataFrame:
     """Rows that violate an equation, with the one field whose single change closes all of them, if there is one."""
     fields = sorted({f for terms, _ in equations for f in terms})
-    residual = []
+    # Times the common denominator, so that all coefficients are whole.
+    whole = []
     for terms, right in equations:
-        total = reduce(lambda a, b: (a + b).cast(DEC), ((exact(f) * F.lit(str(float(c))).cast("decimal(19,4)")).cast(DEC) for f, c in sorted(terms.items())))
-        residual.append((total - F.lit(str(float(right))).cast(DEC)).cast(DEC))
+        by = math.lcm(right.denominator, *(c.denominator for c in terms.values()))
+        whole.append(({f: int(c * by) for f, c in terms.items() if c}, int(right * by)))
+    residual = [minus(total(F.lit(0).cast(DEC), *(times(exact(f), decimal(c)) for f, c in sorted(terms.items()))), decimal(right)) for terms, right in whole]
     rows = df.withColumns({f"_e{i}": r for i, r in enumerate(residual)})
-    broken = reduce(lambda a, b: a | b, (F.col(f"_e{i}") != 0 for i in range(len(equations))))
+    broken = reduce(lambda a, b: a | b, (F.col(f"_e{i}") != 0 for i in range(len(whole))))
     options = []
     for f in fields:
-        shift = next(F.try_divide(F.negative(F.col(f"_e{i}")), F.lit(str(float(t[f]))).cast(DEC)).cast(DEC) for i, (t, _) in enumerate(equations) if f in t)
-        closes = reduce(lambda a, b: a & b, (((F.col(f"_e{i}") + shift * F.lit(str(float(t.get(f, 0)))).cast("decimal(19,4)")).cast(DEC) == 0) for i, (t, _) in enumerate(equations)))
-        options.append(F.when(closes, F.struct(F.lit(f).alias("field"), (exact(f) + shift).cast(DEC).alias("new_value"))))
+        shift = next(over(F.negative(F.col(f"_e{i}")), decimal(t[f])) for i, (t, _) in enumerate(whole) if f in t)
+        closes = reduce(lambda a, b: a & b, (plus(F.col(f"_e{i}"), times(shift, decimal(t.get(f, 0)))) == 0 for i, (t, _) in enumerate(whole)))
+        options.append(F.when(closes, F.struct(F.lit(f).alias("field"), plus(exact(f), shift).alias("new_value"))))
     out = rows.where(broken).withColumn("_o", F.array_compact(F.array(*options)))
     one = F.when(F.size("_o") == 1, F.get("_o", F.lit(0)))
     return out.select(F.col(key).alias("row_id"), F.lit("linear_system_violation").alias("code"), one["field"].alias("field"), one["new_value"].alias("new_value"))
