@@ -1,129 +1,145 @@
-"""Repair of nearly valid JSON texts: accepted only if all least repairs agree on one value."""
+"""Repair of nearly valid JSON texts: accepted only if all least repairs agree on one value.
+
+The steps are lexical.  Each is one pass of a tokeniser that knows both kinds of quotes, so none touches what stands in a
+string, and each takes time in proportion to the text.
+"""
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BOM = "\ufeff"
+#: Largest number of edits, and of texts that a search looks at before it gives up.
+MOST_EDITS, MOST_STATES = 2, 1024
+
+
+def parse_strict(text: str):
+    """The value of a strict JSON text; ValueError for repeated keys, numbers that aren't finite and lone surrogates."""
 
-def _strict(text: str):
     def pairs(items):
         keys = [k for k, _ in items]
         if len(set(keys)) < len(keys):
             raise ValueError("repeated key")
+        for k in keys:
+            k.encode()
         return dict(items)
 
     def constant(name):
         raise ValueError(name)
 
-    return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+    def number(digits):
+        if not math.isfinite(value := float(digits)):
+            raise ValueError("a number beyond a double")
+        return value
 
+    value = json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=number)
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            v.encode()
+        elif isinstance(v, list | dict):
+            stack += v.values() if isinstance(v, dict) else v
+    return value
 
-def _outside(text: str, edit) -> str:
-    """edit(c, rest) gives the replacement and the number of characters used, outside of double-quoted strings."""
-    out, i, inside = [], 0, False
-    while i < len(text):
-        c = text[i]
-        if inside:
-            out.append(text[i : i + 2] if c == "\\" else c)
-            i += 2 if c == "\\" else 1
-            inside = c != '"'
-            continue
-        if c == '"':
-            inside = True
-            out.append(c)
-            i += 1
-            continue
-        new, used = edit(c, text[i:])
-        out.append(new)
-        i += used
-    return "".join(out)
 
+_DOUBLE, _SINGLE = r'"(?:[^"\\]|\\[\s\S])*(?:"|\Z)', r"'(?:[^'\\]|\\[\s\S])*'"
+_TOKENS = re.compile(rf"(?P<quoted>{_DOUBLE}|{_SINGLE})|(?P<line>//[^\r\n]*)|(?P<block>/\*[\s\S]*?\*/)|(?P<open>/\*)")
+_BARE = re.compile(rf"(?P<quoted>{_DOUBLE}|{_SINGLE})|(?P<before>[{{,]\s*)(?P<key>[^\W\d][\w$-]*)(?=\s*:)")
+_COMMA = re.compile(rf"(?P<quoted>{_DOUBLE}|{_SINGLE})|,(?=\s*[}}\]])")
+_QUOTES = re.compile(rf"{_DOUBLE}|(?P<single>{_SINGLE})|(?P<open>')")
 
-def strip_comments(text: str) -> str:
-    def edit(c, rest):
-        if rest.startswith("//"):
-            end = rest.find("\n")
-            return "", len(rest) if end < 0 else end
-        if rest.startswith("/*"):
-            end = rest.find("*/", 2)
-            return (c, 1) if end < 0 else (" ", end + 2)
-        return c, 1
 
-    return _outside(text, edit)
+def strip_comments(text: str) -> str:
+    """Without // and /* */ comments; a block leaves a space, so what stood apart stays apart.  The text as it is if a block
+    isn't closed."""
+    open_ = False
 
+    def edit(m):
+        nonlocal open_
+        open_ |= m["open"] is not None
+        return m[0] if m["quoted"] is not None else " " if m["block"] is not None else ""
 
-def single_quotes(text: str) -> str:
-    def edit(c, rest):
-        if c != "'":
-            return c, 1
-        i = 1
-        while i < len(rest) and rest[i] != "'":
-            i += 2 if rest[i] == "\\" else 1
-        if i >= len(rest):
-            return c, 1
-        return json.dumps(rest[1:i].replace("\\'", "'"), ensure_ascii=False), i + 1
+    new = _TOKENS.sub(edit, text)
+    return text if open_ else new
 
-    return _outside(text, edit)
 
+def single_quotes(text: str) -> str:
+    """Single-quoted strings as double-quoted ones; the text as it is if one isn't closed."""
+    open_ = False
 
-def quote_keys(text: str) -> str:
-    import re
+    def edit(m):
+        nonlocal open_
+        open_ |= m["open"] is not None
+        if m["single"] is None:
+            return m[0]
+        inner = re.sub(r"\\[\s\S]|\"", lambda e: {"\\'": "'", '"': '\\"'}.get(e[0], e[0]), m["single"][1:-1])
+        return f'"{inner}"'
 
-    name = re.compile(r"[A-Za-z_$][\w$]*(?=\s*:)")
+    new = _QUOTES.sub(edit, text)
+    return text if open_ else new
 
-    def edit(c, rest):
-        m = name.match(rest)
-        return (f'"{m[0]}"', len(m[0])) if m else (c, 1)
 
-    return _outside(text, edit)
+def quote_keys(text: str) -> str:
+    """Bare names before a colon, behind an opening brace or a comma, as strings."""
+    return _BARE.sub(lambda m: m[0] if m["quoted"] is not None else f'{m["before"]}"{m["key"]}"', text)
 
 
 def trailing_commas(text: str) -> str:
-    import re
-
-    comma = re.compile(r",(?=\s*[}\]])")
-    return _outside(text, lambda c, rest: ("", 1) if comma.match(rest) else (c, 1))
+    return _COMMA.sub(lambda m: m[0] if m["quoted"] is not None else "", text)
 
 
-STEPS = (("bom", lambda t: t.removeprefix("﻿")), ("comments", strip_comments), ("single_quotes", single_quotes), ("unquoted_keys", quote_keys), ("trailing_comma", trailing_commas))
+STEPS = (("bom", lambda t: t.removeprefix(BOM)), ("comments", strip_comments), ("single_quotes", single_quotes), ("unquoted_keys", quote_keys), ("trailing_comma", trailing_commas))
 
 
-def _frontier(text: str, at: int) -> list[str]:
-    """Texts one edit away at the place where parsing fails."""
-    out = [text[:at] + c + text[at:] for c in ',:}]"'] + [text + c for c in '}]"']
-    if at < len(text):
-        out.append(text[:at] + text[at + 1 :])
-    stack, inside, i = [], False, 0
-    while i < len(text):
-        c = text[i]
-        if inside:
-            i += c == "\\"
-            inside = c != '"'
-        elif c == '"':
-            inside = True
-        elif c in "{[":
+def _unclosed(text: str) -> str:
+    """What closes the string and the containers that are open at the end."""
+    stack, inside = [], False
+    for m in re.finditer(r'\\.|["{}\[\]]', text, re.S):
+        c = m[0]
+        if c == '"':
+            inside = not inside
+        elif not inside and c in "{[":
             stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack:
+        elif not inside and c in "}]" and stack:
             stack.pop()
-        i += 1
-    if stack or inside:
-        out.append(text + ('"' if inside else "") + "".join(reversed(stack)))
-    return out
-
-
-def repair(text: str | None, edits: int = 2, states: int = 256) -> tuple[str | None, str]:
+    return ('"' if inside else "") + "".join(reversed(stack))
+
+
+def frontier(text: str, at: int) -> Iterator[str]:
+    """Texts one edit away from one that can't be parsed beyond a place: a delimiter less or more around it, a string closed
+    before the brackets at the end, or everything that is open closed."""
+    for p in range(max(0, at - 2), min(len(text), at + 3)):
+        if text[p] in ",:]}{[":
+            yield text[:p] + text[p + 1 :]
+    for p in range(max(0, at - 1), min(len(text), at + 2) + 1):
+        for c in ",:}]":
+            yield text[:p] + c + text[p:]
+    if missing := _unclosed(text):
+        yield text + missing
+        if missing.startswith('"'):
+            body = text.rstrip()
+            inner = body.rstrip("}]")
+            yield inner + '"' + body[len(inner) :]
+
+
+def repair(text: str | None, edits: int = MOST_EDITS, states: int = MOST_STATES) -> tuple[str | None, str]:
     """(canonical JSON or None, how): valid as it is, by the lexical steps, or by the fewest edits; None if refused.  A text
-    that fails for a repeated key or a number that isn't finite is refused: no edit of its grammar says what was meant."""
+    that fails for a repeated key, a number that isn't finite or a lone surrogate is refused: no edit of its grammar says
+    what was meant.  So is one whose search isn't over after so many texts, as a least repair may not have been seen."""
     if text is None:
         return None, "refused"
 
     def value(t):
-        return json.dumps(_strict(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        return json.dumps(parse_strict(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
     try:
         return value(text), "valid"
@@ -144,7 +160,7 @@ def repair(text: str | None, edits: int = 2, states: int = 256) -> tuple[str | N
     except (ValueError, RecursionError):
         return None, "refused"
     queue, seen, found, best, order = [(0, 0, now)], {now}, set(), None, 0
-    while queue and len(seen) < states:
+    while queue:
         cost, _, t = heapq.heappop(queue)
         if best is not None and cost > best:
             break
@@ -156,12 +172,15 @@ def repair(text: str | None, edits: int = 2, states: int = 256) -> tuple[str | N
             at = e.pos
         except (ValueError, RecursionError):
             continue
-        if cost < edits:
-            for new in _frontier(t, at):
-                if new not in seen:
-                    seen.add(new)
-                    order += 1
-                    heapq.heappush(queue, (cost + 1, order, new))
+        if cost >= edits or best is not None:
+            continue
+        for new in frontier(t, at):
+            if new not in seen:
+                if len(seen) >= states:
+                    return None, "refused"
+                seen.add(new)
+                order += 1
+                heapq.heappush(queue, (cost + 1, order, new))
     return (found.pop(), f"edits:{best}") if len(found) == 1 else (None, "refused")
 
 
