@@ -23,26 +23,48 @@ def graph_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, roots: DataFrame, checkpoint, most: int = 1000) -> DataFrame:
     """(id) of nodes reachable from roots(id): frontiers, each written before the next is made.  checkpoint: takes a
-    DataFrame and a name and returns it with its lineage cut."""
+    DataFrame and a name and returns it with its lineage cut.  A path of more than ``most`` edges raises."""
     seen = checkpoint(roots.select("id").distinct(), "frontier-0")
     frontier = seen
-    for step in range(1, most):
+    for step in range(1, most + 2):
         nxt = edges.join(frontier, edges["src"] == frontier["id"]).select(F.col("dst").alias("id")).distinct()
         frontier = checkpoint(nxt.join(seen, "id", "left_anti"), f"frontier-{step}")
         if frontier.isEmpty():
-            break
+            return seen
         seen = checkpoint(seen.unionByName(frontier), f"seen-{step}")
-    return seen
+    raise RuntimeError(f"paths of more than {most} edges")
+
+
+def components(edges: DataFrame, checkpoint, most: int = 200) -> DataFrame:
+    """(node, root): connected components of the undirected edges (a, b), root the smallest node.  Rounds of grouped minima:
+    a node's neighbours move to its smallest one, so paths halve and the number of rounds grows with their logarithm."""
+    now = checkpoint(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a <> b").distinct(), "edges-0")
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 40)))).first())
+    before = state(now)
+    for step in range(1, most):
+        both = now.select("a", "b").unionByName(now.selectExpr("b AS a", "a AS b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) AS m")
+        large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").selectExpr("b AS a", "m AS b").unionByName(low.selectExpr("a", "m AS b"))
+        now = checkpoint(small.where("a <> b").distinct(), f"edges-{step}")
+        if (after := state(now)) == before:
+            return now.selectExpr("a AS node", "b AS root").unionByName(now.selectExpr("b AS node", "b AS root").distinct())
+        before = after
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, checkpoint, most: int = 1000) -> DataFrame:
-    """(id, level): nodes peeled off as soon as nothing unpeeled leads to them; nodes of cycles, and behind them, are left out."""
+    """(id, level): nodes peeled off as soon as nothing unpeeled leads to them; nodes of cycles, and behind them, are left out.
+    More than ``most`` levels raise."""
     done, left = None, checkpoint(nodes.select("id").distinct(), "left-0")
     alive = edges
-    for level in range(most):
+    for level in range(most + 1):
         ready = checkpoint(left.join(alive.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), f"ready-{level}")
         if ready.isEmpty():
             break
+        if level == most:
+            raise RuntimeError(f"more than {most} levels")
         done = ready if done is None else done.unionByName(ready)
         left = checkpoint(left.join(ready.select("id"), "id", "left_anti"), f"left-{level + 1}")
         alive = checkpoint(alive.join(ready.select(F.col("id").alias("src")), "src", "left_anti"), f"alive-{level + 1}")
