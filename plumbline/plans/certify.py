@@ -170,7 +170,7 @@ def src_schema_openapi(spark, d):
 
     document = {"components": {"schemas": {"E": {"type": "object", "properties": {"k": {"$ref": "#/components/schemas/K"}}, "required": ["k"]}, "K": {"type": "integer", "maximum": 50}}}}
     own = sc.openapi_schemas(document)["E"]
-    return t(spark, d, "events").select("event_id", sc.valid(F.try_parse_json("props"), own, document).alias("ok"))
+    return sc.validate(t(spark, d, "events").select("event_id", "props"), "props", own, root=document).drop("props")
 
 
 _NAMES = """ptr_set ptr_delete syn_trailing_comma syn_comments syn_unquoted_keys syn_single_quotes syn_bom factorize min_transfer rewrite_algebra parallel_routes symmetry_block causal_cone causal_dominance q_descent proof_digest
@@ -190,7 +190,7 @@ ORACLES = {
     "causal_dominance": "SELECT p_partkey AS row_id, 'b' AS id FROM part WHERE p_partkey % 2 = 0",
     "q_descent": _K + "SELECT count(*) AS cells, count(*) FILTER (n > 1) AS left FROM (SELECT row_id, count(DISTINCT new_value) AS n FROM k GROUP BY 1)",
     "proof_digest": "SELECT count(*) AS n_rows, bit_xor(('0x' || sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus))[1:12])::BIGINT) AS digest FROM orders",
-    "json_finite_number": "WITH x AS (SELECT p_partkey, p_size, p_partkey % 12 + 1 AS q FROM part) SELECT p_partkey, CASE WHEN (p_size::BIGINT * 1000000000) % q = 0 THEN ((p_size::BIGINT * 1000000000) // q)::DECIMAL(38,9) * 0.000000001 END::DECIMAL(38,9) AS value FROM x",
+    "json_finite_number": "WITH x AS (SELECT p_partkey, p_size, p_partkey % 12 + 1 AS q FROM part) SELECT p_partkey, CASE WHEN (p_size::BIGINT * 1000000000) % q = 0 THEN ((p_size::BIGINT * 1000000000) // q)::DECIMAL(38,9) * 0.000000001 END::DECIMAL(38,18) AS value FROM x",
     "mom_inferred": "SELECT count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0) AS support, count(DISTINCT l_suppkey) AS decided FROM lineitem HAVING count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0)::DOUBLE / count(DISTINCT l_suppkey) >= 0.95",
     "morphology": "SELECT p_partkey AS id, 'kind' AS missing FROM part WHERE p_partkey % 59 = 0",
     "graph_discover": "SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0",

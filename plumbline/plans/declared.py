@@ -139,33 +139,31 @@ def _documents(spark, d):
 
 
 def schema_validate(spark, d):
-    return _documents(spark, d).select("id", sc.valid(F.try_parse_json("raw"), SCHEMA).alias("ok"))
+    return sc.validate(_documents(spark, d), "raw", SCHEMA).drop("raw")
 
 
 def schema_violations(spark, d):
     return sc.violations(_documents(spark, d), "id", "raw", SCHEMA)
 
 
+
+
 def sys_graph(spark, d):
     nodes = t(spark, d, "nation").selectExpr("n_nationkey AS id").unionByName(t(spark, d, "nation").where("n_nationkey = 3").selectExpr("n_nationkey AS id"))
     edges = t(spark, d, "nation").selectExpr("n_nationkey AS src", "CASE WHEN n_nationkey = 24 THEN NULL WHEN n_nationkey % 7 = 6 THEN n_nationkey + 100 ELSE n_nationkey + 1 END AS dst")
     return sy.graph_issues(nodes, edges)
 
 
-def _by_thirds(spark, customers):
-    edges = customers.where("c_custkey > 1").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS src", "c_custkey AS dst")
-    roots = spark.range(1, 2)
-    return sy.reachable(edges, roots, cutter(spark))
-
-
 def set_components(spark, d):
-    """Nodes reachable from the smallest key along division by three: iterative frontiers.  Its SQL has keys up to 500 only."""
-    return _by_thirds(spark, t(spark, d, "customer").where("c_custkey <= 500"))
+    """Customers tied to the third of their key, unless a seventh key breaks the tie: each with the least key it is tied to."""
+    edges = t(spark, d, "customer").where("c_custkey > 2 and c_custkey % 7 <> 0").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS a", "c_custkey AS b")
+    return sy.components(edges, cutter(spark))
 
 
-def set_components_whole(spark, d):
-    """The same over all keys."""
-    return _by_thirds(spark, t(spark, d, "customer"))
+def sys_reachable(spark, d):
+    """Nodes reachable from the smallest key along division by three: iterative frontiers."""
+    edges = t(spark, d, "customer").where("c_custkey > 1").selectExpr("CAST(c_custkey DIV 3 AS BIGINT) AS src", "c_custkey AS dst")
+    return sy.reachable(edges, spark.range(1, 2), cutter(spark))
 
 
 def sys_topological(spark, d):
@@ -320,8 +318,12 @@ def struct_rename(spark, d):
     return raw.where((F.size(lost) == 1) & (F.size(extra) == 1) & related).select("id", F.get(extra, F.lit(0)).alias("from_key"), F.get(lost, F.lit(0)).alias("to_key"))
 
 
+_HOSTILE = ('{"k":1,"k":2}', '{"k":NaN}', '{"k":', '{"k":1} x', '{"k":1e999}', '{"k":"\\\\ud800"}', '1,2', '1] , [2', "")
+
+
 def src_strict_json(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "CASE event_id % 5 WHEN 0 THEN '{\"k\":1,\"k\":2}' WHEN 1 THEN '{\"k\":NaN}' WHEN 2 THEN substr(props, 1, 3) ELSE props END AS raw")
+    cases = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(_HOSTILE))
+    raw = t(spark, d, "events").selectExpr("event_id", f"CASE event_id % 12 {cases} WHEN 9 THEN concat('\ufeff', props) WHEN 10 THEN concat(' ', props, ' ') ELSE props END AS raw")
     return raw.select("event_id", src.strict(F.col("raw")).isNotNull().alias("valid"))
 
 
@@ -335,34 +337,31 @@ def sec_limits(spark, d):
 
 
 def scan_object_arrays(spark, d):
-    raw = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.collect_list(F.struct("l_linenumber")).alias("lines"), F.collect_list("l_suppkey").alias("suppliers"))).alias("raw"))
-    return raw.select("l_orderkey", F.array_join(src.object_arrays(F.col("raw")), ",").alias("arrays"))
+    """Pointers of arrays of three objects or more, one of them nested below another object."""
+    lines = F.collect_list(F.struct("l_linenumber"))
+    raw = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(lines.alias("lines"), F.collect_list("l_suppkey").alias("suppliers"), F.struct(lines.alias("a/b")).alias("more"))).alias("raw"))
+    return raw.select("l_orderkey", F.array_join(src.object_array_paths(F.col("raw")), ",").alias("arrays"))
 
 
 def scan_leaf_paths(spark, d):
-    raw = t(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("name"), F.array("p_size").alias("list")).alias("a/b"))).alias("raw"))
+    """Scalar leaves at any depth; arrays are values."""
+    raw = t(spark, d, "part").selectExpr("p_partkey", """concat('{"size":', p_size, ',"a/b":{"name":"', p_brand, '","list":[', p_size, '],"x":{"x":{"x":{"x":{"x":{"deep":null}}}}}}}') AS raw""")
     return raw.select("p_partkey", F.explode(src.leaves(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
 
 
-scan_tree_walk = scan_leaf_paths
+def scan_tree_walk(spark, d):
+    """Every node of a document, containers before what they hold."""
+    raw = t(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.array(F.struct(F.col("p_size").alias("n"))).alias("list"), F.col("p_brand").alias("name"))).alias("raw"))
+    return raw.select("p_partkey", F.explode(src.tree(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
 
 
 def ptr_get(spark, d):
     return t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), fn.json_path("/k"), "long").alias("value"))
 
 
-def _broken_props(events):
-    raw = events.selectExpr("event_id", "get_json_object(props, '$.k') AS k", "props").selectExpr("event_id", "CASE event_id % 7 WHEN 0 THEN concat('{\"k\":', k, ',}') WHEN 1 THEN concat('{k: ', k, '}') WHEN 2 THEN concat('{''k'': ', k, '}') WHEN 3 THEN concat('{\"k\":', k, '} // end') WHEN 4 THEN concat('{\"k\":', k) WHEN 5 THEN concat('{\"k\":', k, ',\"k\":1}') ELSE props END AS raw")
-    return raw.select("event_id", repaired("raw")["value"].alias("value"))
-
-
 def syn_min_repair(spark, d):
-    """Its SQL has ids up to 700 only."""
-    return _broken_props(t(spark, d, "events").where("event_id <= 700"))
-
-
-def syn_min_repair_whole(spark, d):
-    return _broken_props(t(spark, d, "events"))
+    raw = t(spark, d, "events").selectExpr("event_id", "get_json_object(props, '$.k') AS k", "props").selectExpr("event_id", "CASE event_id % 9 WHEN 0 THEN concat('{\"k\":', k, ',}') WHEN 1 THEN concat('{k: ', k, '}') WHEN 2 THEN concat('{''k'': ', k, ', ''s'': ''/* ', k, ' */''}') WHEN 3 THEN concat('{\"k\":', k, '} // end') WHEN 4 THEN concat('{\"k\":', k) WHEN 5 THEN concat('{\"k\":', k, ',\"k\":1}') WHEN 6 THEN '{\"k\":\"\\\\ud800\"}' WHEN 7 THEN concat(props, ' x') ELSE props END AS raw")
+    return raw.select("event_id", repaired("raw").alias("r")).select("event_id", "r.value", "r.how")
 
 
 def fn_decimal(spark, d):
@@ -418,9 +417,9 @@ def st_journal_inverse(spark, d):
 
 
 _NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates rule_sat logic_authoritative logic_exactly_one logic_implies2 dsl_simple dsl_parse dsl_numeric_intersection
-boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components set_components_whole sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority fast_select
+boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components sys_reachable sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority fast_select
 identifiability federation fw_control fw_boundary fw_robust patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff multisource_assimilate multisource_lifecycle
-materialize_witness horizon struct_rename src_strict_json src_jsonl sec_limits scan_object_arrays scan_leaf_paths scan_tree_walk ptr_get syn_min_repair syn_min_repair_whole fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time
+materialize_witness horizon struct_rename src_strict_json src_jsonl sec_limits scan_object_arrays scan_leaf_paths scan_tree_walk ptr_get syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time
 st_functional st_apply st_enum st_required st_choose st_journal_inverse"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
@@ -428,7 +427,9 @@ _P = f"WITH p AS (SELECT p_partkey AS id, {_BOOL}, p_brand AS brand, p_size AS s
 _REPAIRED = using("cust") + "SELECT id, nation, CASE WHEN region IS NULL OR id % 97 = 0 THEN nation % 5 ELSE region END::INT AS region FROM cust"
 _FDK = using("cust") + ", m AS (SELECT nation::VARCHAR AS d, first(r ORDER BY n DESC, r) AS mode, max(n) AS mode_n, sum(n)::BIGINT AS n FROM (SELECT nation, region::VARCHAR AS r, count(*) AS n FROM cust WHERE region IS NOT NULL GROUP BY ALL) GROUP BY nation) "
 _NEAR = "WITH x AS (SELECT p_partkey AS id, p_size AS v, greatest(6, least(39, p_size // 3 * 3)) AS lo, greatest(6, least(39, (p_size + 2) // 3 * 3)) AS hi FROM part) SELECT id, CASE WHEN lo = hi THEN lo WHEN abs(v - lo) < abs(hi - v) THEN lo WHEN abs(v - lo) > abs(hi - v) THEN hi END::DECIMAL(38,9) AS nearest FROM x WHERE NOT (lo = hi AND lo = v)"
-_LEAF = "SELECT p_partkey, '/size' AS path, p_size::VARCHAR AS value FROM part UNION ALL SELECT p_partkey, '/a~1b/name', '\"' || p_brand || '\"' FROM part UNION ALL SELECT p_partkey, '/a~1b/list', '[' || p_size || ']' FROM part"
+_LEAF = "SELECT p_partkey, '/size' AS path, p_size::VARCHAR AS value, 'integer' AS kind FROM part UNION ALL SELECT p_partkey, '/a~1b/name', '\"' || p_brand || '\"', 'string' FROM part UNION ALL SELECT p_partkey, '/a~1b/list', '[' || p_size || ']', 'array' FROM part UNION ALL SELECT p_partkey, '/a~1b/x/x/x/x/x/deep', 'null', 'null' FROM part"
+_TREE = """SELECT p_partkey, '' AS path, '{"list":[{"n":' || p_size || '}],"name":"' || p_brand || '"}' AS value, 'object' AS kind FROM part UNION ALL SELECT p_partkey, '/list', '[{"n":' || p_size || '}]', 'array' FROM part
+    UNION ALL SELECT p_partkey, '/list/0', '{"n":' || p_size || '}', 'object' FROM part UNION ALL SELECT p_partkey, '/list/0/n', p_size::VARCHAR, 'integer' FROM part UNION ALL SELECT p_partkey, '/name', '"' || p_brand || '"', 'string' FROM part"""
 _DOCS = "WITH e AS (SELECT event_id AS id, event_id % 20 AS k, user_id AS u, CASE WHEN event_id % 40 = 0 THEN 1 WHEN event_id % 30 = 0 THEN 2 ELSE 0 END AS f FROM events) "
 ORACLES = {
     "pred_present": _P + "SELECT id FROM p WHERE d IS NULL",
@@ -443,7 +444,7 @@ ORACLES = {
     "logic_exactly_one": "WITH f AS (SELECT l_returnflag = 'A' AS fa, l_returnflag = 'N' AS fn, l_returnflag = 'R' OR l_orderkey % 1000 = 0 AS fr FROM lineitem) SELECT 'fa,fn,fr' AS fields, count(*) FILTER (fa::INT + fn::INT + fr::INT = 1) AS support, count(*) AS decided FROM f",
     "logic_implies2": _P + "SELECT 'a' AS a, 'b' AS b, 'c' AS target, true AS value, count(*) FILTER (c) AS support, count(*) AS decided FROM p WHERE a AND b",
     "dsl_simple": _P + """, q AS (SELECT id, size, d, CASE WHEN id % 41 = 0 THEN lower(brand) ELSE brand END AS brand FROM p)
-        SELECT id AS row_id, 'size' AS field, 'minimum_violation' AS code, size::VARCHAR AS old_value, '3.000000000' AS new_value FROM q WHERE size < 3 UNION ALL SELECT id, 'size', 'maximum_violation', size::VARCHAR, '45.000000000' FROM q WHERE size > 45
+        SELECT id AS row_id, 'size' AS field, 'minimum_violation' AS code, size::VARCHAR AS old_value, '3' AS new_value FROM q WHERE size < 3 UNION ALL SELECT id, 'size', 'maximum_violation', size::VARCHAR, '45' FROM q WHERE size > 45
         UNION ALL SELECT id, 'brand', 'enum_violation', brand, CASE WHEN upper(brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#13') THEN 'B' || lower(brand)[2:] END FROM q WHERE brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13')
         UNION ALL SELECT id, 'brand', 'pattern_violation', brand, NULL FROM q WHERE NOT regexp_matches(brand, '^Brand#[0-9]+$') UNION ALL SELECT id, 'brand', 'maxLength_violation', brand, NULL FROM q WHERE length(brand) > 8 UNION ALL SELECT id, 'd', 'required_missing', NULL, NULL FROM q WHERE d IS NULL""",
     "dsl_parse": "SELECT * FROM (VALUES ('size', 'minimum'), ('size', 'maximum'), ('brand', 'enum'), ('brand', 'pattern'), ('brand', 'maxLength'), ('d', 'require'), ('expr', 'total'), ('linear', 'a:2,b:1,c:-1')) x(field, kind)",
@@ -454,11 +455,12 @@ ORACLES = {
     "expr_solve": using("part2") + "SELECT id AS row_id, 'expression_violation' AS code, (3 * size)::DECIMAL(38,9) AS new_value FROM part2 WHERE tripled <> 3 * size",
     "linear_system": "SELECT p_partkey AS row_id, 'linear_system_violation' AS code, 'c' AS field, (p_size + p_partkey % 9)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey % 61 = 0",
     "schema_validate": _DOCS + "SELECT id, f = 0 AND k >= 5 AND k % 2 = 0 AND u <= 100 AS ok FROM e",
-    "schema_violations": _DOCS + """SELECT id AS row_id, '/k' AS path, 'schema_minimum_violation' AS code FROM e WHERE f < 2 AND k < 5 UNION ALL SELECT id, '/k', 'schema_multiple_of_violation' FROM e WHERE f < 2 AND k % 2 <> 0
-        UNION ALL SELECT id, '/k', 'schema_type_violation' FROM e WHERE f = 2 UNION ALL SELECT id, '/u', 'schema_required_missing' FROM e WHERE f = 1 UNION ALL SELECT id, '', 'schema_dependentRequired_violation' FROM e WHERE f = 1 UNION ALL SELECT id, '/u', 'schema_oneof_violation' FROM e WHERE f = 0 AND u > 100""",
+    "schema_violations": _DOCS + """, near AS (SELECT *, CASE WHEN k < 6 THEN 6 END::VARCHAR AS nk FROM e)
+        SELECT id AS row_id, '/k' AS path, 'schema_minimum_violation' AS code, 'warning' AS severity, k::VARCHAR AS old_value, nk AS new_value FROM near WHERE f < 2 AND k < 5 UNION ALL SELECT id, '/k', 'schema_multiple_of_violation', 'warning', k::VARCHAR, nk FROM near WHERE f < 2 AND k % 2 <> 0
+        UNION ALL SELECT id, '/k', 'schema_type_violation', 'error', '"x"', NULL FROM e WHERE f = 2 UNION ALL SELECT id, '/u', 'schema_required_missing', 'warning', NULL, NULL FROM e WHERE f = 1 UNION ALL SELECT id, '/u', 'schema_dependent_required_missing', 'warning', NULL, NULL FROM e WHERE f = 1 UNION ALL SELECT id, '/u', 'schema_oneof_violation', 'warning', u::VARCHAR, NULL FROM e WHERE f = 0 AND u > 100""",
     "sys_graph": "SELECT 'duplicate_node_identity' AS code, '3' AS item UNION ALL SELECT 'malformed_edge', '24>?' UNION ALL SELECT 'dangling_edge', n_nationkey || '>' || (n_nationkey + 100) FROM nation WHERE n_nationkey % 7 = 6",
-    "set_components": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS id UNION SELECT c_custkey FROM customer, r WHERE c_custkey > 1 AND c_custkey <= 500 AND c_custkey // 3 = r.id) SELECT id FROM r",
-    "set_components_whole": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS id UNION SELECT c_custkey FROM customer, r WHERE c_custkey > 1 AND c_custkey // 3 = r.id) SELECT id FROM r",
+    "set_components": "WITH RECURSIVE up AS (SELECT c_custkey AS node, c_custkey AS z FROM customer WHERE c_custkey > 2 UNION ALL SELECT node, z // 3 FROM up WHERE z > 2 AND z % 7 <> 0), w AS (SELECT node, min(z) AS root FROM up GROUP BY node), e AS (SELECT c_custkey AS k FROM customer WHERE c_custkey > 2 AND c_custkey % 7 <> 0) SELECT DISTINCT n AS node, coalesce((SELECT root FROM w WHERE w.node = n), n) AS root FROM (SELECT k AS n FROM e UNION SELECT k // 3 FROM e)",
+    "sys_reachable": "WITH RECURSIVE r AS (SELECT 1::BIGINT AS id UNION SELECT c_custkey FROM customer, r WHERE c_custkey > 1 AND c_custkey // 3 = r.id) SELECT id FROM r",
     "sys_topological": "SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey = 0 THEN 0 ELSE floor(log2(n_nationkey)) + 1 END::INT AS level FROM nation",
     "sys_reciprocal": "WITH e AS (SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation) SELECT DISTINCT dst AS src, src AS dst FROM e WHERE src <> dst AND (dst, src) NOT IN (SELECT (src, dst) FROM e)",
     "sys_state_machine": """WITH r AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 37 = 0 THEN 'tool' ELSE role END AS s FROM conversations WHERE role IN ('user', 'assistant')), x AS (SELECT *, lag(s) OVER w AS b, lead(s) OVER w AS a FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -488,13 +490,13 @@ ORACLES = {
     "materialize_witness": using("cust") + "SELECT id, nation % 5 AS value FROM cust WHERE region IS NULL AND (nation % 3 <> 0 OR nation % 2 = 0)",
     "horizon": "SELECT p_partkey AS id FROM part WHERE p_partkey % 113 = 0",
     "struct_rename": "SELECT p_partkey AS id, 'part_sz' AS from_key, 'part_size' AS to_key FROM part WHERE p_partkey % 47 = 0",
-    "src_strict_json": "SELECT event_id, event_id % 5 > 2 AS valid FROM events",
+    "src_strict_json": "SELECT event_id, event_id % 12 > 8 AS valid FROM events",
     "src_jsonl": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events", "ptr_get": "SELECT event_id, (props->>'$.k')::BIGINT AS value FROM events",
     "sec_limits": "SELECT p_partkey AS id, 2 * p_size + 1 <= 90 AND p_size <= 40 AS ok FROM part",
-    "scan_object_arrays": "SELECT l_orderkey, CASE WHEN count(*) >= 3 THEN 'lines' ELSE '' END AS arrays FROM lineitem GROUP BY 1",
-    "scan_leaf_paths": _LEAF, "scan_tree_walk": _LEAF,
-    "syn_min_repair": "SELECT event_id, CASE WHEN event_id % 7 <> 5 THEN '{\"k\":' || (props->>'$.k') || '}' END AS value FROM events WHERE event_id <= 700",
-    "syn_min_repair_whole": "SELECT event_id, CASE WHEN event_id % 7 <> 5 THEN '{\"k\":' || (props->>'$.k') || '}' END AS value FROM events",
+    "scan_object_arrays": "SELECT l_orderkey, CASE WHEN count(*) >= 3 THEN '/lines,/more/a~1b' ELSE '' END AS arrays FROM lineitem GROUP BY 1",
+    "scan_leaf_paths": _LEAF, "scan_tree_walk": _TREE,
+    "syn_min_repair": """SELECT event_id, CASE WHEN event_id % 9 = 2 THEN '{"k":' || (props->>'$.k') || ',"s":"/* ' || (props->>'$.k') || ' */"}' WHEN event_id % 9 IN (5, 6, 7) THEN NULL ELSE '{"k":' || (props->>'$.k') || '}' END AS value,
+        CASE event_id % 9 WHEN 0 THEN 'trailing_comma' WHEN 1 THEN 'unquoted_keys' WHEN 2 THEN 'single_quotes' WHEN 3 THEN 'comments' WHEN 4 THEN 'edits:1' WHEN 8 THEN 'valid' ELSE 'refused' END AS how FROM events""",
     "fn_decimal": "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END::DECIMAL(38,9) AS number FROM part",
     "fn_selector_bits": "SELECT p_partkey, CASE WHEN p_partkey <= 1 THEN 0 ELSE length(ltrim(bin(p_partkey - 1), '0')) END::BIGINT AS bits FROM part",
     "fn_pointer": "SELECT p_partkey, '/part/' || p_type || '/a~1b~0c' AS pointer FROM part",

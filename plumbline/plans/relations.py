@@ -99,18 +99,9 @@ def arith_consensus(spark, d):
     return ar.consensus(ar.violations(df, "id", [("tripled", "size", "+", "doubled"), ("tripled", "size", "*", "three")]))
 
 
-def _sparse_totals(parts):
-    df = parts.selectExpr("p_partkey AS id", "p_size AS a", "CAST(p_partkey AS BIGINT) AS b", "p_size + CAST(p_partkey AS BIGINT) + CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey AS BIGINT) * p_partkey ELSE 0 END AS total")
-    return ar.sparse(df, "id", ("total", "a", "+", "b"))
-
-
 def arith_sparse_recovery(spark, d):
-    """Its SQL has keys up to 200 only."""
-    return _sparse_totals(t(spark, d, "part").where("p_partkey <= 200"))
-
-
-def arith_sparse_recovery_whole(spark, d):
-    return _sparse_totals(t(spark, d, "part"))
+    df = t(spark, d, "part").selectExpr("p_partkey AS id", "p_size AS a", "CAST(p_partkey AS BIGINT) AS b", "p_size + CAST(p_partkey AS BIGINT) + CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey AS BIGINT) * p_partkey ELSE 0 END AS total")
+    return ar.sparse(df, "id", ("total", "a", "+", "b"))
 
 
 def arith_direction(spark, d):
@@ -263,7 +254,7 @@ def agg_status_counts(spark, d):
 
 
 _NAMES = """id_uniqueness duplicate_identifier win_duplicates fk_reference join_cross_document join_semi_overlap bundle_ambiguity join_anti_dangling join_casefold join_lookup_equi join_full_outer_residue
-multiset_balance cons_multiset join_neighbour join_event_latest join_source_identity arith_binary arith_violations arith_consensus arith_sparse_recovery arith_sparse_recovery_whole arith_direction balance_4 temporal_delta sequence_step win_lag_diff
+multiset_balance cons_multiset join_neighbour join_event_latest join_source_identity arith_binary arith_violations arith_consensus arith_sparse_recovery arith_direction balance_4 temporal_delta sequence_step win_lag_diff
 win_top1 win_fold_parity win_rotation win_lag_one_control win_symmetry_orbit agg_sum agg_count cons_aggregate_sum cons_aggregate_count cons_balance mom_weighted_sum mom_weighted_mean mom_variance mom_covariance
 mom_probability_total mom_uncertainty_variance mom_unit_normalize agg_distinct agg_hash_counter agg_mode agg_mode_lex agg_exact_rational agg_sum_issue_score score agg_status_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -293,8 +284,7 @@ ORACLES = {
     "arith_binary": using("item") + "SELECT * FROM (SELECT 'charge' AS target, 'discount' AS a, '+' AS op, 'quantity' AS b, count(*) FILTER (charge = quantity + discount) AS support, count(*) AS decided, count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) AS confidence FROM item UNION ALL SELECT 'discount', 'charge', '-', 'quantity', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item UNION ALL SELECT 'quantity', 'charge', '-', 'discount', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item)",
     "arith_violations": using("part2") + "SELECT id AS row_id, 'tripled' AS target, 'size + doubled' AS formula, tripled::DECIMAL(38,9) AS old_value, (size + doubled)::DECIMAL(38,9) AS new_value, 'exact_arithmetic_violation' AS code FROM part2 WHERE tripled <> size + doubled",
     "arith_consensus": using("part2") + "SELECT id AS row_id, 'tripled' AS target, 2::BIGINT AS formulas, (3 * size)::DECIMAL(38,9) AS new_value FROM part2 WHERE tripled <> 3 * size",
-    "arith_sparse_recovery": "SELECT p_partkey AS row_id, (p_size + p_partkey + p_partkey * p_partkey)::DECIMAL(38,9) AS old_value, (p_size + p_partkey)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey <= 200 AND p_partkey % 5 = 0 AND p_partkey > 0",
-    "arith_sparse_recovery_whole": "SELECT p_partkey AS row_id, (p_size + p_partkey + p_partkey::BIGINT * p_partkey)::DECIMAL(38,9) AS old_value, (p_size + p_partkey)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0",
+    "arith_sparse_recovery": "SELECT p_partkey AS row_id, (p_size + p_partkey + p_partkey::BIGINT * p_partkey)::DECIMAL(38,9) AS old_value, (p_size + p_partkey)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0",
     "arith_direction": "SELECT count(*) AS decided, count(*) FILTER (p_partkey % 20 <> 0) AS before, count(*) >= 4 AND count(*) FILTER (p_partkey % 20 <> 0) >= 0.9 * count(*) AS directed FROM part",
     "balance_4": "SELECT 'a+b' AS left_side, 'c+d' AS right_side, count(*) FILTER (p_partkey % 97 <> 0) AS support, count(*) AS decided FROM part",
     "temporal_delta": "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 103 = 0 THEN 'temporal_delta_violation' ELSE 'missing_temporal_endpoint' END AS code, o_orderdate::TIMESTAMP + INTERVAL 3 DAY AS new_value FROM orders WHERE o_orderkey % 103 = 0 OR o_orderkey % 107 = 0",

@@ -16,6 +16,7 @@ from plumbline.operators import repair as rp
 from plumbline.operators import rules as rl
 from plumbline.operators import schema as sc
 from plumbline.operators import systems as sy
+from plumbline.sources.shared import cutter
 from plumbline.sources.syntax import repair
 
 
@@ -109,6 +110,41 @@ def test_expression_inverse():
         rl.compile_expression("__import__('os')")
 
 
+def numbers(spark, pairs, column):
+    df = spark.createDataFrame(pairs, "a string, b string")
+    return [None if r[0] is None else str(r[0].normalize() if r[0] else 0) for r in df.select(column).collect()]
+
+
+def test_exact_arithmetic_keeps_every_place_or_gives_null(spark):
+    pairs = [("0.001", "0.0001"), ("1", "512"), ("1", "3"), ("1e-9", "1"), ("123456789012345678.123456789", "2"), ("0.0000000001", "1"), ("-7.5", "2"), ("99999999999999999999", "10000000000"), ("x", "1"), ("4", "0"), ("true", "1")]
+    a, b = fn.exact("a"), fn.exact("b")
+    assert numbers(spark, pairs, fn.times(a, b)) == ["1E-7", "512", "3", "1E-9", "246913578024691356.246913578", None, "-15", None, None, "0", None]
+    assert numbers(spark, pairs, fn.over(a, b)) == ["1E+1", "0.001953125", None, "1E-9", None, None, "-3.75", None, None, None, None]
+    assert numbers(spark, [("1", "1e-9"), ("99999999999999999999999999999", "1")], fn.plus(a, b)) == ["1.000000001", None]
+    df = spark.createDataFrame([("0.0000000001", "0"), ("1.00000000004", "1"), ("1.50", "1.5"), ("1e2", "100")], "a string, b string")
+    assert [r[0] for r in df.select(fn.exact_equal("a", "b")).collect()] == [None, None, True, True]
+    one = spark.range(1).select(*(fn.finite_decimal(F.lit(1), F.lit(n)).alias(f"q{n}") for n in (128, 512, 1024, 3, 0))).first()
+    assert [None if v is None else float(v) for v in one] == [1 / 128, 1 / 512, 1 / 1024, None, None]
+
+
+def test_decimal_formulas_hold_and_fail_exactly(spark):
+    df = spark.createDataFrame([(i, f"0.00{i}", "0.0001", f"0.000000{i}", f"{i}.000000001") for i in range(1, 9)], "id long, a string, b string, c string, d string")
+    found = {(r["target"], r["a"], r["op"], r["b"]) for r in ar.binary(df, ["a", "b", "c"]).collect()}
+    assert ("c", "a", "*", "b") in found and ("a", "c", "/", "b") in found
+    rows = df.select(ar.holds(df, "c", "a", "*", "b").alias("yes"), ar.holds(df, "d", "a", "*", "a").alias("no")).collect()
+    assert all(r["yes"] for r in rows) and not any(r["no"] for r in rows)
+    assert rl.expression_rule(df, "id", "c", "a * b").count() == 0
+    assert {str(r["new_value"].normalize()) for r in rl.expression_rule(df.where("id = 3"), "id", "d", "a * b").collect()} == {"3E-7"}
+
+
+def test_expression_status_roots_and_powers(spark):
+    df = spark.createDataFrame([("4", "0"), ("2", "1"), (None, "1"), ("-8", "2")], "a string, b string")
+    read = lambda e: [None if r[0] is None else float(r[0]) for r in df.select(rl.compile_expression(e)).collect()]
+    assert read("sqrt(a)") == [2, None, None, None] and read("a ** (1 / 3)") == [None, None, None, -2] and read("a ** -2") == [0.0625, 0.25, None, 0.015625]
+    assert read("product(a, b, 3) + sum(a, b)") == [4, 9, None, -54] and read("max(a, b)") == [4, 2, None, 2]
+    assert [r[0] for r in df.select(rl.expression_status("a / b")).collect()] == ["DOMAIN_ERROR", "VALUE", "UNKNOWN", "VALUE"]
+
+
 @pytest.mark.parametrize(("schema", "good", "bad"), [
     ({"type": "integer"}, ["1", "1.0"], ["1.5", '"1"', "true"]),
     ({"enum": ["a", 1, None]}, ['"a"', "1", "null"], ['"b"']),
@@ -125,12 +161,55 @@ def test_expression_inverse():
     ({"oneOf": [{"minimum": 5}, {"multipleOf": 2}]}, ["7", "4"], ["6", "3"]),
     ({"if": {"minimum": 5}, "then": {"maximum": 7}, "else": {"const": 0}}, ["6", "0"], ["8", "3"]),
     ({"$ref": "#/$defs/x", "$defs": {"x": {"type": "string"}}}, ['"a"'], ["1"]),
+    ({"$ref": "#/$defs/x", "required": ["c"], "$defs": {"x": {"type": "object", "required": ["b"], "minProperties": 1}}}, ['{"c":1}'], ["{}", '{"b":1}', "1"]),
+    ({"$ref": "#/$defs/x", "$defs": {"x": {"$ref": "#/$defs/x"}}}, [], ["1"]),
+    ({"$ref": "#/$defs/none"}, [], ["1"]),
+    ({"pattern": "(a+)+b"}, ["1"], ['"ab"']),
+    ({"properties": {"a'b": {"const": 1}, 'c"d': {"const": 2}}}, ["{}", '{"a\'b":1}'], ['{"a\'b":2}', '{"c\\"d":1}']),
+    ({"properties": {"a": {"type": "null"}}, "required": ["a"]}, ['{"a":null}'], ["{}", '{"a":1}']),
+    ({"minimum": 0.000000000000000001, "maximum": 1e300}, ["1", "1e299", "0.000000000000000001"], ["0", "-1e200"]),
     (True, ["1"], []), (False, [], ["1"]),
 ])
 def test_schema(spark, schema, good, bad):
     df = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in bad], "raw string, want boolean")
-    for r in df.select("raw", "want", sc.valid(F.try_parse_json("raw"), schema).alias("got")).collect():
-        assert r["got"] == r["want"], r
+    for r in sc.validate(df, "raw", schema, column="got").select("raw", "want", "got", sc.valid(F.try_parse_json("raw"), schema).alias("inline")).collect():
+        assert r["got"] == r["want"] == r["inline"], r
+    broken = {r["row_id"] for r in sc.violations(df, "raw", "raw", schema).collect()}
+    assert broken == set(bad)
+
+
+def test_schema_violations_recurse_and_repair(spark):
+    tree = {"type": "object", "properties": {"k": {"items": {"$ref": "#/$defs/tree"}}}}
+    schema = {
+        "type": "object", "required": ["a", "z"], "$defs": {"tree": tree}, "dependentSchemas": {"e": {"properties": {"l": {"minItems": 2}}}}, "patternProperties": {"^n_": {"type": "integer"}},
+        "properties": {
+            "a": {"type": "integer", "minimum": 5, "multipleOf": 2, "maximum": 9}, "z": {"default": 7}, "e": {"enum": ["Open", "Shut"]}, "l": {"prefixItems": [{"type": "string"}], "items": {"minimum": 3}},
+            "c": {"const": {"x": 1}}, "n": {"properties": {"q": {"pattern": "^a"}}, "additionalProperties": False}, "t": {"$ref": "#/$defs/tree"}, "x": {"exclusiveMinimum": 3, "maximum": 9},
+        },
+        "allOf": [{"if": {"properties": {"e": {"const": "Open"}}, "required": ["e"]}, "then": {"properties": {"a": {"maximum": 6}}}}],
+    }
+    texts = [
+        '{"a":3,"e":"open","l":["x",1,5],"c":{"x":1.0},"n":{"q":"b","w/v":1}}', '{"a":8,"z":null,"e":"Open","l":[1],"c":1}', '{"a":"x","z":1}', "[]",
+        '{"a":6,"z":1,"t":{"k":[{}]}}', '{"a":6,"z":1,"x":3,"n_a":"s"}', '{"a":6,"z":1,"x":12}', '{"a":6,"z":1}',
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, raw string")
+    got = sorted(((r["row_id"], r["path"], r["code"].removeprefix("schema_"), r["new_value"]) for r in sc.violations(df, "id", "raw", schema).collect()), key=str)
+    assert got == sorted([
+        (0, "/a", "minimum_violation", "6"), (0, "/a", "multiple_of_violation", "6"), (0, "/e", "enum_violation", '"Open"'), (0, "/l/1", "minimum_violation", "3"), (0, "/n/q", "pattern_violation", None),
+        (0, "/n/w~1v", "additional_property", None), (0, "/z", "required_missing", "7"), (1, "/a", "maximum_violation", "6"), (1, "/c", "const_violation", '{"x": 1}'), (1, "/l", "min_items_violation", None),
+        (1, "/l/0", "type_violation", None), (2, "/a", "type_violation", None), (3, "", "type_violation", None), (4, "/t/k/0", "ref_cycle", None), (5, "/n_a", "type_violation", None),
+        (5, "/x", "exclusive_minimum_violation", None), (6, "/x", "maximum_violation", "9"),
+    ], key=str)
+
+
+def test_boundaries_of_a_number(spark):
+    status = lambda x, bounds, integer=False: tuple(spark.createDataFrame([(x,)], "x string").select(*sc.boundary_status(F.col("x"), bounds, integer)).first())
+    lattice = {"minimum": 0, "exclusiveMaximum": 10, "multipleOf": 3}
+    assert [status(x, lattice)[0] for x in ("-4", "7", "7.5", "12", "3", "x")] == ["UNIQUE", "UNIQUE", "AMBIGUOUS", "UNIQUE", "VALID", "INVALID"]
+    assert float(status("12", lattice)[1]) == 9 and status("1", {"exclusiveMinimum": 2})[0] == "NO_MINIMUM" and status("1", {"minimum": 2, "maximum": 1})[0] == "EMPTY"
+    assert float(status("1.2", {}, True)[1]) == 1 and float(status("9", {"minimum": 2, "maximum": 5})[1]) == 5
+    registry = sc.boundary_registry({"properties": {"a": {"minimum": 3}}, "allOf": [{"properties": {"a": {"maximum": 2}}}]}, rl.parse_rules("b minimum 1\nb exclusiveMaximum 1").simple)
+    assert [(r["path"], r["contradiction"]) for r in registry] == [("/a", True), ("/b", True)]
 
 
 def test_graph_and_states(spark):
@@ -184,7 +263,8 @@ def test_patch_needs_the_old_value(spark):
 @pytest.mark.parametrize(("text", "want"), [
     ('{"a":1}', '{"a":1}'), ('{"a":1,}', '{"a":1}'), ("{a:1}", '{"a":1}'), ("{'a':'it'}", '{"a":"it"}'), ('{"a":1} // c', '{"a":1}'), ('{"a":/* c */1}', '{"a":1}'),
     ('﻿{"a":1}', '{"a":1}'), ('{"a":[1,2', '{"a":[1,2]}'), ('{"a":1 "b":2}', '{"a":1,"b":2}'), ('{"a":"//x"}', '{"a":"//x"}'),
-    ('{"a":1,"a":2}', None), ('{"a":NaN}', None), (None, None),
+    ('{"a":1,"a":2}', None), ('{"a":NaN}', None), (None, None), ("{'a':'/* keep */'}", '{"a":"/* keep */"}'), ("{'u':'http://x'}", '{"u":"http://x"}'), ('{"s":"\\ud800"}', None), ('{"a":1e999}', None),
+    ('{"a":1} x', None), ("{'a':'say \"hi\"'}", '{"a":"say \\"hi\\""}'), ('{"a":1 /* x', None), ('{"a":1\r// c\r,"b":2}', '{"a":1,"b":2}'), ("{'a':'it\\'s'}", '{"a":"it\'s"}'), ('{"a":"b', '{"a":"b"}'),
 ])
 def test_syntax(text, want):
     assert repair(text)[0] == want
@@ -204,14 +284,68 @@ def test_sources(spark, tmp_path):
     src.write_records(df, str(tmp_path / "out"), "i")
     assert [r["raw"] for r in src.read_records(spark, str(tmp_path / "out"), "jsonl").orderBy("line").collect()] == ['{"s":"a"}', '{"s":"b"}']
     src.write_report({"issues": df, "relations": df}, str(tmp_path / "report"))
+    src.write_report({"issues": df.limit(1)}, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report/issues")).count() == 1 and not (tmp_path / "report/relations").exists()
+    src.write_report({"issues": df, "relations": df}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/issues")).count() == 2
 
 
+def test_strict_refuses_what_is_no_single_value(spark):
+    bad = ['{"a":1} x', '{"a":1e999}', "-1e400", '"\\ud800"', '"\\ude00"', '"\\ud800\\\\ude00"', "1,2", "1] , [2", '1, "v":2', '1},{"v":2', "", " ", '{"a":1,"a":2}', "NaN", "[1", "9" * 400, None]
+    good = ['{"a":1}', " 1 ", "null", '"\\ud83d\\ude00"', '"\\\\ud800"', '"1e999"', "\ufeff[1]", "1e300", '"' + "x" * 100_000 + '"', '"' + "\\\\n" * 3000 + '"']
+    df = spark.createDataFrame([(t, False) for t in bad] + [(t, True) for t in good], "raw string, want boolean")
+    for r in df.select("raw", "want", src.strict(F.col("raw")).isNotNull().alias("got")).collect():
+        assert r["got"] == r["want"], r["raw"][:60]
+
+
+def test_limits_of_long_and_wide_texts(spark):
+    texts = ['"' + "x" * 200_000 + '"', '["' + "\\n" * 50_000 + '"]', '"' + "9" * 5000 + '"', "9" * 5000, "[" + "1," * 60 + "1]", '{"' + "k" * 60 + '":1}', '[[],{},[1,2],"a,b"]', '"\\ud800"']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = df.select("i", src.within_limits(F.col("raw")).alias("ok"), src.within_limits(F.col("raw"), width=50).alias("narrow"), src.within_limits(F.col("raw"), key=50).alias("keys"), src.nodes(F.col("raw")).alias("n"), src.depth(F.col("raw")).alias("d")).orderBy("i").collect()
+    assert [r["ok"] for r in got] == [True, True, True, False, True, True, True, False]
+    assert not got[4]["narrow"] and got[6]["narrow"] and not got[5]["keys"] and (got[6]["n"], got[6]["d"]) == (7, 2)
+
+
 def test_limits_refuse(spark):
     df = spark.createDataFrame([("[[1]]",), ('"[[[["',), ("[" * 5 + "]" * 5,)], "raw string")
     assert [r[0] for r in df.select(src.within_limits(F.col("raw"), levels=3)).collect()] == [True, True, False]
 
 
+def test_bundles_and_documents(spark, tmp_path):
+    docs = spark.createDataFrame([("a.json", '{"x":1}'), ("b/c.json", "[1,2]")], "name string, value string")
+    assert src.write_bundle(docs, str(tmp_path / "out")) == 2
+    assert {r["name"]: r["raw"] for r in src.read_bundle(spark, str(tmp_path / "out")).collect()} == {"a.json": '{\n  "x": 1\n}\n', "b/c.json": "[\n  1,\n  2\n]\n"}
+    for bad in ([("../x.json", "1")], [("/x.json", "1")], [("x.json", "{")], [("x.json", "1"), ("x.json", "2")]):
+        with pytest.raises(ValueError):
+            src.write_bundle(spark.createDataFrame(bad, "name string, value string"), str(tmp_path / "out"))
+    assert (tmp_path / "out/a.json").exists()
+    with pytest.raises(ValueError):
+        src.read_bundle(spark, str(tmp_path / "out"), count=1)
+    with pytest.raises(ValueError):
+        src.read_document(spark, str(tmp_path / "out/a.json"), limit=3)
+    assert src.read_document(spark, str(tmp_path / "out/a.json")).first()["value"] is not None
+    (tmp_path / "far.json").write_text("1")
+    (tmp_path / "out/link.json").symlink_to(tmp_path / "far.json")
+    with pytest.raises(ValueError):
+        src.read_bundle(spark, str(tmp_path / "out"))
+    src.write_json(spark, {"b": 1, "a": [None]}, str(tmp_path / "one.json"))
+    src.write_json(spark, {"b": 2}, str(tmp_path / "one.json"))
+    assert (tmp_path / "one.json").read_text() == '{\n  "b": 2\n}\n' and len(list(tmp_path.glob("one.json*"))) == 1
+    assert src.envelope("PASS", issues=0) == ('{"exit_code":0,"issues":0,"status":"PASS"}', 0) and src.envelope("IO_ERROR")[1] == 30
+
+
+def test_trees_and_components(spark):
+    raw = spark.createDataFrame([('{"a":{"b":[{"c":null},2]},"d":1.5}',), ('{"a":1,"a":2}',), (None,)], "raw string")
+    got = [r[0] for r in raw.select(src.tree(F.col("raw"))).collect()]
+    assert [(x["path"], x["kind"]) for x in got[0]] == [("", "object"), ("/a", "object"), ("/a/b", "array"), ("/a/b/0", "object"), ("/a/b/0/c", "null"), ("/a/b/1", "integer"), ("/d", "number")] and got[1:] == [None, None]
+    assert [[x["path"] for x in r[0]] for r in raw.limit(1).select(src.leaves(F.col("raw"))).collect()] == [["/a/b", "/d"]]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000), (2000, 1500), (7, 7)], "a long, b long")
+    got = {r["node"]: r["root"] for r in sy.components(edges, cutter(spark)).collect()}
+    assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1500: 1000, 2000: 1000}
+    with pytest.raises(RuntimeError):
+        sy.reachable(spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long"), spark.range(1), lambda df, _: df.cache(), most=3)
+
+
 def test_pointers():
     assert fn.unescape(fn.escape("a/b~c")) == "a/b~c"
     import re
