@@ -50,6 +50,15 @@ def functional(df: DataFrame, key: str, fields: list[str], pairs: list[tuple[str
     return relations, bad.select("row_id", "det", "target", code.alias("code"), F.col("v").alias("old_value"), F.col("mode").alias("new_value"), "confidence")
 
 
+def violations_of(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(row_id, det, target, old_value, new_value) of dependencies that are known to hold: rows of a group of MIN_GROUP or more
+    with another target than its mode.  A group's rows are all that its candidates depend on, so a part of a table that
+    holds whole groups gives what the whole table gives for them."""
+    rows = long_pairs(df, pairs, key)
+    found = modes(rows, "det", "target").where(F.col("n") >= MIN_GROUP).select("det", "target", "d", "mode")
+    return rows.join(found, ["det", "target", "d"]).where("v is null or v <> mode").select("row_id", "det", "target", F.col("v").alias("old_value"), F.col("mode").alias("new_value"))
+
+
 def sparse_recovery(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """Candidates where confidence is between the floor and the usual threshold, but every group has a clear mode and
     stray values come once each."""

@@ -88,11 +88,12 @@ def inverse(patches: DataFrame) -> DataFrame:
     return patches.withColumns({"old_value": F.col("new_value"), "new_value": F.col("old_value")})
 
 
-def digest(df: DataFrame) -> tuple[int, int]:
-    """Order-independent digest of a table: number of rows and the exclusive or of their hashes."""
+def digest(df: DataFrame) -> tuple[int, int, int]:
+    """Order-independent digest of a table: number of rows, sum and exclusive or of their hashes; the sum tells apart rows
+    that come twice."""
     row = F.xxhash64(*df.columns)
-    got = df.agg(F.count(F.lit(1)), F.bit_xor(row)).first()
-    return got[0], got[1]
+    got = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
+    return got[0], int(got[1] or 0), got[2] or 0
 
 
 def fixed_point(df: DataFrame, key: str, fields: list[str], analyze: Callable[[DataFrame], DataFrame], checkpoint, cycles: int = 8, quiet: int = 2) -> tuple[DataFrame, list[DataFrame], str]:

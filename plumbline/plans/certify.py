@@ -15,99 +15,21 @@ from .declared import _CAND, _candidates
 from .inputs import t, using, view
 
 
-def ptr_set(spark, d):
-    return t(spark, d, "events").select("event_id", F.to_json(cf.set_member("props", "k", F.lit("0"))).alias("raw"))
 
 
-def ptr_delete(spark, d):
-    raw = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.lit("1").alias("gone")))
-    return t(spark, d, "events").select("event_id", F.to_json(cf.delete_member(raw, "gone")).alias("raw"))
 
 
-def _step(function):
-    @F.pandas_udf(T.StringType())
-    def run(texts):
-        return texts.map(function)
 
-    return run
 
 
-def syn_trailing_comma(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "concat(substr(props, 1, length(props) - 1), ', }') AS raw")
-    return raw.select("event_id", fn.canonical(_step(syntax.trailing_commas)("raw")).alias("value"))
 
 
-def syn_comments(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "concat('/* ', event_id, ' */ ', props, ' // end') AS raw")
-    return raw.select("event_id", fn.canonical(_step(syntax.strip_comments)("raw")).alias("value"))
 
 
-def syn_unquoted_keys(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "replace(props, '\"k\"', 'k') AS raw")
-    return raw.select("event_id", fn.canonical(_step(syntax.quote_keys)("raw")).alias("value"))
 
 
-def syn_single_quotes(spark, d):
-    raw = t(spark, d, "events").selectExpr("event_id", "replace(props, '\"', '''') AS raw")
-    return raw.select("event_id", fn.canonical(_step(syntax.single_quotes)("raw")).alias("value"))
 
 
-def syn_bom(spark, d):
-    raw = t(spark, d, "events").select("event_id", F.concat(F.lit("﻿"), "props").alias("raw"))
-    return raw.select("event_id", F.to_json(src.strict(F.col("raw"))).alias("value"))
-
-
-def factorize(spark, d):
-    """Blocks of candidates that share a cell; a row is its own world, so blocks never leave it."""
-    return cf.blocks(_candidates(spark, d))
-
-
-def min_transfer(spark, d):
-    return cf.least_transfer(_candidates(spark, d))
-
-
-def rewrite_algebra(spark, d):
-    return cf.critical_pairs(_candidates(spark, d))
-
-
-def parallel_routes(spark, d):
-    """Cells whose tied candidates all end in one value."""
-    return cf.joinable(_candidates(spark, d))
-
-
-def symmetry_block(spark, d):
-    rows = t(spark, d, "lineitem").select("l_orderkey", F.concat_ws("|", "l_returnflag", "l_linestatus").alias("member"))
-    return cf.symmetric(rows, "l_orderkey", "member")
-
-
-def causal_cone(spark, d):
-    edges = [("subtotal", "total"), ("tax", "total"), ("rate", "tax"), ("country", "currency")]
-    rows = [(f, ",".join(cf.cone(edges, f, True)), ",".join(cf.cone(edges, f, False))) for f in sorted({x for e in edges for x in e})]
-    return spark.createDataFrame(rows, "field string, backward string, forward string")
-
-
-def causal_dominance(spark, d):
-    """Candidates of a row that resolve a strict subset of what another of the row resolves."""
-    c = t(spark, d, "part").selectExpr("p_partkey AS row_id", "explode(array(named_struct('id', 'a', 'resolved', array(1, 2)), named_struct('id', 'b', 'resolved', CASE WHEN p_partkey % 2 = 0 THEN array(1) ELSE array(1, 3) END))) AS x").select("row_id", "x.*")
-    return cf.dominated(c)
-
-
-def q_descent(spark, d):
-    """Debt before and after the unique candidates are applied."""
-    from ..operators import repair as rp
-
-    c = _candidates(spark, d)
-    before = c.select("row_id", "field").distinct().agg(F.count(F.lit(1)).alias("cells"))
-    after = rp.select_unique(c).agg(F.count(F.lit(1)).alias("solved"))
-    return before.join(after).select("cells", (F.col("cells") - F.col("solved")).alias("left"))
-
-
-def proof_digest(spark, d):
-    """Digest of a table that doesn't depend on the order or the partitions of its rows."""
-    o = t(spark, d, "orders").select(F.sha2(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("h"))
-    first = F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint")
-    return o.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(first).alias("digest"))
-
 
 def json_finite_number(spark, d):
     return t(spark, d, "part").select("p_partkey", fn.finite_decimal(F.col("p_size"), F.col("p_partkey") % 12 + 1).alias("value"))
@@ -120,19 +42,6 @@ def mom_inferred(spark, d):
     return found.agg(F.count(F.when(F.col("claimed") == F.col("num"), 1)).alias("support"), F.count(F.lit(1)).alias("decided")).where("support / decided >= 0.95")
 
 
-def morphology(spark, d):
-    """Children of one container kind whose shape nearly all share; those that lack a key are only reported."""
-    kids = t(spark, d, "part").selectExpr("p_partkey AS id", "p_brand AS container", "CASE WHEN p_partkey % 59 = 0 THEN array('name') ELSE array('kind', 'name') END AS keys")
-    top = kids.groupBy("container", F.array_join("keys", ",").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
-    best = top.groupBy("container").agg(F.max_by("shape", F.struct("n", "shape")).alias("shape"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.75")
-    return kids.join(best, "container").select("id", F.explode(F.array_except(F.split("shape", ","), "keys")).alias("missing"))
-
-
-def graph_discover(spark, d):
-    """Carriers of a node list and an edge list, by their names and keys."""
-    raw = t(spark, d, "region").selectExpr("r_regionkey", "CASE WHEN r_regionkey % 2 = 0 THEN '{\"nodes\":[{\"id\":1}],\"edges\":[{\"source\":1,\"target\":1}]}' ELSE '{\"vertices\":[{\"id\":1}]}' END AS raw").withColumn("keys", F.json_object_keys("raw"))
-    has = lambda *names: F.size(F.array_intersect("keys", F.array(*map(F.lit, names)))) > 0
-    return raw.where(has("nodes", "vertices") & has("edges", "links")).select("r_regionkey")
 
 
 def agg_spill_registry(spark, d):
@@ -140,24 +49,8 @@ def agg_spill_registry(spark, d):
     return t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
 
 
-def st_arith(spark, d):
-    return ar.binary(view(spark, d, "item"), ["charge", "discount", "quantity"]).select("target", "a", "op", "b")
-
-
-def st_falsify(spark, d):
-    """Two folds by parity: the modes of a dependency agree in both."""
-    from ..operators import dependencies as dep
-
-    return dep.falsify(view(spark, d, "cust"), "id", [("nation", "region")])
-
-
-def st_modal(spark, d):
-    return profile.field_profile(view(spark, d, "item"), ["flag", "state"]).select("field", "distinct_values")
 
 
-def src_auto_format(spark, d):
-    rows = [(n, src.format_of(n)) for n in ("a.jsonl", "b.NDJSON", "c.json", "d")]
-    return spark.createDataFrame(rows, "name string, format string")
 
 
 def src_sources_manifest(spark, d):
@@ -173,32 +66,13 @@ def src_schema_openapi(spark, d):
     return sc.validate(t(spark, d, "events").select("event_id", "props"), "props", own, root=document).drop("props")
 
 
-_NAMES = """ptr_set ptr_delete syn_trailing_comma syn_comments syn_unquoted_keys syn_single_quotes syn_bom factorize min_transfer rewrite_algebra parallel_routes symmetry_block causal_cone causal_dominance q_descent proof_digest
-json_finite_number mom_inferred morphology graph_discover agg_spill_registry st_arith st_falsify st_modal src_auto_format src_sources_manifest src_schema_openapi"""
+_NAMES = """json_finite_number mom_inferred agg_spill_registry src_sources_manifest src_schema_openapi"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 _K = using("cust") + _CAND
-_SAME = "SELECT event_id, props AS value FROM (SELECT event_id, '{\"k\":' || (props->>'$.k') || '}' AS props FROM events)"
 ORACLES = {
-    "ptr_set": "SELECT event_id, '{\"k\":\"0\"}' AS raw FROM events", "ptr_delete": "SELECT event_id, '{\"id\":\"' || event_id || '\"}' AS raw FROM events",
-    **{n: _SAME for n in ("syn_trailing_comma", "syn_comments", "syn_unquoted_keys", "syn_single_quotes", "syn_bom")},
-    "factorize": _K + "SELECT row_id, field, count(*) AS options FROM k GROUP BY ALL",
-    "min_transfer": _K + "SELECT row_id, field, min(new_value) AS new_value, count(*) AS support FROM k GROUP BY row_id, field HAVING count(DISTINCT new_value) = 1",
-    "rewrite_algebra": _K + "SELECT a.row_id, a.field, a.analyzer AS first_analyzer, b.analyzer AS second_analyzer, a.new_value = b.new_value AS joinable FROM k a JOIN k b ON a.row_id = b.row_id AND a.field = b.field AND a.analyzer < b.analyzer",
-    "parallel_routes": _K + "SELECT row_id, field, count(*) AS routes FROM k GROUP BY row_id, field HAVING count(*) > 1 AND count(DISTINCT new_value) = 1",
-    "symmetry_block": "SELECT l_orderkey, sum(n)::BIGINT AS members FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus HAVING count(*) > 1) GROUP BY 1",
-    "causal_cone": "SELECT * FROM (VALUES ('country', '', 'currency'), ('currency', 'country', ''), ('rate', '', 'tax,total'), ('subtotal', '', 'total'), ('tax', 'rate', 'total'), ('total', 'rate,subtotal,tax', '')) x(field, backward, forward)",
-    "causal_dominance": "SELECT p_partkey AS row_id, 'b' AS id FROM part WHERE p_partkey % 2 = 0",
-    "q_descent": _K + "SELECT count(*) AS cells, count(*) FILTER (n > 1) AS left FROM (SELECT row_id, count(DISTINCT new_value) AS n FROM k GROUP BY 1)",
-    "proof_digest": "SELECT count(*) AS n_rows, bit_xor(('0x' || sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus))[1:12])::BIGINT) AS digest FROM orders",
     "json_finite_number": "WITH x AS (SELECT p_partkey, p_size, p_partkey % 12 + 1 AS q FROM part) SELECT p_partkey, CASE WHEN (p_size::BIGINT * 1000000000) % q = 0 THEN ((p_size::BIGINT * 1000000000) // q)::DECIMAL(38,9) * 0.000000001 END::DECIMAL(38,18) AS value FROM x",
     "mom_inferred": "SELECT count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0) AS support, count(DISTINCT l_suppkey) AS decided FROM lineitem HAVING count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0)::DOUBLE / count(DISTINCT l_suppkey) >= 0.95",
-    "morphology": "SELECT p_partkey AS id, 'kind' AS missing FROM part WHERE p_partkey % 59 = 0",
-    "graph_discover": "SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0",
     "agg_spill_registry": "SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY n",
-    "st_arith": "SELECT * FROM (VALUES ('charge', 'discount', '+', 'quantity'), ('discount', 'charge', '-', 'quantity'), ('quantity', 'charge', '-', 'discount')) x(target, a, op, b)",
-    "st_falsify": "SELECT 'nation' AS det, 'region' AS target, 'ADVERSARIAL_SURVIVED' AS status",
-    "st_modal": using("item") + "SELECT 'flag' AS field, count(DISTINCT flag) AS distinct_values FROM item UNION ALL SELECT 'state', count(DISTINCT state) FROM item",
-    "src_auto_format": "SELECT * FROM (VALUES ('a.jsonl', 'jsonl'), ('b.NDJSON', 'jsonl'), ('c.json', 'array'), ('d', 'array')) x(name, format)",
     "src_sources_manifest": "SELECT 'a' AS source_id, 'defaults' AS role, 'g1' AS independent_group, count(*) AS n FROM nation UNION ALL SELECT 'b', 'authoritative', 'g2', count(*) FILTER (n_nationkey < 5) FROM nation",
     "src_schema_openapi": "SELECT event_id, (props->>'$.k')::BIGINT <= 50 AS ok FROM events",
 }

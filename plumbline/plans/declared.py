@@ -204,28 +204,10 @@ def fw_authority(spark, d):
     return rp.authority(_candidates(spark, d))[0].select("row_id", "field", "new_value", "analyzer")
 
 
-def fast_select(spark, d):
-    return rp.select_unique(_candidates(spark, d)).select("row_id", "field", "new_value")
 
 
-def identifiability(spark, d):
-    return rp.status(_candidates(spark, d))
 
 
-def federation(spark, d):
-    return _candidates(spark, d).groupBy("row_id", "field", "new_value").agg(F.array_join(F.array_sort(F.collect_set("analyzer")), ",").alias("actors"))
-
-
-def fw_control(spark, d):
-    return rp.control(_candidates(spark, d), allowed=["/reg*"], immutable=["/other/**"])[0].select("row_id", "field", "new_value")
-
-
-def fw_boundary(spark, d):
-    return rp.boundary(_candidates(spark, d), {"/region": (0, 3)}).select("row_id", "field", "new_value")
-
-
-def fw_robust(spark, d):
-    return rp.robust(_candidates(spark, d), spark.createDataFrame([("/region", "1")], "field string, radius string").withColumn("radius", F.col("radius").cast(fn.DEC))).select("row_id", "field", "new_value")
 
 
 def _region_candidates(df):
@@ -272,50 +254,9 @@ def set_symmetric_diff(spark, d):
     return a.join(b, "id", "full_outer").where("not region <=> now").select("id", "region", "now")
 
 
-def multisource_assimilate(spark, d):
-    """Defaults fill what is missing, an authoritative source overrides, the event log's last value comes last."""
-    base = view(spark, d, "cust").select("id", "region")
-    auth = t(spark, d, "customer").where("c_custkey % 200 = 0").selectExpr("c_custkey AS id", "CAST(7 AS INT) AS given")
-    log = t(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max_by(F.col("event_id").cast("int"), "event_id").alias("logged"))
-    joined = base.join(auth, "id", "left").join(log, "id", "left")
-    return joined.select("id", F.coalesce("given", "region", "logged", F.lit(-1)).alias("region"))
-
-
-def multisource_lifecycle(spark, d):
-    """Dependencies learnt on two thirds of the rows and tested on the rest."""
-    from ..operators import dependencies as dep
-
-    df = view(spark, d, "cust").where("id % 97 <> 0")
-    learnt = dep.modes(dep.long_pairs(df.where("id % 3 <> 0"), [("nation", "region"), ("nation", "segment")], "id"), "det", "target")
-    exact = learnt.groupBy("det", "target").agg((F.sum("mode_n") == F.sum("n")).alias("exact"))
-    held = dep.long_pairs(df.where("id % 3 = 0"), [("nation", "region"), ("nation", "segment")], "id").where("v is not null")
-    test = held.join(learnt.select("det", "target", "d", "mode"), ["det", "target", "d"]).groupBy("det", "target").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("v") != F.col("mode"), 1)).alias("mismatches"))
-    status = F.when(~F.col("exact"), "DEVELOPMENT_CONFLICT").when(F.col("mismatches") == 0, "HELDOUT_CONFIRMED").otherwise("GLOBAL_REFUTED")
-    return exact.join(test, ["det", "target"]).select("det", "target", status.alias("status"), "rows", "mismatches")
-
-
-def materialize_witness(spark, d):
-    """A missing cell is filled by sources that all say the same."""
-    lost = view(spark, d, "cust").where("region is null").select("id", "nation")
-    witness = t(spark, d, "nation").selectExpr("n_nationkey AS nation", "n_regionkey AS value").unionByName(t(spark, d, "nation").where("n_nationkey % 3 = 0").selectExpr("n_nationkey AS nation", "n_regionkey + n_nationkey % 2 AS value"))
-    agreed = witness.groupBy("nation").agg(F.count_distinct("value").alias("k"), F.min("value").alias("value")).where("k = 1")
-    return lost.join(agreed, "nation").select("id", "value")
-
 
-def horizon(spark, d):
-    """Paths whose input digest is the same in two shards and whose output digest isn't."""
-    df = view(spark, d, "part2").select("id", F.sha2(F.col("size").cast("string"), 256).alias("i"), F.sha2(F.col("tripled").cast("string"), 256).alias("o"))
-    other = view(spark, d, "part2").select("id", F.sha2(F.col("size").cast("string"), 256).alias("i"), F.sha2((F.col("size") * 3).cast("string"), 256).alias("o2"))
-    return df.join(other, ["id", "i"], "full_outer").where("not o <=> o2").select("id")
 
 
-def struct_rename(spark, d):
-    """Rows that lack one agreed key and have one other of related name: a move."""
-    raw = t(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 47 = 0 THEN to_json(named_struct('brand', p_brand, 'part_sz', p_size)) ELSE to_json(named_struct('brand', p_brand, 'part_size', p_size)) END AS raw").select("id", F.json_object_keys("raw").alias("keys"))
-    agreed = F.array(F.lit("brand"), F.lit("part_size"))
-    lost, extra = F.array_except(agreed, "keys"), F.array_except("keys", agreed)
-    related = F.size(F.array_intersect(F.split(F.get(extra, F.lit(0)), "_"), F.split(F.get(lost, F.lit(0)), "_"))) > 0
-    return raw.where((F.size(lost) == 1) & (F.size(extra) == 1) & related).select("id", F.get(extra, F.lit(0)).alias("from_key"), F.get(lost, F.lit(0)).alias("to_key"))
 
 
 _HOSTILE = ('{"k":1,"k":2}', '{"k":NaN}', '{"k":', '{"k":1} x', '{"k":1e999}', '{"k":"\\\\ud800"}', '1,2', '1] , [2', "")
@@ -327,13 +268,6 @@ def src_strict_json(spark, d):
     return raw.select("event_id", src.strict(F.col("raw")).isNotNull().alias("valid"))
 
 
-def src_jsonl(spark, d):
-    return t(spark, d, "events").select("event_id", F.try_variant_get(src.strict(F.col("props")), "$.k", "long").alias("k"))
-
-
-def sec_limits(spark, d):
-    raw = t(spark, d, "part").selectExpr("p_partkey AS id", "concat(repeat('[', p_size), '1', repeat(']', p_size)) AS raw")
-    return raw.select("id", src.within_limits(F.col("raw"), text=90, levels=40).alias("ok"))
 
 
 def scan_object_arrays(spark, d):
@@ -355,9 +289,6 @@ def scan_tree_walk(spark, d):
     return raw.select("p_partkey", F.explode(src.tree(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
 
 
-def ptr_get(spark, d):
-    return t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), fn.json_path("/k"), "long").alias("value"))
-
 
 def syn_min_repair(spark, d):
     raw = t(spark, d, "events").selectExpr("event_id", "get_json_object(props, '$.k') AS k", "props").selectExpr("event_id", "CASE event_id % 9 WHEN 0 THEN concat('{\"k\":', k, ',}') WHEN 1 THEN concat('{k: ', k, '}') WHEN 2 THEN concat('{''k'': ', k, ', ''s'': ''/* ', k, ' */''}') WHEN 3 THEN concat('{\"k\":', k, '} // end') WHEN 4 THEN concat('{\"k\":', k) WHEN 5 THEN concat('{\"k\":', k, ',\"k\":1}') WHEN 6 THEN '{\"k\":\"\\\\ud800\"}' WHEN 7 THEN concat(props, ' x') ELSE props END AS raw")
@@ -397,30 +328,11 @@ def st_apply(spark, d):
     return batches.apply_knowledge(view(spark, d, "cust").select("id", F.col("nation").cast("string").alias("d"), F.col("region").cast("string").alias("v")), st_functional(spark, d))
 
 
-def st_enum(spark, d):
-    counts = view(spark, d, "cust").groupBy("spelled").agg(F.count(F.lit(1)).alias("n"))
-    group = counts.groupBy(F.lower("spelled").alias("f")).agg(F.count(F.lit(1)).alias("k"), F.max_by("spelled", F.struct("n", "spelled")).alias("canonical"), (F.max("n") / F.sum("n")).alias("share")).where("k > 1 and share >= 0.75")
-    return group.select("canonical", "k")
-
-
-def st_required(spark, d):
-    e = t(spark, d, "events").selectExpr("event_type", "CASE WHEN event_id % 71 = 0 AND event_type = 'click' THEN '{}' ELSE props END AS raw").select("event_type", F.array_contains(F.json_object_keys("raw"), "k").alias("has"))
-    return e.groupBy("event_type").agg(F.avg(F.col("has").cast("int")).alias("share")).where("share >= 0.95").select("event_type")
-
-
-def st_choose(spark, d):
-    return rp.select_unique(rp.authority(_candidates(spark, d))[0]).select("row_id", "field", "new_value")
 
 
-def st_journal_inverse(spark, d):
-    return patch_replay_inverse(spark, d)
 
 
-_NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates rule_sat logic_authoritative logic_exactly_one logic_implies2 dsl_simple dsl_parse dsl_numeric_intersection
-boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components sys_reachable sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority fast_select
-identifiability federation fw_control fw_boundary fw_robust patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff multisource_assimilate multisource_lifecycle
-materialize_witness horizon struct_rename src_strict_json src_jsonl sec_limits scan_object_arrays scan_leaf_paths scan_tree_walk ptr_get syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time
-st_functional st_apply st_enum st_required st_choose st_journal_inverse"""
+_NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates rule_sat logic_authoritative logic_exactly_one logic_implies2 dsl_simple dsl_parse dsl_numeric_intersection boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components sys_reachable sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff src_strict_json scan_object_arrays scan_leaf_paths scan_tree_walk syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time st_functional st_apply"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _P = f"WITH p AS (SELECT p_partkey AS id, {_BOOL}, p_brand AS brand, p_size AS size FROM part) "
@@ -469,30 +381,13 @@ ORACLES = {
         SELECT conv_id AS machine, turn AS row_id, CASE WHEN b IS NULL THEN 'initial_state_violation' WHEN a IS NULL THEN 'terminal_transition_violation' ELSE 'invalid_transition_state' END AS code, s AS old_value, (SELECT CASE WHEN count(*) = 1 THEN min(v) END FROM o WHERE o.conv_id = y.conv_id AND o.turn = y.turn) AS new_value FROM y WHERE bad_in AND bad_out""",
     "sys_migration": "SELECT p_partkey, p_size AS size, p_size * 2 AS twice FROM part",
     "fw_authority": using("cust") + _CAND + "SELECT k.row_id, k.field, new_value, analyzer FROM k JOIN (SELECT row_id, max(tier) AS top, count(DISTINCT new_value) FILTER (tier = 3) AS n FROM k GROUP BY row_id) m ON k.row_id = m.row_id AND tier = top WHERE n <= 1",
-    "fast_select": using("cust") + _CAND + "SELECT row_id, field, min(new_value) AS new_value FROM k GROUP BY row_id, field HAVING count(DISTINCT new_value) = 1",
-    "st_choose": using("cust") + _CAND + "SELECT k.row_id, k.field, min(new_value) AS new_value FROM k JOIN (SELECT row_id, max(tier) AS top FROM k GROUP BY row_id) m ON k.row_id = m.row_id AND tier = top GROUP BY k.row_id, k.field HAVING count(DISTINCT new_value) = 1",
-    "identifiability": using("cust") + _CAND + "SELECT row_id, field, CASE WHEN count(DISTINCT new_value) = 1 THEN 'UNIQUE' ELSE 'NONE' END AS status FROM k GROUP BY ALL",
-    "federation": using("cust") + _CAND + "SELECT row_id, field, new_value, string_agg(analyzer, ',' ORDER BY analyzer) AS actors FROM k GROUP BY ALL",
-    "fw_control": using("cust") + _CAND + "SELECT row_id, field, new_value FROM k",
-    "fw_boundary": using("cust") + _CAND + "SELECT row_id, field, new_value FROM k WHERE new_value::INT BETWEEN 0 AND 3",
-    "fw_robust": using("cust") + _CAND + "SELECT row_id, field, new_value FROM k WHERE coalesce(abs(new_value::INT - old_value::INT) > 1, true)",
     "patch_apply": _REPAIRED, "fixed_point": _REPAIRED,
-    "patch_replay_inverse": using("cust") + "SELECT id, nation, region FROM cust", "st_journal_inverse": using("cust") + "SELECT id, nation, region FROM cust",
+    "patch_replay_inverse": using("cust") + "SELECT id, nation, region FROM cust",
     "set_union_dedup": using("cust") + _CAND + "SELECT DISTINCT row_id, new_value FROM k",
     "set_intersect_domains": "SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'",
     "set_difference_novel": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3 EXCEPT ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 2 = 0",
     "set_symmetric_diff": using("cust") + "SELECT id, region, nation % 5 AS now FROM cust WHERE region IS DISTINCT FROM nation % 5",
-    "multisource_assimilate": using("cust") + ", l AS (SELECT user_id AS id, max(event_id)::INT AS logged FROM events GROUP BY 1) SELECT cust.id, coalesce(CASE WHEN cust.id % 200 = 0 THEN 7 END, region, logged, -1)::INT AS region FROM cust LEFT JOIN l ON l.id = cust.id",
-    "multisource_lifecycle": using("cust") + """, x AS (SELECT id % 3 = 0 AS held, nation, t.target, t.v FROM cust, LATERAL (VALUES ('region', region::VARCHAR), ('segment', segment)) t(target, v) WHERE id % 97 <> 0 AND v IS NOT NULL),
-        m AS (SELECT target, nation, first(v ORDER BY n DESC, v) AS mode, max(n) AS mode_n, sum(n) AS n FROM (SELECT target, nation, v, count(*) AS n FROM x WHERE NOT held GROUP BY ALL) GROUP BY target, nation),
-        e AS (SELECT target, sum(mode_n) = sum(n) AS exact FROM m GROUP BY target), h AS (SELECT x.target, count(*) AS rows, count(*) FILTER (v <> mode) AS mismatches FROM x JOIN m USING (target, nation) WHERE held GROUP BY 1)
-        SELECT 'nation' AS det, target, CASE WHEN NOT exact THEN 'DEVELOPMENT_CONFLICT' WHEN mismatches = 0 THEN 'HELDOUT_CONFIRMED' ELSE 'GLOBAL_REFUTED' END AS status, rows, mismatches FROM e JOIN h USING (target)""",
-    "materialize_witness": using("cust") + "SELECT id, nation % 5 AS value FROM cust WHERE region IS NULL AND (nation % 3 <> 0 OR nation % 2 = 0)",
-    "horizon": "SELECT p_partkey AS id FROM part WHERE p_partkey % 113 = 0",
-    "struct_rename": "SELECT p_partkey AS id, 'part_sz' AS from_key, 'part_size' AS to_key FROM part WHERE p_partkey % 47 = 0",
     "src_strict_json": "SELECT event_id, event_id % 12 > 8 AS valid FROM events",
-    "src_jsonl": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events", "ptr_get": "SELECT event_id, (props->>'$.k')::BIGINT AS value FROM events",
-    "sec_limits": "SELECT p_partkey AS id, 2 * p_size + 1 <= 90 AND p_size <= 40 AS ok FROM part",
     "scan_object_arrays": "SELECT l_orderkey, CASE WHEN count(*) >= 3 THEN '/lines,/more/a~1b' ELSE '' END AS arrays FROM lineitem GROUP BY 1",
     "scan_leaf_paths": _LEAF, "scan_tree_walk": _TREE,
     "syn_min_repair": """SELECT event_id, CASE WHEN event_id % 9 = 2 THEN '{"k":' || (props->>'$.k') || ',"s":"/* ' || (props->>'$.k') || ' */"}' WHEN event_id % 9 IN (5, 6, 7) THEN NULL ELSE '{"k":' || (props->>'$.k') || '}' END AS value,
@@ -505,6 +400,4 @@ ORACLES = {
     "fn_iso_time": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders",
     "st_functional": _FDK + "SELECT d, mode, n FROM m WHERE n >= 2",
     "st_apply": _FDK + "SELECT id, CASE WHEN region IS NULL THEN 'missing_from_functional_relation' ELSE 'functional_relation_violation' END AS code, region::VARCHAR AS old_value, mode AS new_value FROM cust JOIN m ON m.d = nation::VARCHAR WHERE region IS NULL OR region::VARCHAR <> mode",
-    "st_enum": using("cust") + "SELECT first(spelled ORDER BY n DESC) AS canonical, count(*) AS k FROM (SELECT spelled, count(*) AS n FROM cust GROUP BY 1) GROUP BY lower(spelled) HAVING count(*) > 1 AND max(n)::DOUBLE / sum(n) >= 0.75",
-    "st_required": "SELECT event_type FROM events GROUP BY 1 HAVING avg((NOT (event_id % 71 = 0 AND event_type = 'click'))::INT) >= 0.95",
 }

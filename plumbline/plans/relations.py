@@ -78,12 +78,6 @@ def join_event_latest(spark, d):
     return ref.latest_event(t(spark, d, "events"), "user_id", "event_id", "event_type")
 
 
-def join_source_identity(spark, d):
-    """Two versions of a table under different field names, aligned by identity and compared."""
-    old = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size"))
-    new = view(spark, d, "part2").select("id", (F.col("tripled") / 3).cast("int").alias("size"))
-    return old.alias("o").join(new.alias("n"), "id").where("o.size <> n.size").select("id", F.col("o.size").alias("old_size"), F.col("n.size").alias("new_size"))
-
 
 def arith_binary(spark, d):
     return ar.binary(view(spark, d, "item"), ["quantity", "discount", "tax", "charge"])
@@ -253,10 +247,10 @@ def agg_status_counts(spark, d):
     return view(spark, d, "ord").groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = """id_uniqueness duplicate_identifier win_duplicates fk_reference join_cross_document join_semi_overlap bundle_ambiguity join_anti_dangling join_casefold join_lookup_equi join_full_outer_residue
-multiset_balance cons_multiset join_neighbour join_event_latest join_source_identity arith_binary arith_violations arith_consensus arith_sparse_recovery arith_direction balance_4 temporal_delta sequence_step win_lag_diff
-win_top1 win_fold_parity win_rotation win_lag_one_control win_symmetry_orbit agg_sum agg_count cons_aggregate_sum cons_aggregate_count cons_balance mom_weighted_sum mom_weighted_mean mom_variance mom_covariance
-mom_probability_total mom_uncertainty_variance mom_unit_normalize agg_distinct agg_hash_counter agg_mode agg_mode_lex agg_exact_rational agg_sum_issue_score score agg_status_counts"""
+_NAMES = """id_uniqueness duplicate_identifier win_duplicates fk_reference join_cross_document join_semi_overlap bundle_ambiguity join_anti_dangling join_casefold join_lookup_equi join_full_outer_residue multiset_balance cons_multiset
+join_neighbour join_event_latest arith_binary arith_violations arith_consensus arith_sparse_recovery arith_direction balance_4 temporal_delta sequence_step win_lag_diff win_top1 win_fold_parity win_rotation win_lag_one_control
+win_symmetry_orbit agg_sum agg_count cons_aggregate_sum cons_aggregate_count cons_balance mom_weighted_sum mom_weighted_mean mom_variance mom_covariance mom_probability_total mom_uncertainty_variance mom_unit_normalize
+agg_distinct agg_hash_counter agg_mode agg_mode_lex agg_exact_rational agg_sum_issue_score score agg_status_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _DUP = "SELECT l_orderkey, l_linenumber, count(*) AS occurrences, 'duplicate_identifier' AS code FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -280,7 +274,6 @@ ORACLES = {
     "join_full_outer_residue": _RESIDUE, "multiset_balance": _RESIDUE, "cons_multiset": _RESIDUE,
     "join_neighbour": "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "join_event_latest": "SELECT user_id AS path, arg_max(event_type, event_id) AS value, max(event_id) AS ordinal FROM events GROUP BY user_id",
-    "join_source_identity": using("part2") + "SELECT id, size AS old_size, floor(tripled / 3)::INT AS new_size FROM part2 WHERE size <> floor(tripled / 3)::INT",
     "arith_binary": using("item") + "SELECT * FROM (SELECT 'charge' AS target, 'discount' AS a, '+' AS op, 'quantity' AS b, count(*) FILTER (charge = quantity + discount) AS support, count(*) AS decided, count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) AS confidence FROM item UNION ALL SELECT 'discount', 'charge', '-', 'quantity', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item UNION ALL SELECT 'quantity', 'charge', '-', 'discount', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item)",
     "arith_violations": using("part2") + "SELECT id AS row_id, 'tripled' AS target, 'size + doubled' AS formula, tripled::DECIMAL(38,9) AS old_value, (size + doubled)::DECIMAL(38,9) AS new_value, 'exact_arithmetic_violation' AS code FROM part2 WHERE tripled <> size + doubled",
     "arith_consensus": using("part2") + "SELECT id AS row_id, 'tripled' AS target, 2::BIGINT AS formulas, (3 * size)::DECIMAL(38,9) AS new_value FROM part2 WHERE tripled <> 3 * size",
