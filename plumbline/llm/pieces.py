@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .textkit import U64, binary_rows, buffers, mix, pieces
+from .textkit import U64, binary_rows, buffers, give_back, mix, pieces
 from .token_files import LETTER, STOP, vocabulary_path
 
 SEED, RATE = 7, 0.1
-#: (part, skips) whose ids a worker remembers (about 300 bytes each) and bytes of text that it encodes at a time.
-CACHED_PARTS, BATCH_BYTES = 1 << 19, 4 << 20
+#: (part, skips) whose ids a worker remembers (about 300 bytes each) and bytes of text that it encodes at a time.  A larger
+#: memory is not faster: what one batch leaves that the next has again are the common parts, and those come first.
+CACHED_PARTS, BATCH_BYTES = 1 << 16, 4 << 20
 _MASK = (1 << 64) - 1
 _STEP, _COPY = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 SPACE_MARK = "▁"
@@ -309,6 +310,8 @@ def encode_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         for batch in pieces(batches, 1, BATCH_BYTES):
             tokens, at = own.encode(batch.column(0).to_pylist(), batch.column(1), batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_rows(tokens.astype("<u4"), np.diff(at))], ["doc_id", "text", "ids"])
+        own = None
+        give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, text string, ids binary")
@@ -340,6 +343,8 @@ def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             tokens, spans = tokens.astype("<u4"), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             same = [own.model.decode(tokens[a:b].tolist()) == text for (a, b), text in zip(spans, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array([zlib.crc32(tokens[a:b]) for a, b in spans], pa.int64()), pa.array(same), binary_rows(tokens, np.diff(at))], ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"])
+        own = None
+        give_back()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return _inputs(docs, doc_id, text, copy).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean, ids binary")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,9 +115,23 @@ def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+@functools.cache
+def _trim():
+    """glibc's malloc_trim, or nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns memory that this worker no longer uses to the system: it may wait a while for its next task, beside others."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches with at most about so many bytes of the column each (a longer single row comes alone).  When they
-    are used up, memory that Arrow keeps for later goes back, as the worker may wait a while for its next task."""
+    are used up, memory goes back."""
     for batch in batches:
         col = batch.column(column)
         if not len(col):
@@ -125,8 +142,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
-    _POWERS.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
