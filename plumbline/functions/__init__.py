@@ -147,8 +147,8 @@ def canonical_number_like(x: Column, example: Column) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    """A text without differences of case; upper case first, so that ß equals ss and both small sigmas are one."""
-    return F.lower(F.upper(col(c)))
+    """A text without differences of case: upper case, in which ß is SS and both small sigmas are one letter."""
+    return F.upper(col(c))
 
 
 def singular(name: str) -> str:

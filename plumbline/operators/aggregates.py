@@ -37,6 +37,77 @@ def linear_balance(df: DataFrame, key: str, terms: dict[str, int], target: str)
     return df.select(F.col(key).alias("row_id"), exact(target).alias("old_value"), wanted.alias("new_value")).where("new_value is not null and (old_value is null or old_value <> new_value)").withColumn("code", F.lit("conservation_violation"))
 
 
+def declared(parents: DataFrame, key: str, target: str, children: DataFrame, foreign: str, kind: str, value: Column | None = None) -> DataFrame:
+    """(row_id, code, old_value, new_value): parents whose declared target isn't the sum of their children's values, or their
+    number.  A declared rule needs no support: a parent without children has a sum and a number of 0."""
+    made = exact_sum(exact(value)) if kind == "sum" else F.count(F.lit(1)).cast(DEC)
+    sums = children.groupBy(F.col(foreign).alias("row_id")).agg(made.alias("m"), F.count(F.lit(1)).alias("n"))
+    rows = parents.select(F.col(key).alias("row_id"), exact(target).alias("old_value")).join(sums, "row_id", "left")
+    rows = rows.withColumn("new_value", F.when(F.col("n").isNull(), F.lit(0).cast(DEC)).otherwise(F.col("m"))).where("new_value is not null and (old_value is null or old_value <> new_value)")
+    return rows.select("row_id", F.concat(F.lit(f"aggregate_{kind}"), F.when(F.col("old_value").isNull(), "_missing").otherwise("_violation")).alias("code"), "old_value", "new_value")
+
+
+def multisets(left: DataFrame, right: DataFrame, group: str, pairs: list[tuple[str, str]], confidence: float = CONFIDENCE) -> DataFrame:
+    """(key, quantity, support, decided): pairs of a key and a quantity by which two lists of a group hold the same nearly
+    always, whatever the order and however the quantities are split."""
+    out = None
+    for key, quantity in pairs:
+        total = lambda df, n: df.groupBy(F.col(group).alias("g"), F.col(key).cast("string").alias("k")).agg(exact_sum(exact(quantity)).alias(n))
+        both = total(left, "a").join(total(right, "b"), ["g", "k"], "full_outer")
+        by_group = both.groupBy("g").agg(F.bool_and(F.coalesce(F.coalesce("a", F.lit(0).cast(DEC)) == F.coalesce("b", F.lit(0).cast(DEC)), F.lit(False))).alias("same"))
+        one = by_group.agg(F.lit(key).alias("key"), F.lit(quantity).alias("quantity"), F.count(F.when(F.col("same"), 1)).alias("support"), F.count(F.lit(1)).alias("decided"))
+        out = one if out is None else out.unionByName(one)
+    return out.where(f"decided >= {MIN_SUPPORT} and support / decided >= {confidence}")
+
+
+def declared_multiset(left: DataFrame, right: DataFrame, group: str, key: str, quantity: str, row: str) -> DataFrame:
+    """(row_id, old_value, new_value): the right list is declared to hold what the left one does.  A group whose lists differ in
+    one key only, which one row of the right list has, is repaired in that row; other residues are left to people."""
+    from .references import residue
+
+    rest = residue(left.select(group, key, quantity), right.select(group, key, quantity), group, key, quantity)
+    single = rest.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key), F.min("difference").alias("difference")).where("n = 1").drop("n")
+    rows = right.join(single, [group, key])
+    alone = rows.groupBy(group).agg(F.count(F.lit(1)).alias("hits")).where("hits = 1").select(group)
+    return rows.join(alone, group).select(F.col(row).alias("row_id"), F.col(quantity).alias("old_value"), (F.col(quantity) + F.col("difference")).alias("new_value"))
+
+
+def inferred_moments(parents: DataFrame, key: str, targets: list[str], children: DataFrame, foreign: str, fields: list[str], confidence: float = CONFIDENCE) -> DataFrame:
+    """(kind, output, value, weight, support, decided): parents' numbers that nearly always are a mean, a weighted mean or a
+    population variance of their children's fields.  Only targets whose names say so are tried, all pairs of fields at once;
+    numbers are compared by cross-multiplication."""
+    means = [t for t in targets if any(w in t.lower() for w in ("mean", "average", "avg"))]
+    spreads = [t for t in targets if "var" in t.lower()]
+    aggs = [F.count(F.lit(1)).cast(DEC).alias("n")]
+    for f in fields:
+        aggs += [exact_sum(exact(f)).alias(f"s_{f}"), exact_sum(times(exact(f), exact(f))).alias(f"q_{f}")]
+        aggs += [exact_sum(times(exact(f), exact(w))).alias(f"x_{f}_{w}") for w in fields if w != f]
+    rows = parents.join(children.groupBy(F.col(foreign).alias(key)).agg(*aggs), key)
+    tests = []
+    for t in means:
+        for f in fields:
+            tests.append(("mean", t, f, None, times(exact(t), F.col("n")) == F.col(f"s_{f}")))
+            tests += [("weighted_mean", t, f, w, times(exact(t), F.col(f"s_{w}")) == F.col(f"x_{f}_{w}")) for w in fields if w != f]
+    for t in spreads:
+        tests += [("variance", t, f, None, times(exact(t), times(F.col("n"), F.col("n"))) == minus(times(F.col("n"), F.col(f"q_{f}")), times(F.col(f"s_{f}"), F.col(f"s_{f}")))) for f in fields]
+    counts = [x for i, test in enumerate(tests) for x in (F.count(F.when(test[4], 1)).alias(f"s{i}"), F.count(exact(test[1])).alias(f"d{i}"))]
+    items = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("output"), F.lit(f).alias("value"), F.lit(w).cast("string").alias("weight"), F.col(f"s{i}").alias("support"), F.col(f"d{i}").alias("decided")) for i, (k, t, f, w, _) in enumerate(tests)))
+    return rows.agg(*counts).select(F.explode(items).alias("f")).select("f.*").where(f"decided >= {MIN_SUPPORT} and support / decided >= {confidence}")
+
+
+def lowest_terms(numerator: Column, denominator: Column) -> Column:
+    """struct(num, den) of two integers without a common factor, the denominator positive: Euclid's remainders, of which 64-bit
+    integers need fewer than 93 and mostly a dozen."""
+    from ..functions import let
+
+    n, d = numerator.cast("bigint"), denominator.cast("bigint")
+    start = F.struct(F.abs(n).alias("a"), F.abs(d).alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b")))
+    factor = F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, step, lambda s: F.greatest(s["a"], F.lit(1).cast("bigint")))
+    sign = F.when(d < 0, -1).otherwise(1)
+    return F.when(d != 0, let({"n": n, "d": d, "g": factor}, lambda v: F.struct(F.call_function("div", sign * v["n"], v["g"]).alias("num"), F.call_function("div", F.abs(v["d"]), v["g"]).alias("den"))))
+
+
 def moments(children: DataFrame, group: str, value: Column, weight: Column | None = None, other: Column | None = None, ddof: int = 0) -> DataFrame:
     """Exact moments of each group from power sums: weighted sum and mean, variance, covariance, total of the weights.  The
     quotients are exact rationals, kept as numerator and denominator; a zero weight or too few rows give null."""

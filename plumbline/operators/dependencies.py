@@ -13,8 +13,14 @@ SCOPE_SUPPORT, SCOPE_GROUP = 3, 2
 SPARSE_FLOOR, SPARSE_MODE, SPARSE_MARGIN, SPARSE_OTHER = 0.60, 3, 2, 1
 
 
+def fields_of(fields: list[str]) -> tuple[list[str], list[str]]:
+    """(fields that dependencies are sought among, those left out): the first MAX_FIELDS by name.  Pairs of others can be asked
+    for by name."""
+    return sorted(fields)[:MAX_FIELDS], sorted(fields)[MAX_FIELDS:]
+
+
 def pairs_of(fields: list[str]) -> list[tuple[str, str]]:
-    return list(permutations(sorted(fields)[:MAX_FIELDS], 2))
+    return list(permutations(fields_of(fields)[0], 2))
 
 
 def long_pairs(df: DataFrame, pairs: list[tuple[str, str]], key: str, scope: Column | None = None) -> DataFrame:

@@ -49,11 +49,11 @@ def enum_domain(df: DataFrame, key: str, field: str, most: int = 16, support: in
     """Rows whose text is a spelling variant of a canonical value (candidate) or outside the domain."""
     counts = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("observed"))
-    canonical = counts.where(f"n >= {support}").withColumn("f", F.lower("v"))
+    canonical = counts.where(f"n >= {support}").withColumn("f", F.upper("v"))
     ranked = canonical.withColumn("top", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("n"), "v")))
     domain = ranked.where("top = 1").select("f", F.col("v").alias("canonical"), F.col("n").alias("canonical_n"))
     size = canonical.agg(F.count(F.lit(1)).alias("values"))
-    judged = counts.withColumn("f", F.lower("v")).join(domain, "f", "left")
+    judged = counts.withColumn("f", F.upper("v")).join(domain, "f", "left")
     share = F.col("canonical_n") / (F.col("canonical_n") + F.col("n"))
     variant = F.col("canonical").isNotNull() & (F.col("v") != F.col("canonical")) & (share >= normal)
     status = F.when(F.col("v") == F.col("canonical"), "member").when(variant, "enum_representation_variant").when(F.col("n") >= support, "member").otherwise("enum_domain_outlier")

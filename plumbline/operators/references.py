@@ -46,8 +46,8 @@ def dangling(refs: DataFrame, key: str, ref_field: str, registry: DataFrame, id_
     """References without a target: a candidate if exactly one identifier differs by case only, else dangling."""
     ids = registry.select(F.col(id_field).cast("string").alias("target_id")).distinct()
     lost = refs.select(F.col(key).alias("row_id"), F.col(ref_field).cast("string").alias("old_value")).where("old_value is not null").join(ids, F.col("old_value") == F.col("target_id"), "left_anti")
-    folded = ids.groupBy(F.lower("target_id").alias("folded")).agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("only")).where("n = 1")
-    joined = lost.join(folded, F.lower("old_value") == F.col("folded"), "left")
+    folded = ids.groupBy(F.upper("target_id").alias("folded")).agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("only")).where("n = 1")
+    joined = lost.join(folded, F.upper("old_value") == F.col("folded"), "left")
     code = F.when(F.col("only").isNotNull(), F.lit(prefix + "reference_representation_variant")).otherwise(F.lit(prefix + "dangling_reference"))
     return joined.select("row_id", code.alias("code"), "old_value", F.col("only").alias("new_value"))
 

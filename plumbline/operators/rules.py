@@ -95,6 +95,110 @@ def unsatisfiable_core(clauses: list[list[int]]) -> list[int]:
     return kept
 
 
+#: Declared rule kinds, and most rules of one file.
+RULE_KINDS = ("implies", "exactly_one", "xor", "one_of", "any_of", "not_both")
+MOST_RULES = 256
+
+
+@dataclass(frozen=True)
+class Atom:
+    """A predicate on a field: present, truthy, or equal to a value."""
+
+    field: str
+    test: str = "truthy"
+    value: object = None
+
+    def column(self) -> Column:
+        c = F.col(self.field)
+        if self.test == "present":
+            return c.isNotNull()
+        return c.eqNullSafe(F.lit(self.value)) if self.test == "equals" else c
+
+
+def atom_of(text) -> Atom:
+    """A field name, or {field, equals: v} or {field, present: true}."""
+    if isinstance(text, str):
+        return Atom(text)
+    if "equals" in text:
+        return Atom(text["field"], "equals", text["equals"])
+    return Atom(text["field"], "present" if text.get("present") else "truthy")
+
+
+def load_rules(text: str) -> list[dict]:
+    """Rules of a JSON file: a list of objects with an id, a kind of RULE_KINDS, atoms in ``of``, and for implications ``then``.
+    An unknown kind, a repeated id, or more than MOST_RULES are refused."""
+    from ..sources.syntax import parse_strict
+
+    rules = parse_strict(text)
+    if not isinstance(rules, list) or len(rules) > MOST_RULES:
+        raise ValueError(f"a list of at most {MOST_RULES} rules")
+    if len({r.get("id") for r in rules}) < len(rules):
+        raise ValueError("rule ids must differ")
+    for r in rules:
+        if r.get("kind") not in RULE_KINDS or not isinstance(r.get("of"), list) or (r["kind"] == "implies") != ("then" in r):
+            raise ValueError(f"not a rule: {r}")
+    return rules
+
+
+def rule_column(rule: dict) -> Column:
+    """Whether a row keeps a rule; null if a predicate is unknown."""
+    of = [atom_of(a).column() for a in rule["of"]]
+    if rule["kind"] == "implies":
+        return implies(of, atom_of(rule["then"]).column())
+    return any_of(*of) if rule["kind"] == "any_of" else not_both(*of) if rule["kind"] == "not_both" else exactly_one(*of)
+
+
+def compile_clauses(rules: list[dict]) -> tuple[list[list[int]], list[str | None], list[Atom]]:
+    """(clauses, the rule that each comes from, atoms by number from 1).  Beside the rules' own there are clauses that any two
+    different values of one field exclude each other, and that a field which equals a value is present."""
+    atoms: dict[Atom, int] = {}
+    number = lambda a: atoms.setdefault(a, len(atoms) + 1)
+    clauses: list[list[int]] = []
+    origin: list[str | None] = []
+    for r in rules:
+        of = [number(atom_of(a)) for a in r["of"]]
+        if r["kind"] == "implies":
+            own = [[*(-x for x in of), number(atom_of(r["then"]))]]
+        else:
+            own = [] if r["kind"] == "not_both" else [list(of)]
+            if r["kind"] != "any_of":
+                own += [[-a, -b] for a, b in itertools.combinations(of, 2)]
+        clauses += own
+        origin += [r["id"]] * len(own)
+    for a, b in itertools.combinations(list(atoms), 2):
+        if a.field == b.field and a.test == b.test == "equals" and a.value != b.value:
+            clauses.append([-atoms[a], -atoms[b]])
+            origin.append(None)
+        for x, y in ((a, b), (b, a)):
+            if x.field == y.field and x.test == "equals" and y.test == "present":
+                clauses.append([-atoms[x], atoms[y]])
+                origin.append(None)
+    return clauses, origin, list(atoms)
+
+
+def conflicting_rules(rules: list[dict]) -> list[str]:
+    """Ids of rules that can't all be kept, and all of which are needed for that; none if they can."""
+    if satisfiable(compile_clauses(rules)[0]) is not None:
+        return []
+    kept = list(rules)
+    for r in list(rules):
+        rest = [x for x in kept if x is not r]
+        if satisfiable(compile_clauses(rest)[0]) is None:
+            kept = rest
+    return [r["id"] for r in kept]
+
+
+def authoritative(df: DataFrame, key: str, rules: list[dict]) -> DataFrame:
+    """(row_id, rule_id, code): rows that break declared rules.  Rules that can't all be kept are reported instead, once
+    (row_id null), and judge no row."""
+    core = conflicting_rules(rules)
+    if core:
+        kind = df.schema[key].dataType.simpleString()
+        return df.sparkSession.createDataFrame([(None, i, "logical_rule_system_unsat") for i in core], f"row_id {kind}, rule_id string, code string")
+    broken = F.array(*(F.when(~rule_column(r), F.lit(r["id"])) for r in rules))
+    return df.select(F.col(key).alias("row_id"), F.explode(F.array_compact(broken)).alias("rule_id")).withColumn("code", F.lit("logical_constraint_violation"))
+
+
 def infer_exactly_one(df: DataFrame, fields: list[str], confidence: float = 0.95) -> DataFrame:
     """(fields, support, decided): sets of two to four boolean fields of which nearly always exactly one is true."""
     sets = [s for k in (2, 3, 4) for s in itertools.combinations(sorted(fields), k)]
@@ -130,13 +234,14 @@ class Rule:
 
 @dataclass
 class Rules:
+    scope: str = ""
     simple: list[Rule] = field(default_factory=list)
     expressions: list[tuple[str, str]] = field(default_factory=list)
     linear: list[tuple[dict[str, Fraction], Fraction]] = field(default_factory=list)
 
 
 def parse_rules(text: str) -> Rules:
-    """Lines: ``expr left = right``, ``linear 2 a + b - c = 0``, or ``field kind [argument]``; # starts a comment."""
+    """Lines: ``scope /path/of/rows``, ``expr left = right``, ``linear 2 a + b - c = 0``, or ``field kind [argument]``; # starts a comment."""
     import json
 
     out = Rules()
@@ -145,7 +250,9 @@ def parse_rules(text: str) -> Rules:
         if not line:
             continue
         head, _, rest = line.partition(" ")
-        if head == "expr":
+        if head == "scope":
+            out.scope = rest.strip()
+        elif head == "expr":
             left, sign, right = rest.partition("=")
             if not sign:
                 raise ValueError(f"no equals sign: {line}")

@@ -71,6 +71,41 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, checkpoint, most: int
     return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0)
 
 
+def graph_structure(nodes: DataFrame, edges: DataFrame, roots: DataFrame, checkpoint) -> DataFrame:
+    """(code, item): nodes on a cycle or behind one (graph_cycle) and nodes that no root leads to (unreachable_nodes).  Edges to
+    nodes that don't exist take no part."""
+    ids = nodes.select(F.col("id")).distinct()
+    whole = edges.where("src is not null and dst is not null").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    levels = topological_levels(ids, whole, checkpoint)
+    stuck = ids.join(levels.select("id"), "id", "left_anti").select(F.lit("graph_cycle").alias("code"), F.col("id").cast("string").alias("item"))
+    seen = reachable(whole, roots, lambda df, name: checkpoint(df, f"seen-{name}"))
+    lost = ids.join(seen, "id", "left_anti").select(F.lit("unreachable_nodes").alias("code"), F.col("id").cast("string").alias("item"))
+    return stuck.unionByName(lost)
+
+
+def order_repairs(rows: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
+    """(row_id, code, old_value, new_value): nodes (id, position) that stand before one that leads to them.  If the graph orders
+    all nodes in one way only, the place that it gives is the repair; else the order is ambiguous."""
+    at = rows.select("id", F.col("position").cast("long").alias("position"))
+    pairs = edges.join(at.select(F.col("id").alias("src"), F.col("position").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("position").alias("b")), "dst")
+    wrong = pairs.where("a >= b")
+    levels = topological_levels(rows.select("id"), edges, checkpoint)
+    one_way = levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") == 1).alias("one"), F.sum("n").alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("rows"))
+    gate = one_way.join(total).select((F.col("one") & (F.col("n") == F.col("rows"))).alias("unique"))
+    misplaced = at.join(levels, "id").where("position <> level").join(F.broadcast(gate))
+    broken = F.lit(not wrong.isEmpty())
+    code = F.when(F.col("unique"), "topological_order_violation").otherwise("topological_order_ambiguous")
+    return misplaced.where(broken).select(F.col("id").alias("row_id"), code.alias("code"), F.col("position").alias("old_value"), F.when(F.col("unique"), F.col("level").cast("long")).alias("new_value"))
+
+
+def reciprocal_repairs(edges: DataFrame) -> DataFrame:
+    """(src, dst, code) of edges that symmetry asks for: repairable if it is the only one missing."""
+    lost = missing_reciprocal(edges)
+    n = lost.agg(F.count(F.lit(1)).alias("n"))
+    return lost.join(F.broadcast(n)).select("src", "dst", F.when(F.col("n") == 1, "missing_reciprocal_edge").otherwise("multiple_reciprocal_edges_missing").alias("code"))
+
+
 def missing_reciprocal(edges: DataFrame) -> DataFrame:
     """(src, dst) of the edges that symmetry asks for and that aren't there."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct()
@@ -140,3 +175,38 @@ def migrate(df: DataFrame, steps: dict[str, dict], order: list[str]) -> DataFram
             field, expression = step["set"]
             df = df.withColumn(field, F.expr(expression))
     return df
+
+
+def migration_status(df: DataFrame, steps: dict[str, dict], needs: dict[str, list[str]], target: list[str]) -> tuple[str, list[str]]:
+    """(status, plan) of an ordered migration to a table with the target's columns.  AT_TARGET: it has them.  A plan is whole
+    or nothing: migration_steps_missing, migration_dependency_error (a step needs an unknown one, or they need each other in
+    a circle), migration_order_underspecified (two steps in no order touch one field), migration_precondition_failed (a step
+    would rename, drop or read a field that isn't there, or the plan doesn't end at the target), else migration_available."""
+    import ast
+
+    if sorted(df.columns) == sorted(target):
+        return "AT_TARGET", []
+    if not steps:
+        return "migration_steps_missing", []
+    if any(n not in steps for own in needs.values() for n in own):
+        return "migration_dependency_error", []
+    from graphlib import CycleError, TopologicalSorter
+
+    try:
+        TopologicalSorter({s: needs.get(s, []) for s in steps}).prepare()
+    except CycleError:
+        return "migration_dependency_error", []
+    order = plan_migration(steps, needs)
+    if order is None:
+        return "migration_order_underspecified", []
+    have = set(df.columns)
+    for name in order:
+        step = steps[name]
+        reads = {n.id for n in ast.walk(ast.parse(step["set"][1], mode="eval")) if isinstance(n, ast.Name)} if "set" in step else set()
+        if "rename" in step and (step["rename"][0] not in have or step["rename"][1] in have) or "drop" in step and step["drop"] not in have or not reads <= have:
+            return "migration_precondition_failed", []
+        if "rename" in step:
+            have = have - {step["rename"][0]} | {step["rename"][1]}
+        have -= {step["drop"]} if "drop" in step else set()
+        have |= {step["set"][0]} if "set" in step else set()
+    return ("migration_available", order) if sorted(have) == sorted(target) else ("migration_precondition_failed", [])

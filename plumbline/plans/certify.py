@@ -35,12 +35,6 @@ def json_finite_number(spark, d):
     return t(spark, d, "part").select("p_partkey", fn.finite_decimal(F.col("p_size"), F.col("p_partkey") % 12 + 1).alias("value"))
 
 
-def mom_inferred(spark, d):
-    """Whether a parent's mean column is its children's weighted mean."""
-    made = t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("bigint") * F.col("l_linenumber")).alias("num"), F.sum("l_linenumber").alias("den"))
-    found = made.select("l_suppkey", "num", "den", F.when(F.col("l_suppkey") % 25 == 0, F.col("num") + 1).otherwise(F.col("num")).alias("claimed"))
-    return found.agg(F.count(F.when(F.col("claimed") == F.col("num"), 1)).alias("support"), F.count(F.lit(1)).alias("decided")).where("support / decided >= 0.95")
-
 
 
 
@@ -53,10 +47,6 @@ def agg_spill_registry(spark, d):
 
 
 
-def src_sources_manifest(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey")
-    return src.with_role([("a", "defaults", "g1", n), ("b", "authoritative", "g2", n.where("n_nationkey < 5"))]).groupBy("source_id", "role", "independent_group").agg(F.count(F.lit(1)).alias("n"))
-
 
 def src_schema_openapi(spark, d):
     from ..operators import schema as sc
@@ -66,13 +56,11 @@ def src_schema_openapi(spark, d):
     return sc.validate(t(spark, d, "events").select("event_id", "props"), "props", own, root=document).drop("props")
 
 
-_NAMES = """json_finite_number mom_inferred agg_spill_registry src_sources_manifest src_schema_openapi"""
+_NAMES = """json_finite_number agg_spill_registry src_schema_openapi"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 _K = using("cust") + _CAND
 ORACLES = {
     "json_finite_number": "WITH x AS (SELECT p_partkey, p_size, p_partkey % 12 + 1 AS q FROM part) SELECT p_partkey, CASE WHEN (p_size::BIGINT * 1000000000) % q = 0 THEN ((p_size::BIGINT * 1000000000) // q)::DECIMAL(38,9) * 0.000000001 END::DECIMAL(38,18) AS value FROM x",
-    "mom_inferred": "SELECT count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0) AS support, count(DISTINCT l_suppkey) AS decided FROM lineitem HAVING count(DISTINCT l_suppkey) FILTER (l_suppkey % 25 <> 0)::DOUBLE / count(DISTINCT l_suppkey) >= 0.95",
     "agg_spill_registry": "SELECT n, count(*) AS groups FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey) GROUP BY n",
-    "src_sources_manifest": "SELECT 'a' AS source_id, 'defaults' AS role, 'g1' AS independent_group, count(*) AS n FROM nation UNION ALL SELECT 'b', 'authoritative', 'g2', count(*) FILTER (n_nationkey < 5) FROM nation",
     "src_schema_openapi": "SELECT event_id, (props->>'$.k')::BIGINT <= 50 AS ok FROM events",
 }

@@ -57,14 +57,8 @@ def rule_repair_candidates(spark, d):
     return bad.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(v).alias("new_value")) for f, v in (("c", True), ("a", False), ("b", False))))).alias("x")).select("id", "x.*")
 
 
-def rule_sat(spark, d):
-    """Rules as data: x1 and not x1 through x2 can't hold together; the core names the clauses."""
-    clauses = [[1], [-1, 2], [-2], [3, 4]]
-    return spark.createDataFrame([(i, True) for i in rl.unsatisfiable_core(clauses)], "clause long, in_core boolean")
 
 
-logic_authoritative = rule_implies
-
 
 def logic_exactly_one(spark, d):
     df = t(spark, d, "lineitem").selectExpr("l_returnflag = 'A' AS fa", "l_returnflag = 'N' AS fn", "l_returnflag = 'R' OR l_orderkey % 1000 = 0 AS fr")
@@ -90,24 +84,14 @@ def dsl_simple(spark, d):
     return rl.evaluate(df, "id", rl.parse_rules(RULES).simple)
 
 
-def dsl_parse(spark, d):
-    rules = rl.parse_rules(RULES + "expr total = a + b\nlinear 2 a + b - c = 0")
-    rows = [(r.field, r.kind) for r in rules.simple] + [("expr", x[0]) for x in rules.expressions] + [("linear", ",".join(f"{k}:{v}" for k, v in sorted(x[0].items()))) for x in rules.linear]
-    return spark.createDataFrame(rows, "field string, kind string")
-
 
 def dsl_numeric_intersection(spark, d):
     df = t(spark, d, "part").select(F.col("p_partkey").alias("id"), fn.project(F.col("p_size"), 4, 40, 3).alias("nearest"), F.col("p_size").cast(fn.DEC).alias("size"))
     return df.where("nearest is null or nearest <> size").select("id", "nearest")
 
 
-boundary_project = dsl_numeric_intersection
 
 
-def boundary_registry(spark, d):
-    bounds = {"size": (3, 45), "price": (10, 5)}
-    return spark.createDataFrame([(f, float(a), float(b), a > b) for f, (a, b) in bounds.items()], "field string, low double, high double, contradiction boolean")
-
 
 def expr_eval(spark, d):
     return view(spark, d, "part2").select("id", rl.compile_expression("max(size, 10) * 2 + abs(tripled - 90) % 7 - floor(size / 4)").alias("value"))
@@ -117,9 +101,6 @@ def expr_rule(spark, d):
     return rl.expression_rule(view(spark, d, "part2"), "id", "tripled", "size + doubled")
 
 
-def expr_solve(spark, d):
-    return rl.expression_rule(view(spark, d, "part2"), "id", "size + doubled", "tripled", target="tripled")
-
 
 def linear_system(spark, d):
     df = t(spark, d, "part").selectExpr("p_partkey AS id", "p_size AS a", "CAST(p_partkey % 9 AS INT) AS b", "CAST(p_size + p_partkey % 9 + CASE WHEN p_partkey % 61 = 0 THEN 5 ELSE 0 END AS INT) AS c", "CAST(p_size + p_partkey % 9 + 4 AS INT) AS e")
@@ -332,7 +313,7 @@ def st_apply(spark, d):
 
 
 
-_NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates rule_sat logic_authoritative logic_exactly_one logic_implies2 dsl_simple dsl_parse dsl_numeric_intersection boundary_project boundary_registry expr_eval expr_rule expr_solve linear_system schema_validate schema_violations sys_graph set_components sys_reachable sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff src_strict_json scan_object_arrays scan_leaf_paths scan_tree_walk syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time st_functional st_apply"""
+_NAMES = """pred_present pred_equals pred_truthy rule_implies rule_exactly_one rule_any_of rule_not_both rule_repair_candidates logic_exactly_one logic_implies2 dsl_simple dsl_numeric_intersection expr_eval expr_rule linear_system schema_validate schema_violations sys_graph set_components sys_reachable sys_topological sys_reciprocal sys_state_machine sys_migration fw_authority patch_apply fixed_point patch_replay_inverse set_union_dedup set_intersect_domains set_difference_novel set_symmetric_diff src_strict_json scan_object_arrays scan_leaf_paths scan_tree_walk syn_min_repair fn_decimal fn_selector_bits fn_pointer fn_digest fn_quotient fn_iso_time st_functional st_apply"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _P = f"WITH p AS (SELECT p_partkey AS id, {_BOOL}, p_brand AS brand, p_size AS size FROM part) "
@@ -347,24 +328,20 @@ ORACLES = {
     "pred_present": _P + "SELECT id FROM p WHERE d IS NULL",
     "pred_equals": _P + "SELECT id, brand = 'Brand#11' AS holds FROM p",
     "pred_truthy": _P + "SELECT id FROM p WHERE NOT d",
-    "rule_implies": _P + "SELECT id FROM p WHERE a AND b AND NOT c", "logic_authoritative": _P + "SELECT id FROM p WHERE a AND b AND NOT c",
+    "rule_implies": _P + "SELECT id FROM p WHERE a AND b AND NOT c",
     "rule_exactly_one": _P + "SELECT id FROM p WHERE a::INT + b::INT + d::INT <> 1",
     "rule_any_of": _P + "SELECT id FROM p WHERE NOT a AND NOT b AND NOT d",
     "rule_not_both": _P + "SELECT id FROM p WHERE a AND b",
     "rule_repair_candidates": _P + "SELECT id, x.field, x.new_value FROM p, (VALUES ('c', true), ('a', false), ('b', false)) x(field, new_value) WHERE a AND b AND NOT c",
-    "rule_sat": "SELECT * FROM (VALUES (0::BIGINT, true), (1, true), (2, true)) x(clause, in_core)",
     "logic_exactly_one": "WITH f AS (SELECT l_returnflag = 'A' AS fa, l_returnflag = 'N' AS fn, l_returnflag = 'R' OR l_orderkey % 1000 = 0 AS fr FROM lineitem) SELECT 'fa,fn,fr' AS fields, count(*) FILTER (fa::INT + fn::INT + fr::INT = 1) AS support, count(*) AS decided FROM f",
     "logic_implies2": _P + "SELECT 'a' AS a, 'b' AS b, 'c' AS target, true AS value, count(*) FILTER (c) AS support, count(*) AS decided FROM p WHERE a AND b",
     "dsl_simple": _P + """, q AS (SELECT id, size, d, CASE WHEN id % 41 = 0 THEN lower(brand) ELSE brand END AS brand FROM p)
         SELECT id AS row_id, 'size' AS field, 'minimum_violation' AS code, size::VARCHAR AS old_value, '3' AS new_value FROM q WHERE size < 3 UNION ALL SELECT id, 'size', 'maximum_violation', size::VARCHAR, '45' FROM q WHERE size > 45
         UNION ALL SELECT id, 'brand', 'enum_violation', brand, CASE WHEN upper(brand) IN ('BRAND#11', 'BRAND#12', 'BRAND#13') THEN 'B' || lower(brand)[2:] END FROM q WHERE brand NOT IN ('Brand#11', 'Brand#12', 'Brand#13')
         UNION ALL SELECT id, 'brand', 'pattern_violation', brand, NULL FROM q WHERE NOT regexp_matches(brand, '^Brand#[0-9]+$') UNION ALL SELECT id, 'brand', 'maxLength_violation', brand, NULL FROM q WHERE length(brand) > 8 UNION ALL SELECT id, 'd', 'required_missing', NULL, NULL FROM q WHERE d IS NULL""",
-    "dsl_parse": "SELECT * FROM (VALUES ('size', 'minimum'), ('size', 'maximum'), ('brand', 'enum'), ('brand', 'pattern'), ('brand', 'maxLength'), ('d', 'require'), ('expr', 'total'), ('linear', 'a:2,b:1,c:-1')) x(field, kind)",
-    "dsl_numeric_intersection": _NEAR, "boundary_project": _NEAR,
-    "boundary_registry": "SELECT * FROM (VALUES ('size', 3.0::DOUBLE, 45.0::DOUBLE, false), ('price', 10.0, 5.0, true)) x(field, low, high, contradiction)",
+    "dsl_numeric_intersection": _NEAR, 
     "expr_eval": using("part2") + "SELECT id, (greatest(size, 10) * 2 + abs(tripled - 90) % 7 - size // 4)::DECIMAL(38,9) AS value FROM part2",
     "expr_rule": using("part2") + "SELECT id AS row_id, 'expression_violation' AS code, (3 * size)::DECIMAL(38,9) AS new_value FROM part2 WHERE tripled <> 3 * size",
-    "expr_solve": using("part2") + "SELECT id AS row_id, 'expression_violation' AS code, (3 * size)::DECIMAL(38,9) AS new_value FROM part2 WHERE tripled <> 3 * size",
     "linear_system": "SELECT p_partkey AS row_id, 'linear_system_violation' AS code, 'c' AS field, (p_size + p_partkey % 9)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey % 61 = 0",
     "schema_validate": _DOCS + "SELECT id, f = 0 AND k >= 5 AND k % 2 = 0 AND u <= 100 AS ok FROM e",
     "schema_violations": _DOCS + """, near AS (SELECT *, CASE WHEN k < 6 THEN 6 END::VARCHAR AS nk FROM e)

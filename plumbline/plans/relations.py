@@ -19,7 +19,6 @@ def duplicate_identifier(spark, d):
     return ref.duplicates(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-win_duplicates = duplicate_identifier
 
 
 def _customers(spark, d):
@@ -43,11 +42,6 @@ def join_semi_overlap(spark, d):
     return ref.overlaps(view(spark, d, "ord"), "broken_customer", registries)
 
 
-def bundle_ambiguity(spark, d):
-    n = t(spark, d, "nation")
-    registries = {"a": (n, "n_nationkey"), "b": (n.where("n_nationkey >= 0"), "n_nationkey"), "c": (n.where("n_nationkey < 3"), "n_nationkey")}
-    return ref.best_registry(ref.overlaps(t(spark, d, "customer"), "c_nationkey", registries))
-
 
 def join_anti_dangling(spark, d):
     return view(spark, d, "ord").join(t(spark, d, "customer"), F.col("broken_customer") == F.col("c_custkey"), "left_anti").select("id", "broken_customer")
@@ -132,13 +126,6 @@ def win_fold_parity(spark, d):
     return t(spark, d, "orders").groupBy(F.pmod("o_orderkey", F.lit(2)).alias("fold"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-def win_rotation(spark, d):
-    """Agreement of a column with itself a row later, as negative control."""
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
-    last = o.agg(F.max("k").alias("m"))
-    turned = o.join(F.broadcast(last)).select(F.when(F.col("k") == F.col("m"), 1).otherwise(F.col("k") + 1).alias("k"), F.col("o_orderpriority").alias("turned"))
-    return o.join(turned, "k").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("o_orderpriority") == F.col("turned"), 1)).alias("equal"))
-
 
 def win_lag_one_control(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -165,7 +152,6 @@ def agg_count(spark, d):
 
 
 cons_aggregate_sum, cons_aggregate_count = agg_sum, agg_count
-multiset_balance = cons_multiset = join_full_outer_residue
 
 
 def cons_balance(spark, d):
@@ -230,9 +216,6 @@ def agg_mode_lex(spark, d):
     return counts.groupBy("l_suppkey").agg(F.max_by("l_returnflag", F.struct("n", "l_returnflag")).alias("mode"))
 
 
-def agg_exact_rational(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,2)").alias("num"), F.count(F.lit(1)).alias("den"))
-
 
 def agg_sum_issue_score(spark, d):
     """Weighted count of issues: error 10, warning 3, information 1."""
@@ -240,17 +223,13 @@ def agg_sum_issue_score(spark, d):
     return fk_reference(spark, d).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("score"))
 
 
-score = agg_sum_issue_score
 
 
 def agg_status_counts(spark, d):
     return view(spark, d, "ord").groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = """id_uniqueness duplicate_identifier win_duplicates fk_reference join_cross_document join_semi_overlap bundle_ambiguity join_anti_dangling join_casefold join_lookup_equi join_full_outer_residue multiset_balance cons_multiset
-join_neighbour join_event_latest arith_binary arith_violations arith_consensus arith_sparse_recovery arith_direction balance_4 temporal_delta sequence_step win_lag_diff win_top1 win_fold_parity win_rotation win_lag_one_control
-win_symmetry_orbit agg_sum agg_count cons_aggregate_sum cons_aggregate_count cons_balance mom_weighted_sum mom_weighted_mean mom_variance mom_covariance mom_probability_total mom_uncertainty_variance mom_unit_normalize
-agg_distinct agg_hash_counter agg_mode agg_mode_lex agg_exact_rational agg_sum_issue_score score agg_status_counts"""
+_NAMES = """id_uniqueness duplicate_identifier fk_reference join_cross_document join_semi_overlap join_anti_dangling join_casefold join_lookup_equi join_full_outer_residue join_neighbour join_event_latest arith_binary arith_violations arith_consensus arith_sparse_recovery arith_direction balance_4 temporal_delta sequence_step win_lag_diff win_top1 win_fold_parity win_lag_one_control win_symmetry_orbit agg_sum agg_count cons_balance mom_weighted_sum mom_weighted_mean mom_variance mom_covariance mom_probability_total mom_uncertainty_variance mom_unit_normalize agg_distinct agg_hash_counter agg_mode agg_mode_lex agg_sum_issue_score agg_status_counts"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _DUP = "SELECT l_orderkey, l_linenumber, count(*) AS occurrences, 'duplicate_identifier' AS code FROM lineitem GROUP BY ALL HAVING count(*) > 1"
@@ -264,14 +243,13 @@ _COUNT = _SUMS + "SELECT row_id, 'aggregate_count_violation' AS code, (c + 1)::D
 _SCORE = _FK + "SELECT code, count(*) AS n, sum(CASE WHEN code = 'dangling_reference' THEN 10 ELSE 3 END)::BIGINT AS score FROM (" + _FK_ROWS.format("") + ") GROUP BY code"
 ORACLES = {
     "id_uniqueness": "SELECT * FROM (SELECT 'o_orderkey' AS field, count(o_orderkey) AS present, count(DISTINCT o_orderkey) AS distinct_values, count(DISTINCT o_orderkey)::DOUBLE / count(o_orderkey) AS confidence, count(DISTINCT o_orderkey) = count(o_orderkey) AS registry FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey), count(DISTINCT o_custkey), count(DISTINCT o_custkey)::DOUBLE / count(o_custkey), false FROM orders) WHERE confidence >= 0.9",
-    "duplicate_identifier": _DUP, "win_duplicates": _DUP,
+    "duplicate_identifier": _DUP, 
     "fk_reference": _FK + _FK_ROWS.format(""), "join_cross_document": _FK + _FK_ROWS.format("cross_document_"),
     "join_semi_overlap": using("ord") + " UNION ALL ".join(f"SELECT '{n}' AS target, count(*) FILTER (broken_customer IN (SELECT {k} FROM {n})) AS overlap, count(*) AS observed, count(*) FILTER (broken_customer IN (SELECT {k} FROM {n}))::DOUBLE / count(*) AS confidence FROM ord" for n, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))),
-    "bundle_ambiguity": "SELECT NULL::VARCHAR AS target, 'ambiguous_reference_target' AS code, 1.0::DOUBLE AS confidence",
     "join_anti_dangling": using("ord") + "SELECT id, broken_customer FROM ord ANTI JOIN customer ON broken_customer = c_custkey",
     "join_casefold": using("cust") + "SELECT id, spelled, segment FROM cust WHERE spelled <> segment AND lower(spelled) = lower(segment)",
     "join_lookup_equi": "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
-    "join_full_outer_residue": _RESIDUE, "multiset_balance": _RESIDUE, "cons_multiset": _RESIDUE,
+    "join_full_outer_residue": _RESIDUE, 
     "join_neighbour": "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "join_event_latest": "SELECT user_id AS path, arg_max(event_type, event_id) AS value, max(event_id) AS ordinal FROM events GROUP BY user_id",
     "arith_binary": using("item") + "SELECT * FROM (SELECT 'charge' AS target, 'discount' AS a, '+' AS op, 'quantity' AS b, count(*) FILTER (charge = quantity + discount) AS support, count(*) AS decided, count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) AS confidence FROM item UNION ALL SELECT 'discount', 'charge', '-', 'quantity', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item UNION ALL SELECT 'quantity', 'charge', '-', 'discount', count(*) FILTER (charge = quantity + discount), count(*), count(*) FILTER (charge = quantity + discount)::DOUBLE / count(*) FROM item)",
@@ -286,10 +264,9 @@ ORACLES = {
     "win_lag_diff": "SELECT event_id, ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id))) // 1000000)::BIGINT AS gap FROM events",
     "win_top1": "WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_suppkey, max(n) AS m FROM c GROUP BY 1) SELECT c.l_suppkey, min(l_returnflag) AS item, count(*) > 1 AS tied FROM c JOIN m ON c.l_suppkey = m.l_suppkey AND n = m GROUP BY 1",
     "win_fold_parity": "SELECT o_orderkey % 2 AS fold, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
-    "win_rotation": "WITH m AS (SELECT max(o_orderkey) AS m FROM orders), r AS (SELECT CASE WHEN o_orderkey = m THEN 1 ELSE o_orderkey + 1 END AS k, o_orderpriority AS turned FROM orders, m) SELECT count(*) AS n, count(*) FILTER (o_orderpriority = turned) AS equal FROM orders JOIN r ON k = o_orderkey",
     "win_lag_one_control": "SELECT before, o_orderstatus, count(*) AS n FROM (SELECT o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) GROUP BY ALL",
     "win_symmetry_orbit": "SELECT l_orderkey, sha256(concat_ws('|', l_returnflag, l_linestatus, l_quantity::INT::VARCHAR)) AS member, count(*) AS orbit FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "agg_sum": _SUM, "agg_count": _COUNT, "cons_aggregate_sum": _SUM, "cons_aggregate_count": _COUNT,
+    "agg_sum": _SUM, "agg_count": _COUNT, 
     "cons_balance": "SELECT p_partkey AS row_id, (p_size + p_partkey % 7 - p_partkey % 3 + 100)::DECIMAL(38,9) AS old_value, (p_size + p_partkey % 7 - p_partkey % 3)::DECIMAL(38,9) AS new_value, 'conservation_violation' AS code FROM part WHERE p_partkey % 59 = 0",
     "mom_weighted_sum": "SELECT l_orderkey AS row_id, sum(l_quantity::DECIMAL(18,4) * l_linenumber)::DECIMAL(38,9) AS weighted_sum FROM lineitem GROUP BY 1",
     "mom_weighted_mean": "WITH g AS (SELECT l_orderkey AS row_id, sum(l_quantity::BIGINT * l_linenumber)::BIGINT AS num, sum(l_linenumber)::BIGINT AS den, round(avg(l_quantity), 3)::DECIMAL(38,3) AS v FROM lineitem GROUP BY 1), q AS (SELECT *, (num * 1000000000 // den + CASE WHEN 2 * (num * 1000000000 % den) >= den THEN 1 ELSE 0 END) AS nano FROM g) SELECT row_id, v::DECIMAL(38,9) AS old_value, CASE WHEN nano * den = num * 1000000000 THEN (nano::DECIMAL(38,9) * 0.000000001)::DECIMAL(38,9) END AS new_value FROM q WHERE v * den <> num",
@@ -302,7 +279,6 @@ ORACLES = {
     "agg_hash_counter": "SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL",
     "agg_mode": "SELECT l_suppkey, first(l_returnflag ORDER BY n DESC, l_returnflag) AS mode FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1",
     "agg_mode_lex": "SELECT l_suppkey, first(l_returnflag ORDER BY n DESC, l_returnflag DESC) AS mode FROM (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1",
-    "agg_exact_rational": "SELECT o_orderstatus, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(38,2) AS num, count(*) AS den FROM orders GROUP BY 1",
-    "agg_sum_issue_score": _SCORE, "score": _SCORE,
+    "agg_sum_issue_score": _SCORE, 
     "agg_status_counts": using("ord") + "SELECT status, priority, count(*) AS n FROM ord GROUP BY ALL",
 }

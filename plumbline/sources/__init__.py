@@ -161,6 +161,23 @@ def read_bundle(spark: SparkSession, folder: str, count: int = MAX_DOCUMENTS, to
     return found.withColumn("name", F.when(below.startswith(base), F.substr(below, F.lit(len(base) + 1))).otherwise(F.col("name")))
 
 
+#: Most sources that a manifest may name.
+MAX_SOURCES = 256
+
+
+def read_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, role, independent_group, line, raw, value): the records of all sources that a manifest names: a JSON list of
+    {source_id, role, independent_group, path}, paths relative to the manifest.  Repeated ids, unknown members, paths that
+    leave the folder and more than MAX_SOURCES are refused."""
+    listed = parse_strict(read_document(spark, path).first()["raw"])
+    if not isinstance(listed, list) or len(listed) > MAX_SOURCES or any(set(s) != {"source_id", "role", "independent_group", "path"} for s in listed):
+        raise ValueError(f"a list of at most {MAX_SOURCES} sources with id, role, group and path")
+    if any(s["path"].startswith("/") or ".." in s["path"].split("/") for s in listed):
+        raise ValueError("a source lies outside of the manifest's folder")
+    base = path.rsplit("/", 1)[0]
+    return with_role([(s["source_id"], s["role"], s["independent_group"], read_records(spark, f"{base}/{s['path']}")) for s in listed])
+
+
 def with_role(sources: list[tuple[str, str, str, DataFrame]]) -> DataFrame:
     """Context tables (source_id, role, independent_group, rows) under one roof; ids must differ."""
     if len({s for s, *_ in sources}) < len(sources):

@@ -112,8 +112,8 @@ def value_counts(fields: list[str]) -> Summary:
 
 def spellings(counts: DataFrame) -> DataFrame:
     """(field, value, canonical): spellings of one word of which one dominates."""
-    group = counts.groupBy("field", F.lower(F.upper("value")).alias("f")).agg(F.count(F.lit(1)).alias("k"), F.max_by("value", F.struct("n", "value")).alias("canonical"), (F.max("n") / F.sum("n")).alias("share")).where(f"k > 1 and share >= {ENUM_SHARE}")
-    return counts.withColumn("f", F.lower(F.upper("value"))).join(group, ["field", "f"]).where("value <> canonical").select("field", "value", "canonical")
+    group = counts.groupBy("field", F.upper("value").alias("f")).agg(F.count(F.lit(1)).alias("k"), F.max_by("value", F.struct("n", "value")).alias("canonical"), (F.max("n") / F.sum("n")).alias("share")).where(f"k > 1 and share >= {ENUM_SHARE}")
+    return counts.withColumn("f", F.upper("value")).join(group, ["field", "f"]).where("value <> canonical").select("field", "value", "canonical")
 
 
 def leaf_counts(regime: str, raw: str) -> Summary:
