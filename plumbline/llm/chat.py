@@ -45,7 +45,8 @@ def render(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     Turns are ordered by number; turns of one number by a hash of role and text.  A row that repeats another entirely
     counts once.  A null role is rendered as "unknown", a null text as empty; a null turn comes first; rows without
     conv_id form one conversation.  "<|" inside a role or text becomes "< |", so that no text opens or closes a turn.
-    Other columns aren't used.  An empty table gives no rows.
+    Texts are rendered whole, however long; a kept conversation is one row, so one value, which must fit a task.  Other
+    columns aren't used, whatever their names.  An empty table gives no rows.
     """
     safe = lambda c, other: F.replace(F.coalesce(F.col(c), F.lit(other)), F.lit("<|"), F.lit("< |"))
     turns = conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), safe(role, "unknown").alias("role"), safe(text, "").alias("text"))

@@ -164,7 +164,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) for every row: set size, and the smallest doc_id reachable by links.
 
     A null or wordless text has an empty set and is alone.  Rows with equal texts are one class whatever their ids; a
-    null id is never the smallest unless all ids of the component are null.  Repeated rows each give a row.
+    null id is never the smallest unless all ids of the component are null.  Repeated rows each give a row.  Whole texts
+    are shingled, however long; other columns are ignored, whatever their names; an empty table gives no rows.
+
+    Components are all that is returned: a pair that is already in one component by other links is not verified, so links
+    are not counted.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")

@@ -149,8 +149,9 @@ class PieceEncoder:
 def write_tokens(docs: DataFrame, work: Workspace, encoder: Callable[[], PieceEncoder], vocabulary: int, end_id: int, doc_id: str = "doc_id", text: str = "text", name: str = "tokens") -> DataFrame:
     """Encodes the texts, each followed by end_id, and writes them as ``name``; returns the written table of blocks.
 
-    A null text is empty, so it gives only the end id.  Documents without id come first; those of one id are in the order
-    of a hash of their text.
+    A null text is empty, so it gives only the end id.  Documents without id come first; those of one id, repeated rows
+    included, are in the order of a hash of their text.  A text is encoded whole, however long, and its ids are one block
+    with what was gathered before it.  Other columns are ignored, whatever their names; an empty table gives no blocks.
     """
     from pyspark import TaskContext
 
@@ -187,7 +188,8 @@ def write_tokens(docs: DataFrame, work: Workspace, encoder: Callable[[], PieceEn
 
 def read_documents(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks: ids of all documents before it, its own, and
-    the unsigned crc32 of its ids as little-endian 32-bit integers."""
+    the unsigned crc32 of its ids as little-endian 32-bit integers.  Every written row gives a row, ids null or repeated
+    included; a table without blocks gives none."""
     spark: SparkSession = blocks.sparkSession
     sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum(F.element_at("ends", -1)).alias("n")).collect()}  # a row for each file
     base, rows = 0, []
@@ -209,7 +211,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
 
 
 def lookup(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, tokens) of some documents; only blocks whose range holds one of the ids are read."""
+    """(doc_id, tokens) of some documents; only blocks whose range holds one of the ids are read.  An id that several rows
+    have gives a row for each, an unknown one none; null can't be asked for."""
     near = functools.reduce(lambda a, b: a | b, [(F.col("least") <= i) & (F.col("most") >= i) for i in doc_ids], F.lit(False))
     wanted = set(doc_ids)
 
