@@ -23,8 +23,8 @@ def fd_relations(spark, d):
 
 
 def fd_sparse_recovery(spark, d):
-    df = t(spark, d, "nation").selectExpr("n_nationkey", "n_regionkey").crossJoin(spark.range(40).withColumnRenamed("id", "i"))
-    df = df.selectExpr("n_nationkey * 100 + i AS id", "n_nationkey AS k", "CASE WHEN i % 8 = 3 THEN 1000 + i ELSE n_regionkey END AS v")
+    """Customers of whose regions one in seven is a stray value that comes once."""
+    df = view(spark, d, "cust").selectExpr("id", "nation AS k", "CASE WHEN id % 7 = 3 THEN 1000 + id ELSE nation % 5 END AS v")
     return dep.sparse_recovery(df, "id", [("k", "v")]).drop("confidence")
 
 
@@ -97,7 +97,9 @@ _CODE = "CASE WHEN v IS NULL THEN '{0}' ELSE '{1}' END AS code"
 ORACLES = {
     "fd_functional": using("cust") + f", {_LONG}, {_COUNTS}, {_REL} SELECT row_id, det, target, {_CODE.format('missing_from_functional_relation', 'functional_relation_violation')}, v AS old_value, mode AS new_value FROM rows_ JOIN m USING (det, target, d) JOIN r USING (det, target) WHERE m.n >= 3 AND (v IS NULL OR v <> mode)",
     "fd_relations": using("cust") + f", {_LONG}, {_COUNTS}, {_REL} SELECT det, target, support, observed, support::DOUBLE / observed AS confidence FROM r",
-    "fd_sparse_recovery": "SELECT n_nationkey * 100 + i AS row_id, 'k' AS det, 'v' AS target, (1000 + i)::VARCHAR AS old_value, n_regionkey::VARCHAR AS new_value FROM nation, range(40) q(i) WHERE i % 8 = 3",
+    "fd_sparse_recovery": using("cust") + """, x AS (SELECT id, nation AS k, CASE WHEN id % 7 = 3 THEN 1000 + id ELSE nation % 5 END::VARCHAR AS v FROM cust), c0 AS (SELECT k, v, count(*) AS n FROM x GROUP BY k, v), c AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r FROM c0),
+        m AS (SELECT k, max(v) FILTER (r = 1) AS mode, max(n) FILTER (r = 1) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second, sum(n) AS n FROM c GROUP BY k), g AS (SELECT bool_and(n >= 3 AND top >= 3 AND top - second >= 2 AND second <= 1) AND sum(top)::DOUBLE / sum(n) >= 0.6 AND sum(top)::DOUBLE / sum(n) < 0.95 AS clear FROM m)
+        SELECT id AS row_id, 'k' AS det, 'v' AS target, v AS old_value, mode AS new_value FROM x JOIN m ON m.k = x.k, g WHERE clear AND v <> mode""",
     "fd_scoped": using("cust") + """, c AS (SELECT segment AS scope, nation::VARCHAR AS d, region::VARCHAR AS v, count(*) AS n FROM cust WHERE region IS NOT NULL GROUP BY ALL),
         m AS (SELECT scope, d, first(v ORDER BY n DESC, v) AS mode, max(n) AS mode_n, sum(n) AS n FROM c GROUP BY scope, d),
         r AS (SELECT scope FROM m GROUP BY scope HAVING sum(n) >= 3 AND sum(CASE WHEN n >= 2 THEN mode_n ELSE 0 END)::DOUBLE / sum(n) >= 0.95)

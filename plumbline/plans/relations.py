@@ -258,7 +258,9 @@ ORACLES = {
     "arith_sparse_recovery": "SELECT p_partkey AS row_id, (p_size + p_partkey + p_partkey::BIGINT * p_partkey)::DECIMAL(38,9) AS old_value, (p_size + p_partkey)::DECIMAL(38,9) AS new_value FROM part WHERE p_partkey % 5 = 0 AND p_partkey > 0",
     "arith_direction": "SELECT count(*) AS decided, count(*) FILTER (p_partkey % 20 <> 0) AS before, count(*) >= 4 AND count(*) FILTER (p_partkey % 20 <> 0) >= 0.9 * count(*) AS directed FROM part",
     "balance_4": "SELECT 'a+b' AS left_side, 'c+d' AS right_side, count(*) FILTER (p_partkey % 97 <> 0) AS support, count(*) AS decided FROM part",
-    "temporal_delta": "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 103 = 0 THEN 'temporal_delta_violation' ELSE 'missing_temporal_endpoint' END AS code, o_orderdate::TIMESTAMP + INTERVAL 3 DAY AS new_value FROM orders WHERE o_orderkey % 103 = 0 OR o_orderkey % 107 = 0",
+    "temporal_delta": """WITH x AS (SELECT o_orderkey AS id, o_orderdate::TIMESTAMP AS s, CASE WHEN o_orderkey % 103 = 0 THEN o_orderdate::TIMESTAMP + INTERVAL 9 DAY WHEN o_orderkey % 107 = 0 THEN NULL ELSE o_orderdate::TIMESTAMP + INTERVAL 3 DAY END AS e FROM orders), c AS (SELECT epoch(e)::BIGINT - epoch(s)::BIGINT AS delta, count(*) AS n FROM x WHERE e IS NOT NULL GROUP BY 1),
+        b AS (SELECT first(delta ORDER BY n DESC, delta) AS off FROM c HAVING sum(n) >= 4 AND max(n)::DOUBLE / sum(n) >= 0.95 AND first(delta ORDER BY n DESC, delta) >= 0)
+        SELECT id AS row_id, CASE WHEN e IS NULL THEN 'missing_temporal_endpoint' ELSE 'temporal_delta_violation' END AS code, s + to_seconds(off) AS new_value FROM x, b WHERE e IS NULL OR epoch(e)::BIGINT - epoch(s)::BIGINT <> off""",
     "sequence_step": """WITH r AS (SELECT event_id, event_id % 50 AS stream, CASE WHEN event_id % 333 = 0 THEN -1 ELSE event_id * 2 END AS n FROM events), x AS (SELECT *, lag(n) OVER w AS before, lead(n) OVER w AS after FROM r WINDOW w AS (PARTITION BY stream ORDER BY event_id))
         SELECT stream AS part, event_id AS row_id, 'sequence_violation' AS code, n AS old_value, before + 100 AS new_value FROM x WHERE before + 100 = after - 100 AND n <> before + 100""",
     "win_lag_diff": "SELECT event_id, ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id))) // 1000000)::BIGINT AS gap FROM events",
@@ -267,7 +269,7 @@ ORACLES = {
     "win_lag_one_control": "SELECT before, o_orderstatus, count(*) AS n FROM (SELECT o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) GROUP BY ALL",
     "win_symmetry_orbit": "SELECT l_orderkey, sha256(concat_ws('|', l_returnflag, l_linestatus, l_quantity::INT::VARCHAR)) AS member, count(*) AS orbit FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "agg_sum": _SUM, "agg_count": _COUNT, 
-    "cons_balance": "SELECT p_partkey AS row_id, (p_size + p_partkey % 7 - p_partkey % 3 + 100)::DECIMAL(38,9) AS old_value, (p_size + p_partkey % 7 - p_partkey % 3)::DECIMAL(38,9) AS new_value, 'conservation_violation' AS code FROM part WHERE p_partkey % 59 = 0",
+    "cons_balance": "WITH x AS (SELECT p_partkey AS id, p_size AS opening, p_partkey % 7 AS received, p_partkey % 3 AS sold, p_size + p_partkey % 7 - p_partkey % 3 + CASE WHEN p_partkey % 59 = 0 THEN 100 ELSE 0 END AS closing FROM part) SELECT id AS row_id, closing::DECIMAL(38,9) AS old_value, (opening + received - sold)::DECIMAL(38,9) AS new_value, 'conservation_violation' AS code FROM x WHERE opening + received - sold - closing <> 0",
     "mom_weighted_sum": "SELECT l_orderkey AS row_id, sum(l_quantity::DECIMAL(18,4) * l_linenumber)::DECIMAL(38,9) AS weighted_sum FROM lineitem GROUP BY 1",
     "mom_weighted_mean": "WITH g AS (SELECT l_orderkey AS row_id, sum(l_quantity::BIGINT * l_linenumber)::BIGINT AS num, sum(l_linenumber)::BIGINT AS den, round(avg(l_quantity), 3)::DECIMAL(38,3) AS v FROM lineitem GROUP BY 1), q AS (SELECT *, (num * 1000000000 // den + CASE WHEN 2 * (num * 1000000000 % den) >= den THEN 1 ELSE 0 END) AS nano FROM g) SELECT row_id, v::DECIMAL(38,9) AS old_value, CASE WHEN nano * den = num * 1000000000 THEN (nano::DECIMAL(38,9) * 0.000000001)::DECIMAL(38,9) END AS new_value FROM q WHERE v * den <> num",
     "mom_variance": "SELECT l_orderkey AS row_id, (count(*) * sum(l_quantity::BIGINT * l_quantity::BIGINT) - sum(l_quantity::BIGINT) * sum(l_quantity::BIGINT))::DECIMAL(38,8) AS num, CASE WHEN count(*) > 1 THEN count(*) * (count(*) - 1) END AS den FROM lineitem GROUP BY 1",
