@@ -51,9 +51,14 @@ def functional(df: DataFrame, key: str, fields: list[str], pairs: list[tuple[str
     relations = found.groupBy("det", "target").agg(F.sum(F.when(good, F.col("mode_n")).otherwise(0)).alias("support"), F.sum("n").alias("observed"))
     relations = relations.where(f"observed >= {MIN_SUPPORT}").withColumn("confidence", F.col("support") / F.col("observed")).where(F.col("confidence") >= confidence)
     table = found.where(good).join(F.broadcast(relations.select("det", "target", "confidence")), ["det", "target"])  # at most 132 relations
-    bad = rows.join(table.select("det", "target", "d", "mode", "confidence"), ["det", "target", "d"]).where("v is null or v <> mode")
-    code = F.when(F.col("v").isNull(), F.lit("missing_from_functional_relation")).otherwise(F.lit("functional_relation_violation"))
-    return relations, bad.select("row_id", "det", "target", code.alias("code"), F.col("v").alias("old_value"), F.col("mode").alias("new_value"), "confidence")
+    # Rows meet the values that break a relation, which are few, not the modes of all groups: a determinant that very many
+    # rows have is only joined for what is wrong with it.
+    values = rows.where("d is not null").groupBy("det", "target", "d", "v").agg(F.count(F.lit(1)).alias("rows"))
+    wrong = values.join(table.select("det", "target", "d", "mode", "confidence"), ["det", "target", "d"]).where("v is null or v <> mode").select("det", "target", "d", F.col("v").alias("w"), "mode", "confidence")
+    at = wrong.alias("w")
+    bad = rows.alias("r").join(at, (F.col("r.det") == F.col("w.det")) & (F.col("r.target") == F.col("w.target")) & (F.col("r.d") == F.col("w.d")) & F.col("r.v").eqNullSafe(F.col("w.w")))
+    code = F.when(F.col("r.v").isNull(), F.lit("missing_from_functional_relation")).otherwise(F.lit("functional_relation_violation"))
+    return relations, bad.select("r.row_id", "r.det", "r.target", code.alias("code"), F.col("r.v").alias("old_value"), F.col("mode").alias("new_value"), "confidence")
 
 
 def violations_of(df: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
