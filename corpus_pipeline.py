@@ -1,6 +1,7 @@
 """From raw documents to token ids in five stages, each written as Parquet and read again by the next.
 
-Rows that carry an id more than once are told apart by a hash of their text.
+Rows that carry an id more than once are told apart by a hash of their text.  Texts are taken whole, however long; columns
+beside those of documents go through unread, whatever their names; an empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.  A null text has no words, so it goes; repeated rows are judged alike; null
+    languages and sources are groups of their own."""
     work = Workspace(spark, "quality-stage")
     stats = work.write(statistics(docs.select("doc_id", "lang", "source", "text", _hash().alias("_hash"))).drop("text"), "statistics")
     judged = outliers(stats, "lang", "source", work)
@@ -58,8 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document has go; a text that loses none stays as it is, and a document of which no
-    word is left goes."""
+    """Words of passages that an earlier document has go; a text that loses none stays as it is, null included, and a document
+    of which no word is left goes.  Rows without id, and rows of one id among themselves, remove nothing."""
     done = substring_dedup(docs).where("n_removed = 0 or kept <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     own = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
@@ -67,14 +69,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix doesn't take go; one that it takes several times comes as often."""
+    """Documents that the mix doesn't take go; one that it takes several times comes as often.  One without words is never
+    taken; rows of one id are taken or left together, rows without id each by themselves."""
     sized = docs.withColumns({"_sources": F.array("source"), "_words": count_words("text")})
     taken, _ = mix(sized, "doc_id", "_words", "_sources")
     return taken.where("repeats > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of a row that the mix takes several times are numbered, so that each draws its own dropout."""
+    """(doc_id, n_pieces, ids_crc32, lossless, ids) of every row.  Copies of a row that the mix takes several times are
+    numbered, so that each draws its own dropout; a null text is empty and has no ids."""
     same = Window.partitionBy("doc_id", _hash()).orderBy("doc_id")
     return piece_digests(docs.select("doc_id", "text", F.row_number().over(same).alias("_copy")), vocabulary_path("piece_bpe_32k.model"), copy="_copy")
 
