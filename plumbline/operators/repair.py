@@ -96,11 +96,16 @@ def digest(df: DataFrame) -> tuple[int, int, int]:
     return got[0], int(got[1] or 0), got[2] or 0
 
 
-def fixed_point(df: DataFrame, key: str, fields: list[str], analyze: Callable[[DataFrame], DataFrame], checkpoint, cycles: int = 8, quiet: int = 2) -> tuple[DataFrame, list[DataFrame], str]:
-    """(table, journal of patch tables, status): analyses and applies unique candidates until ``quiet`` cycles change nothing.
-    A digest seen before with other cycles between stops the loop as oscillation."""
-    journal, calm, seen = [], 0, {digest(df)}
+def fixed_point(df: DataFrame, key: str, fields: list[str], analyze: Callable[[DataFrame], DataFrame], checkpoint, cycles: int = 8, quiet: int = 2, relations: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame], str]:
+    """(table, journal of patch tables, status): analyses and applies unique candidates until ``quiet`` cycles change nothing,
+    neither the table nor, if asked for, the relations that hold in it.  A digest seen before with other cycles between
+    stops the loop as oscillation."""
+    journal, calm, seen, told = [], 0, {digest(df)}, None
     for cycle in range(cycles):
+        if relations is not None:
+            now = digest(relations(df))
+            calm = calm if told in (None, now) else 0
+            told = now
         patches = checkpoint(select_unique(authority(analyze(df))[0]).select(*CELL, "old_value", "new_value"), f"patches-{cycle}")
         if patches.isEmpty():
             calm += 1
@@ -117,6 +122,15 @@ def fixed_point(df: DataFrame, key: str, fields: list[str], analyze: Callable[[D
     return df, journal, "OPEN_REPAIRABLE"
 
 
+def order_independent(df: DataFrame, key: str, fields: list[str], analyze: Callable[[DataFrame], DataFrame], checkpoint) -> bool:
+    """Whether the fixed point is the same from the rows in another order and other partitions."""
+    ends = []
+    for name, rows in (("given", df), ("turned", df.orderBy(F.desc(key)).repartition(7, F.xxhash64(key)))):
+        done, _, status = fixed_point(checkpoint(rows, f"{name}-rows"), key, fields, analyze, lambda t, n, name=name: checkpoint(t, f"{name}-{n}"))
+        ends.append((status, digest(done.select(*sorted(df.columns)))))
+    return ends[0] == ends[1]
+
+
 def replay_inverse(df: DataFrame, key: str, fields: list[str], journal: list[DataFrame]) -> DataFrame:
     for patches in reversed(journal):
         df = apply_patches(df, key, inverse(patches), fields)

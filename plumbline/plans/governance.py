@@ -375,7 +375,16 @@ def q_descent(spark, d):
     return before.withColumn("stage", F.lit("before")).unionByName(after.withColumn("stage", F.lit("after"))).join(cf.descends(before, after))
 
 
-_NAMES = """factorize rewrite_algebra confluence min_transfer parallel_routes parallel_routes_refused symmetry_block causal_cone causal_dominance federation federation_conflicts federation_packets federation_pairs federation_compose fast_select
+def fixed_point_order(spark, d):
+    """The fixed point from two orders of rows, and with the relations quiet too."""
+    df, (by_fd, *_) = view(spark, d, "cust").select("id", "nation", "region"), _analyses()
+    same = rp.order_independent(df, "id", ["region"], by_fd, cutter(spark))
+    relations = lambda x: dep.functional(x, "id", [], [("nation", "region")])[0].drop("confidence")
+    done, journal, status = rp.fixed_point(df, "id", ["region"], by_fd, cutter(spark), relations=relations)
+    return done.agg(F.sum("region").alias("regions"), F.count("region").alias("filled")).withColumns({"order_independent": F.lit(same), "status": F.lit(status), "steps": F.lit(len(journal))})
+
+
+_NAMES = """fixed_point_order factorize rewrite_algebra confluence min_transfer parallel_routes parallel_routes_refused symmetry_block causal_cone causal_dominance federation federation_conflicts federation_packets federation_pairs federation_compose fast_select
 fast_select_deferred identifiability fw_control fw_boundary fw_robust fw_semantic authority_scope multisource_lifecycle multisource_assimilate multisource_conflicts materialize_witness join_source_identity struct_rename morphology
 morphology_relations graph_discover schema_evolution proof_digest certifier certifier_refuses proof_packet open_obligations open_wake sink_open_registry incremental typed_ir typed_ir_nodes typed_ir_constraints horizon q_descent"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
@@ -387,6 +396,7 @@ _ISSUES = ", cells AS (SELECT DISTINCT row_id, field FROM k), i AS (SELECT * FRO
 _FIXED = ", f AS (SELECT id, CASE WHEN region IS NULL OR id % 97 = 0 THEN nation % 5 ELSE region END AS region FROM cust)"
 _SURFACES = "SELECT * FROM (VALUES ('input', true), ('replay', {0}), ('inverse', {0}), ('untouched', {0}), ('preconditions', true), ('idempotent', true), ('hashes', true)) s(surface, ok)"
 ORACLES = {
+    "fixed_point_order": _CUST + _FIXED + "SELECT sum(region)::BIGINT AS regions, count(region) AS filled, true AS order_independent, 'PASS' AS status, 1 AS steps FROM f",
     "factorize": _O + "SELECT row_id, option_id, CASE WHEN option_id IN ('a', 'b') THEN 'a' WHEN option_id = 'c' OR row_id % 3 = 0 THEN 'c' ELSE 'd' END AS block FROM o",
     "rewrite_algebra": _O + "SELECT x.row_id, x.option_id AS a, y.option_id AS b, x.path AS path_a, y.path AS path_b, CASE WHEN x.path = y.path THEN x.value = y.value ELSE x.value = '{\"y\":1}' END AS joinable FROM o x JOIN o y ON x.row_id = y.row_id AND x.option_id <> y.option_id AND (x.path = y.path AND x.option_id < y.option_id OR starts_with(y.path, x.path || '/'))",
     "confluence": _O + "SELECT x.row_id, count(*) AS pairs, bool_and(CASE WHEN x.path = y.path THEN x.value = y.value ELSE x.value = '{\"y\":1}' END) AS joinable FROM o x JOIN o y ON x.row_id = y.row_id AND x.option_id <> y.option_id AND (x.path = y.path AND x.option_id < y.option_id OR starts_with(y.path, x.path || '/')) GROUP BY x.row_id",
