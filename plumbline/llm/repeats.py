@@ -11,9 +11,9 @@ of the corpus, so windows are first brought together by content.
 3. For a kept anchor each document sends the stretch of text that its windows with this anchor cover.  Stretches of an
    anchor meet in one shard, in the order of their documents, and the shard finds the repeated spans exactly (a suffix
    automaton for words, a suffix array for bytes).
-4. An anchor whose stretches have more than HOT_BYTES has no shard, so what a task holds is bounded: its windows are
-   taken apart by a 128-bit hash of the whole window.  Equal windows still meet, the least owner of each is a grouped
-   minimum that is added up before the shuffle, and a document gets back the hashes of those that an earlier one has.
+4. An anchor that very many windows share has no shard, so what a task holds is bounded.  Its windows get a second anchor
+   by longer runs beside the first, and their stretches meet by both; the few that are still shared by very many are taken
+   apart by a 128-bit hash of the whole window.  Equal windows still meet, and the least owner of each is a grouped minimum.
 5. The spans of each document go back to its text.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, broadcast_if_small
-from .textkit import U64, binary_rows, buffers, gram_hashes, mix, pieces, word_hashes, word_spans
+from .common import BROADCAST_BYTES, Workspace, broadcast_if_small
+from .textkit import U64, binary_rows, buffers, give_back, mix, pieces, word_hashes, word_spans
 from .suffixes import packed
 
 NO_ID = -(1 << 63)
@@ -50,43 +50,42 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 class Units:
     """Words or bytes of a batch of texts."""
 
-    def __init__(self, column: pa.Array, kind: str, length: int, gram: int):
-        self.kind, self.length = kind, length
+    def __init__(self, column: pa.Array, kind: str, length: int, grams: tuple[int, ...] = ()):
+        self.kind, self.length, self.grams = kind, length, grams
         self.data, offsets = buffers(column)
         if kind == "words":
             self.starts, self.ends, self.first = word_spans(self.data, offsets)
-            self.words = word_hashes(self.data, self.starts, self.ends)
+            self.values = word_hashes(self.data, self.starts, self.ends)
         else:
-            self.first = offsets
-        self.gram = gram
+            self.first, self.values = offsets, mix(packed(self.data))
+        self._keys: list[np.ndarray] = []
 
-    @functools.cached_property
-    def least(self) -> np.ndarray:
-        """The anchor of the window from each unit on."""
-        grams = gram_hashes(self.words, self.gram) if self.kind == "words" else byte_grams(self.data, self.gram)
-        return sliding_min(grams, self.length - self.gram + 1)
-
-    def window_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the window from each unit on; windows that cross rows have meaningless ones."""
+    def hashes(self, size: int, salt: int) -> np.ndarray:
+        """Hashes of ``size`` consecutive units; those that cross rows have no meaning."""
         if self.kind == "words":
-            values, places = self.words, range(self.length)
+            places = range(size)
         else:
-            values, places = mix(packed(self.data)), [*range(0, self.length - 7, 8), *([self.length - 8] if self.length % 8 else [])]
-        n = max(0, len(self.data if self.kind == "bytes" else self.words) - self.length + 1)
-        out = []
-        for salt in (1, 2):
-            total = np.zeros(n, np.uint64)
-            for place in places:
-                total += values[place : place + n] * U64(_odd(salt, place))
-            out.append(mix(total))
-        return out[0], out[1]
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            places = [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]
+        n = max(0, len(self.values) - size + 1)
+        total = np.zeros(n, np.uint64)
+        for place in places:
+            total += self.values[place : place + n] * U64(_odd(salt, place))
+        return mix(total)
+
+    def key(self, level: int) -> np.ndarray:
+        """The anchor, at a level, of the window from each unit on."""
+        while len(self._keys) <= level:
+            gram = self.grams[len(self._keys)]
+            own = sliding_min(self.hashes(gram, 0), self.length - gram + 1)
+            self._keys.append(own if not self._keys else mix(self._keys[-1]) + own)
+        return self._keys[level]
+
+    def runs(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, anchor, a, b): stretches of consecutive windows a, ..., b - 1 of one row with one anchor."""
         counts = np.maximum(np.diff(self.first) - self.length + 1, 0)
         rows = np.repeat(np.arange(len(counts)), counts)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[:-1], counts)
-        anchor = self.least[at]
+        anchor = self.key(level)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])
         heads = np.flatnonzero(new)
@@ -112,20 +111,21 @@ def _odd(salt: int, place: int) -> int:
     return int(mix(np.array([salt << 32 | place], np.uint64))[0]) | 1
 
 
-def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
-    """Hashes of ``gram`` consecutive bytes, 8 to 16."""
-    n = len(data) - gram + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    eight = packed(data)
-    return mix(mix(eight[:n]) + eight[gram - 8 : gram - 8 + n] * U64(0x9E3779B97F4A7C15))
+#: Anchors fall into so many buckets; a task tells which of them it has seen LOCAL times or more.
+BUCKETS, LOCAL = 1 << 22, 32
+#: Windows of buckets that have been told so often, over all tasks, go to the next level at once.
+HOT_ROWS = 20_000
+
 
+def _anchors(kind: str, length: int, grams: tuple[int, ...]):
+    """(anchor, id, seq, size): the anchors of each text with the bytes of their stretches.  At a task's end rows without id: a
+    bucket of anchors and how often it came, if that is often."""
 
-def _anchors(kind: str, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = ["anchor", "id", "seq", "size"], np.zeros(BUCKETS, np.uint32)
         for batch in pieces(batches, 2):
-            units = Units(batch.column(2), kind, length, gram)
-            rows, anchor, a, b = units.runs()
+            units = Units(batch.column(2), kind, length, grams)
+            rows, anchor, a, b = units.runs(0)
             if not len(rows):
                 continue
             sizes = units.sizes(a, b)[1]
@@ -134,58 +134,61 @@ def _anchors(kind: str, length: int, gram: int):
             keep = np.ones(len(rows), bool)
             keep[1:] = (rows[1:] != rows[:-1]) | (anchor[1:] != anchor[:-1])
             sizes = np.add.reduceat(sizes[once], np.flatnonzero(keep))
-            rows = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes)], ["anchor", "id", "seq", "size"])
+            rows, anchor = pa.array(rows[keep]), anchor[keep]
+            buckets, times = np.unique(anchor & U64(BUCKETS - 1), return_counts=True)
+            seen[buckets.astype(np.int64)] += times.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sizes)], names)
+        often = np.flatnonzero(seen >= LOCAL)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.nulls(len(often), pa.int64()), pa.array(np.zeros(len(often), np.int32)), pa.array(seen[often].astype(np.int64))], names)
 
     return run
 
 
-def _wanted(units: Units, wanted: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of which a row's list has the anchor."""
-    rows, anchor, a, b = units.runs()
-    values = wanted.flatten().to_numpy().view(np.uint64)
-    counts = np.asarray(wanted.value_lengths().fill_null(0), np.int64)
-    of = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, of))
-    found = np.zeros(len(rows), bool)
-    values, ends = values[order], np.cumsum(counts)
-    bounds = np.searchsorted(rows, np.arange(len(counts) + 1))
-    for i in range(len(counts)):
-        own = values[ends[i] - counts[i] : ends[i]]
-        lo, hi = bounds[i], bounds[i + 1]
-        if len(own) and hi > lo:
-            at = np.minimum(np.searchsorted(own, anchor[lo:hi]), len(own) - 1)
-            found[lo:hi] = own[at] == anchor[lo:hi]
-    return rows[found], anchor[found], a[found], b[found]
-
-
-def _stretches(kind: str, length: int, gram: int):
+def _among(asked: np.ndarray, rows: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each value, of a row, is in that row's list; rows ascend."""
+    counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    values = lists.flatten().to_numpy().view(np.uint64)
+    values = values[np.lexsort((values, np.repeat(np.arange(len(counts)), counts)))]
+    ends, bounds, found = np.cumsum(counts), np.searchsorted(rows, np.arange(len(counts) + 1)), np.zeros(len(rows), bool)
+    for i in np.flatnonzero(counts).tolist():
+        own, mine = values[ends[i] - counts[i] : ends[i]], slice(bounds[i], bounds[i + 1])
+        at = np.minimum(np.searchsorted(own, asked[mine]), len(own) - 1)
+        found[mine] = own[at] == asked[mine]
+    return found
+
+
+def _stretches(kind: str, length: int, grams: tuple[int, ...]):
+    """(level, anchor, id, seq, at, n, bytes): a text's stretches by the first anchors that its first list has, and by both
+    anchors where its second list has the first one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            units = Units(batch.column(2), kind, length, gram)
-            rows, anchor, a, b = _wanted(units, batch.column(3))
-            if not len(rows):
-                continue
-            base = units.first[:-1][rows]
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(a - base), pa.array(b - a + length - 1), units.stretch(a, b)], ["anchor", "id", "seq", "at", "n", "bytes"])
+            units = Units(batch.column(2), kind, length, grams)
+            for level in (0, 1):
+                lists = batch.column(3 + level)
+                if not len(lists.flatten()):
+                    continue
+                rows, anchor, a, b = units.runs(level)
+                found = _among(units.key(0)[a], rows, lists)
+                rows, anchor, a, b = rows[found], anchor[found], a[found], b[found]
+                if not len(rows):
+                    continue
+                base, take = units.first[:-1][rows], pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), level, np.int32)), pa.array(anchor.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(a - base), pa.array(b - a + length - 1), units.stretch(a, b)], ["level", "anchor", "id", "seq", "at", "n", "bytes"])
 
     return run
 
 
-def _windows(kind: str, length: int, gram: int):
-    """(h1, h2, id, seq): the distinct windows of each row that have one of its listed anchors."""
+def _windows(kind: str, length: int):
+    """(h1, h2, id, seq): the distinct windows of each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
-            units = Units(batch.column(2), kind, length, gram)
-            rows, _, a, b = _wanted(units, batch.column(3))
-            if not len(rows):
-                continue
-            sizes = b - a
-            at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(a, sizes)
-            h1, h2 = units.window_hashes()
-            found = np.stack([np.repeat(rows, sizes).astype(np.uint64), h1[at], h2[at]])
+            units = Units(batch.column(2), kind, length)
+            counts = np.maximum(np.diff(units.first) - length + 1, 0)
+            rows = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(units.first[:-1], counts)
+            found = np.stack([rows.astype(np.uint64), units.hashes(length, 1)[at], units.hashes(length, 2)[at]])
             found = found[:, np.lexsort(found[::-1])]
             new = np.ones(found.shape[1], bool)
             new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
@@ -195,20 +198,39 @@ def _windows(kind: str, length: int, gram: int):
     return run
 
 
-def hot_spans(texts: pa.Array, hot: pa.Array, kind: str, length: int) -> list[list[tuple[int, int]]]:
-    """For each text the unit spans of its windows whose hashes (h1, h2) are listed."""
+class Owners:
+    """Hashes of windows with their least owners, for texts of which some windows are in question."""
+
+    def __init__(self, h1: list[int], h2: list[int], least: list[int]):
+        one = np.array(h1, np.int64).view(np.uint64) + mix(np.array(h2, np.int64).view(np.uint64))
+        order = np.argsort(one, kind="stable")
+        self.one, self.h2, self.least = one[order], np.array(h2, np.int64).view(np.uint64)[order], np.array(least, np.int64)[order]
+
+    def before(self, h1: np.ndarray, h2: np.ndarray, owner: int) -> np.ndarray:
+        """Which windows an owner before this one has."""
+        if not len(self.one):
+            return np.zeros(len(h1), bool)
+        asked = h1 + mix(h2)
+        at = np.minimum(np.searchsorted(self.one, asked), len(self.one) - 1)
+        return (self.one[at] == asked) & (self.h2[at] == h2) & (self.least[at] < owner)
+
+
+def hot_spans(ids: pa.Array, texts: pa.Array, hot: pa.Array, owners: Owners | None, kind: str, length: int) -> list[list[tuple[int, int]]]:
+    """For each text with a list, the unit spans of its windows that the owners know, or whose hashes (h1, h2) are listed."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
-    counts = np.asarray(hot.value_lengths().fill_null(0), np.int64)
-    rows = np.flatnonzero(counts)
+    rows = np.flatnonzero(np.asarray(hot.is_valid()))
     if not len(rows):
         return out
-    units = Units(texts.take(pa.array(rows)), kind, length, 1)
-    h1, h2 = units.window_hashes()
-    own = h1 + mix(h2)
+    units = Units(texts.take(pa.array(rows)), kind, length)
+    h1, h2 = units.hashes(length, 1), units.hashes(length, 2)
     for r, lo, hi in zip(rows.tolist(), units.first[:-1].tolist(), units.first[1:].tolist(), strict=True):
+        own = slice(lo, max(lo, hi - length + 1))
         pairs = hot[r].values
-        listed = pairs.field(0).to_numpy().view(np.uint64) + mix(pairs.field(1).to_numpy().view(np.uint64))
-        for at in np.flatnonzero(np.isin(own[lo : max(lo, hi - length + 1)], listed)).tolist():
+        if owners is not None:
+            gone = owners.before(h1[own], h2[own], ids[r].as_py())
+        else:
+            gone = Owners(pairs.field(0).to_pylist(), pairs.field(1).to_pylist(), [0] * len(pairs)).before(h1[own], h2[own], 1)
+        for at in np.flatnonzero(gone).tolist():
             if out[r] and out[r][-1][1] >= at:
                 out[r][-1] = (out[r][-1][0], at + length)
             else:
@@ -227,8 +249,8 @@ class Solver:
 
 #: Bytes of stretches that a task holds at a time; an anchor with more is solved in several shards.
 SHARD_BYTES = 1 << 20
-#: An anchor with more bytes of stretches is taken apart by window.
-HOT_BYTES = 1 << 20
+#: An anchor with more bytes of stretches goes to the next level.
+HOT_BYTES = 2 << 20
 #: Parts into which the windows of one hash are dealt where their owners are too many to broadcast.
 SALTS = 16
 
@@ -294,14 +316,16 @@ def shard(solver: Callable[[], Solver]):
                     out.append(np.array([[ids[r], seq[r], at[r] + a, at[r] + b] for a, b in spans[int(code[r])]]).T)
             rows = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2]), pa.array(rows[3])], ["id", "seq", "a", "b"])
+        own, seen = None, {}
+        give_back()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: int, gram: int, solver: Callable[[], Solver], work: Workspace) -> DataFrame:
-    """(doc_id, text, copy, spans, hot, rest) for every row: whether it is a copy of the text of a smaller id, [a, b) unit
-    spans to remove (null if none), possibly overlapping, hashes of further windows to remove (see ``hot_spans``), and the
-    other columns as a struct.
+def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: int, gram: int, solver: Callable[[], Solver], work: Workspace):
+    """((doc_id, text, copy, spans, hot, rest) for every row, owners): whether it is a copy of the text of a smaller id,
+    [a, b) unit spans to remove (null if none), possibly overlapping, what ``hot_spans`` needs for further windows to remove,
+    and the other columns as a struct.  owners: a broadcast of Owners, or None.
 
     solver: see ``shard``.
     A row without id is compared with nothing.  Rows of one id, with one text or several, don't remove each other.
@@ -321,32 +345,46 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, kind: str, length: i
     rows = rows.select("id", F.coalesce("seq", F.lit(0)).alias("seq"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "rest")
 
     own = rows.where("not copy and id is not null").select("id", "seq", "text")
-    # Grouped minima are added up before the shuffle, so an anchor that very many documents have is a few rows; the join
-    # back is one that Spark splits if a key is hot.
-    anchors = work.write(own.mapInArrow(_anchors(kind, length, gram), "anchor long, id long, seq int, size long"), "anchors")
-    kept = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("size").alias("size")).where("lo < hi").select("anchor", (F.col("size") > HOT_BYTES).alias("hot"))
-    shared = anchors.drop("size").join(kept, "anchor").groupBy("id", "seq").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    spark, grams = docs.sparkSession, (gram, length - max(3, length // 5))
+    pair, owners = "array<struct<h1:long,h2:long>>", None
+    schema, spans = "level int, anchor long, id long, seq int, at long, n long, bytes binary", "id long, seq int, a long, b long"
+    meet = lambda df: df.drop("level").repartition("anchor").sortWithinPartitions("anchor", "id", "seq").mapInArrow(shard(solver), spans)
+    anchors = work.write(own.mapInArrow(_anchors(kind, length, grams), "anchor long, id long, seq int, size long"), "anchors")
+    often = work.write(anchors.where("id is null").groupBy(F.col("anchor").alias("bucket")).agg(F.sum("size").alias("n")).where(F.col("n") >= HOT_ROWS).select("bucket", F.lit(True).alias("often")), "often")
+    # An anchor that comes very often is a group for each document here: it is hot whatever its group would say.
+    rows_ = anchors.where("id is not null").withColumn("bucket", F.col("anchor").bitwiseAND(F.lit(BUCKETS - 1))).join(broadcast_if_small(often, 16), "bucket", "left")
+    rows_ = rows_.select("anchor", "id", "seq", "size", F.coalesce("often", F.lit(False)).alias("often"), F.when(F.col("often"), F.col("id")).alias("salt"))
+    by_anchor = Window.partitionBy("anchor", "salt")
+    known = rows_.withColumns({"lo": F.min("id").over(by_anchor), "hi": F.max("id").over(by_anchor), "total": F.sum("size").over(by_anchor)}).where("often or lo < hi")
+    known = known.select("id", "seq", "anchor", (F.col("often") | (F.col("total") > HOT_BYTES)).alias("hot"))
+    shared = known.groupBy("id", "seq").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     shared = work.write(shared, "shared")
-    work.drop("anchors")
-    stretches = own.join(shared.where("size(anchors) > 0"), ["id", "seq"]).select("id", "seq", "text", "anchors").mapInArrow(_stretches(kind, length, gram), "anchor long, id long, seq int, at long, n long, bytes binary")
-    found = stretches.repartition("anchor").sortWithinPartitions("anchor", "id", "seq").mapInArrow(shard(solver), "id long, seq int, a long, b long")
-    found = found.groupBy("id", "seq").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    pair = "array<struct<h1:long,h2:long>>"
+    work.drop("anchors", "often")
+    stretches, gone = own.join(shared, ["id", "seq"]).select("id", "seq", "text", "anchors", "hot").mapInArrow(_stretches(kind, length, grams), schema), None
     if shared.where("size(hot) > 0").isEmpty():
-        found = found.withColumn("hot", F.lit(None).cast(pair))
+        found = meet(stretches)
     else:
-        windows = own.join(shared.where("size(hot) > 0"), ["id", "seq"]).select("id", "seq", "text", "hot").mapInArrow(_windows(kind, length, gram), "h1 long, h2 long, id long, seq int")
-        windows = work.write(windows, "windows")
-        least = work.write(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"), "least")
-        small, key = broadcast_if_small(least, 32), ["h1", "h2"]
-        if small is least:
-            windows, key = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), ["h1", "h2", "salt"]
-            small = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        gone = windows.join(small, key).where("id > least").groupBy("id", "seq").agg(F.collect_list(F.struct("h1", "h2")).alias("hot"))
-        found = found.join(gone, ["id", "seq"], "full_outer")
+        stretches = work.write(stretches, "stretches")
+        fine = stretches.where("level = 1")
+        size = F.sum(F.length("bytes"))
+        still = work.write(fine.groupBy("anchor").agg(size.alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")).where((F.col("size") > HOT_BYTES) & (F.col("lo") < F.col("hi"))).select("anchor"), "still")
+        found = meet(stretches.join(broadcast_if_small(still, 16), "anchor", "left_anti"))
+        if not still.isEmpty():
+            left = fine.join(broadcast_if_small(still, 16), "anchor", "left_semi").select("id", "seq", "bytes")
+            windows = work.write(left.mapInArrow(_windows(kind, length), "h1 long, h2 long, id long, seq int").distinct(), "windows")
+            least = work.write(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last"), "least")
+            if least.count() * 24 <= BROADCAST_BYTES:  # counted: the texts in question are looked up where they are
+                got = least.toPandas()
+                owners = spark.sparkContext.broadcast(Owners(got["h1"].tolist(), got["h2"].tolist(), got["least"].tolist()))
+                gone = windows.select("id", "seq").distinct().withColumn("hot", F.array().cast(pair))
+            else:
+                salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+                gone = windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, ["h1", "h2", "salt"]).where("id > least").groupBy("id", "seq").agg(F.collect_list(F.struct("h1", "h2")).alias("hot"))
+    found = found.groupBy("id", "seq").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = found.withColumn("hot", F.lit(None).cast(pair)) if gone is None else found.join(gone, ["id", "seq"], "full_outer")
     found = work.write(found, "spans")
-    work.drop("shared", "windows", "least")
-    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans", "hot", "rest")
+    work.drop("shared", "stretches", "still", "windows", "least")
+    return rows.join(found, ["id", "seq"], "left").select(F.col("id").alias("doc_id"), "text", "copy", "spans", "hot", "rest"), owners
 
 
 def union(spans) -> list[tuple[int, int]]:

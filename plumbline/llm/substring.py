@@ -58,14 +58,14 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     A null text has no words.  Rows without id, and rows of one id among themselves, remove nothing.
     """
     work = Workspace(docs.sparkSession, "substring")
-    found = repeated_spans(docs, doc_id, text, "words", length, gram, lambda: WordSolver(length), work)
+    found, owners = repeated_spans(docs, doc_id, text, "words", length, gram, lambda: WordSolver(length), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 totals, gone, kept = [], [], []
-                hot = hot_spans(part.column(1), part.column(4), "words", length)
+                hot = hot_spans(part.column(0), part.column(1), part.column(4), owners and owners.value, "words", length)
                 for own, copy, spans_, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), hot, strict=True):
                     words = _WORDS.findall((own or "").encode("utf-8", "surrogatepass"))
                     drop = [(0, len(words))] if copy and len(words) >= length else union([(s["a"], s["b"]) for s in spans_ or ()] + more)

@@ -67,14 +67,14 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     A null text is empty.  Rows without id, and rows of one id among themselves, remove nothing.
     """
     work = Workspace(docs.sparkSession, "suffix")
-    found = repeated_spans(docs.select(doc_id, text), doc_id, text, "bytes", length, gram, lambda: ByteSolver(length), work)
+    found, owners = repeated_spans(docs.select(doc_id, text), doc_id, text, "bytes", length, gram, lambda: ByteSolver(length), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
                 rows = []
-                hot = hot_spans(part.column(1), part.column(4), "bytes", length)
+                hot = hot_spans(part.column(0), part.column(1), part.column(4), owners and owners.value, "bytes", length)
                 for own, copy, spans, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), hot, strict=True):
                     data = (own or "").encode("utf-8", "surrogatepass")
                     drop = [(0, len(data))] if copy and len(data) >= length else union([(s["a"], s["b"]) for s in spans or ()] + more)
