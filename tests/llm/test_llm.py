@@ -182,11 +182,33 @@ def test_substring(docs, rows, hot, monkeypatch):
 def test_hot_windows_without_a_broadcast(docs, rows, salted, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_BYTES", 0)  # no anchor has a shard
     if salted:
-        monkeypatch.setattr(repeats, "broadcast_if_small", lambda df, row_bytes: df)
+        monkeypatch.setattr(repeats, "BROADCAST_BYTES", 0)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()}
     assert got == brute_words(rows)
 
 
+@pytest.mark.parametrize("often", [1, 6])
+def test_anchors_that_come_often_skip_a_level(docs, rows, often, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_ROWS", often)
+    monkeypatch.setattr(repeats, "BUCKETS", 1 << 10)
+    plain = repeats._anchors
+
+    def local(kind, length, grams):
+        inner = plain(kind, length, grams)
+
+        def run(batches):
+            import plumbline.llm.repeats as r
+
+            r.LOCAL, r.BUCKETS = 1, 1 << 10
+            yield from inner(batches)
+
+        return run
+
+    monkeypatch.setattr(repeats, "_anchors", local)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs).collect()} == brute_words(rows)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(docs).collect()} == brute_bytes(rows)
+
+
 @pytest.mark.parametrize("hot", [1 << 20, 2000, 0])
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix(docs, rows, small, hot, monkeypatch):
@@ -604,6 +626,18 @@ def test_native_plans_have_no_python(spark, docs):
         assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_work_tables_are_deleted(spark, monkeypatch):
+    import os
+
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "_ROOTS", {})
+    work = Workspace(spark, "gone")
+    assert work.write(spark.range(3), "t").count() == 3 and os.path.isdir(work.root)
+    common.release(spark)
+    assert not os.path.exists(work.root) and common._ROOTS == {}
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
