@@ -80,11 +80,16 @@ class Units:
             self._keys.append(own if not self._keys else mix(self._keys[-1]) + own)
         return self._keys[level]
 
-    def runs(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, anchor, a, b): stretches of consecutive windows a, ..., b - 1 of one row with one anchor."""
+    @functools.cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first unit) of every window."""
         counts = np.maximum(np.diff(self.first) - self.length + 1, 0)
         rows = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[:-1], counts)
+        return rows, np.arange(len(rows)) + np.repeat(self.first[:-1] - (np.cumsum(counts) - counts), counts)
+
+    def runs(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, anchor, a, b): stretches of consecutive windows a, ..., b - 1 of one row with one anchor."""
+        rows, at = self.places
         anchor = self.key(level)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])
@@ -185,9 +190,7 @@ def _windows(kind: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
             units = Units(batch.column(2), kind, length)
-            counts = np.maximum(np.diff(units.first) - length + 1, 0)
-            rows = np.repeat(np.arange(len(counts)), counts)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(units.first[:-1], counts)
+            rows, at = units.places
             found = np.stack([rows.astype(np.uint64), units.hashes(length, 1)[at], units.hashes(length, 2)[at]])
             found = found[:, np.lexsort(found[::-1])]
             new = np.ones(found.shape[1], bool)
