@@ -59,8 +59,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     occurs twice.  So a long text costs n log n and nothing is shuffled."""
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once
     own = F.coalesce(F.col(text), F.lit(""))
-    bare = lambda c, chars: F.char_length(F.translate(c, chars, "")).cast("long")
-    hashes = F.transform(F.filter(F.split(own, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    # Without white space at its ends a text splits into words only, so none has to be filtered out.
+    inner = F.btrim(own, F.lit(GAP))
+    words = F.when(inner != "", F.split(inner, SPACE)).otherwise(F.array().cast("array<string>"))
+    symbols = functools.reduce(lambda a, b: a + b, (F.octet_length(own) - F.octet_length(F.replace(own, F.lit(c), F.lit(""))) for c in SYMBOLS))
 
     def covered(places):
         """Words in the 8-word windows that start at these ascending places."""
@@ -77,11 +79,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         grams = F.transform(F.sequence(F.lit(1), F.size(h) - 7), lambda i: F.xxhash64(F.slice(h, i, 8)))
         return F.when(F.size(h) >= 8, let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(twice(g)))).otherwise(F.lit(0))
 
-    counted = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeats(h).cast("long").alias("n_repeat_words")))
-    lines = F.filter(F.split(own, "\n"), lambda line: F.translate(line, GAP, "") != "")
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), let(hashed(w), repeats).cast("long").alias("n_repeat_words")))
+    lines = F.filter(F.split(own, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.withColumns({"_counted": counted, "word_chars": bare(own, GAP), "n_symbols": F.char_length(own).cast("long") - bare(own, SYMBOLS), "n_dup_lines": dup_lines})
-    return out.withColumns({"n_words": F.col("_counted.n_words"), "n_repeat_words": F.col("_counted.n_repeat_words")}).drop("_counted")
+    out = docs.withColumns({"_counted": counted, "n_symbols": symbols.cast("long"), "n_dup_lines": dup_lines})
+    return out.withColumns({c: F.col(f"_counted.{c}") for c in ("n_words", "word_chars", "n_repeat_words")}).drop("_counted")
 
 
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
