@@ -49,6 +49,8 @@ def _local_dir() -> str:
 _ROOTS: dict[str, SparkSession] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaning, _lock = [0, None], threading.Lock()
+#: On a file system of files a table that is soon gone needs no checksum beside each file; other stores don't read this.
+_SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -83,7 +85,7 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").options(**_SCRATCH)
         # The table replaces the shuffle files behind it.  The setting is the session's, so the first of several writes
         # at a time sets it and the last restores it.
         with _lock:
