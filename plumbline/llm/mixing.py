@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import count_words, table
+from .common import Workspace, count_words, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = "mix-1"
@@ -121,7 +121,9 @@ def mix(docs: DataFrame, doc_id: str, size: str, sources: str, weights: tuple[fl
     hashed = [f"`{f.name}`" for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("row "), F.xxhash64(*hashed).cast("string")))
     marked = docs.withColumns({n_: F.coalesce(F.col(size).cast("long"), F.lit(0)), p_: keyed, o_: F.md5(F.concat_ws(":", F.lit(seed), own).cast("binary"))})
-    slim = marked.select(F.col(n_).alias("size"), F.col(p_).alias("pattern"), F.col(o_).alias("order"), F.substring(o_, 1, BUCKET_DIGITS).alias("bucket"))
+    # Sizes may cost a pass over the texts, so what decides is written once; the texts are read again where rows are chosen.
+    work = Workspace(spark, "mixing")
+    slim = work.write(marked.select(F.col(n_).alias("size"), F.col(p_).alias("pattern"), F.col(o_).alias("order"), F.substring(o_, 1, BUCKET_DIGITS).alias("bucket")), "slim")
 
     totals = slim.groupBy("pattern").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
@@ -154,6 +156,7 @@ def mix(docs: DataFrame, doc_id: str, size: str, sources: str, weights: tuple[fl
         routes.append((list(pattern), full, takers))
         cuts += [(list(pattern), use, end) for use, end, _ in takers if end < n]
     ends = _places(slim, cuts, spark)
+    work.drop("slim")
     rows = []
     for pattern, full, takers in routes:
         steps = [(use, ends.get((tuple(pattern), use, end), AFTER_ALL), taker) for use, end, taker in takers]
