@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, broadcast_if_small, components, table
+from .common import Workspace, components, sifted, table
 from .textkit import pieces, shingle_sets
 
 #: Shingles that a task reports as frequent, and that all tasks together put last in the order: a hint, 16 bytes each.
@@ -75,8 +75,9 @@ def frequent(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """One bit for each value modulo a power of two of at least eight times their number, so that few values meet in one."""
-    width = max(64, 8 << max(0, int(len(values) - 1).bit_length()))
+    """One bit for each value modulo a power of two of at least twice their number.  Unrelated sets are far below the bound
+    at that width already; the bitmaps go with every pair, so more bits cost more than the pairs that they would hold back."""
+    width = max(64, 2 << max(0, int(len(values) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -175,23 +176,31 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sig = work.write(signatures(docs, doc_id, text, k, frequent(docs, text, k)), "signatures")
     classes = sig.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = work.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # Each table goes as soon as what is still needed of it stands elsewhere.
+    members = work.write(sig.select("doc_id", "n", "digest"), "members")
+    work.drop("signatures")
 
     by_size = Window.partitionBy("key").orderBy("n", "cid")
     keys = classes.select("cid", "n", "prefix").mapInArrow(_tiles, "key long, cid long, n int, left int")
     tiles = keys.select("key", "cid", "n", "left", F.lag(F.struct("cid", "n", "left")).over(by_size).alias("before"), F.lead("cid").over(by_size).alias("after"))
     tiles = work.write(tiles.where("before is not null or after is not null").drop("after"), "tiles")
+    classes = work.write(classes.drop("prefix"), "classes-bits")
+    work.drop("classes")
     support = tiles.groupBy("cid").agg(F.count(F.lit(1)).alias("support"))
     members_of = tiles.select("key", "cid", "n", "left").join(support, "cid")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of classes that link, written."""
         side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        pairs = work.write(pairs.distinct(), f"{name}-pairs")  # the shuffled tiles go before bitmaps are shuffled
+        near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         near = work.write(near.mapInArrow(_may_link, "a long, b long"), f"{name}-near")
+        work.drop(f"{name}-pairs")
         ends = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "digest", "least"), "cid")
         ends = work.write(ends, f"{name}-ends")
         own = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
-        texts = own.join(broadcast_if_small(ends, 64), F.coalesce("_id", F.lit(-(1 << 63))) == F.coalesce("least", F.lit(-(1 << 63))))
+        own, _, ends = sifted(own, [F.col("_id")], ends, ["least"], 64)
+        texts = own.join(ends, F.coalesce("_id", F.lit(-(1 << 63))) == F.coalesce("least", F.lit(-(1 << 63))))
         sets = texts.select("cid", "digest", "text").mapInArrow(_sets(k), "cid long, elements binary").dropDuplicates(["cid"])
         sets = work.write(sets, f"{name}-sets")
         part = lambda c: sets.select(F.col("cid").alias(c), F.col("elements").alias(f"elements_{c}"))
@@ -228,6 +237,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         hubs = placed.groupBy("key").agg(F.max(rank).alias("hub"))
         others = placed.join(hubs, "key").where("root <> hub.root").groupBy("key").agg(F.max(rank).alias("hub"))
         more = verified(with_hubs(placed, others).unionAll(with_hubs(placed, hubs)), f"hub{turn}")
+        work.drop(f"open{turn}")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more)
         roots = work.write(components(links, work, f"roots{turn}"), f"roots-{turn}")
 
@@ -238,14 +248,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     across = small.join(large, ["key", "band"]).where(ordered & may(F.col("n_a"), F.col("n_b"), F.col("left_a"), F.col("left_b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b")
     second = verified(across, "last")
+    work.drop("open", "tiles")
 
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(second)
     final = components(joined, work, "final").withColumnRenamed("node", "cid")
     known = classes.select("cid", "n", "digest", "least").join(final, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     known = work.write(known, "known")
+    work.drop("classes-bits")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = known.join(least, "root").select("n", "digest", "component_id")
-    members = sig.select("doc_id", "n", "digest")
     alone = members.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return members.where("n > 0").join(of_class, ["n", "digest"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionAll(alone)
 

@@ -1,6 +1,7 @@
 """The operators for training data: against brute force, exact round trips, and on odd tables."""
 
 import hashlib
+import pathlib
 import random
 import textwrap
 import unicodedata
@@ -119,6 +120,32 @@ def test_jaccard_odd(spark, empty):
     assert got == sorted([("None", 46, "5"), ("5", 46, "5"), ("5", 46, "5"), ("5", 1, "5"), ("3", 0, "3"), ("4", 0, "4")])
 
 
+def test_jaccard_keeps_only_what_it_still_reads(spark, docs, rows, monkeypatch):
+    """Without a broadcast, as on larger tables; work tables go once they are used up."""
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "_ROOTS", {})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    (root,) = common._ROOTS
+    left = {p.name for p in pathlib.Path(root).iterdir()}
+    assert got == brute_components(rows) and {"members", "known"} <= left
+    assert not left & {"signatures", "classes", "classes-bits", "tiles", "open", "open0"}
+
+
+def test_sifted(spark, monkeypatch):
+    from plumbline.llm import common
+
+    docs = spark.range(20_000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
+    known = docs.where("doc_id is null or doc_id % 20 = 0").select(F.col("doc_id").alias("_id"))
+    assert common.sifted(docs, [F.col("doc_id")], known, ["_id"], 16)[1] is None
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    may, apart, _ = common.sifted(docs, [F.col("doc_id")], known, ["_id"], 16)
+    got, rest = [r["doc_id"] for r in may.collect()], [r["doc_id"] for r in apart.collect()]
+    assert may.columns == apart.columns == docs.columns and sorted(map(str, got + rest)) == sorted(map(str, [None, *range(1, 20_000)]))
+    assert {r["_id"] for r in known.collect()} <= set(got) and len(got) < 4000
+
+
 def test_bitmap_bounds_the_overlap():
     rng = np.random.default_rng(3)
     for n, m in ((5, 7), (100, 120), (700, 90)):
