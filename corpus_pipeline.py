@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import Workspace, broadcast_if_small, count_words
+from plumbline.llm.common import Workspace, broadcast_if_small, count_words, sifted
 from plumbline.llm.jaccard import jaccard_components
 from plumbline.llm.mixing import mix
 from plumbline.llm.pieces import piece_digests
@@ -24,8 +24,13 @@ def _hash():
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, hash of the text) is among gone, a written table."""
-    gone = broadcast_if_small(gone.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_gone")).distinct(), 32)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_hash() == F.col("_gone")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_gone")).distinct()
+    rows, rest, gone = sifted(docs, [F.col("doc_id"), _hash()], gone, ["_id", "_gone"], 32)
+    return _joined(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_hash() == F.col("_gone")), "left_anti"), rest)
+
+
+def _joined(rows: DataFrame, rest: DataFrame | None) -> DataFrame:
+    return rows if rest is None else rows.unionByName(rest)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +58,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = ranked.join(broadcast_if_small(first, 40), "_root").where("rank <> first").select("doc_id", "_hash")
     kept = _without(docs, work.write(gone, "gone"))
     again = work.write(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id")), "again")
-    repeated = broadcast_if_small(again, 16)
-    single = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    several = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows, rest, repeated = sifted(kept, [F.col("doc_id")], again, ["_id"], 16)
+    single = _joined(rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), rest)
+    several = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 

@@ -120,3 +120,23 @@ def test_near_duplicates_without_or_with_shared_ids(spark):
     rest = [r for r in got if r not in ((None, text("c")), (None, near("c")))]
     assert sorted(rest, key=str) == sorted([(1, text("a")), (None, text("clean")), (2, text("b")), (3, text("other")), (4, text("d")), (None, None)], key=str)
     assert len(got) == len(rest) + 1
+
+
+def test_stages_shuffle_only_rows_that_may_go(spark, monkeypatch):
+    """Where too many rows go to broadcast them, the others' texts are not shuffled, and the stages give the same."""
+    from plumbline.llm import common
+
+    rows = [(i if i % 9 else None, f"text {i % 400} of number {i}", i) for i in range(2000)] + [(7, "text 7 of number 7", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _p int")
+    gone = docs.where("doc_id % 40 = 0 or (doc_id is null and _p % 90 = 0)").withColumn("_hash", corpus_pipeline._hash())
+    gone = common.Workspace(spark, "t").write(gone.select("doc_id", "_hash"), "gone")
+    want, pairs = sorted(map(str, corpus_pipeline._without(docs, gone).collect())), sorted(map(str, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    made = corpus_pipeline._without(docs, gone)
+    assert sorted(map(str, made.collect())) == want and len(want) < len(rows)
+    assert sorted(map(str, corpus_pipeline.near_duplicates(spark, docs, "").collect())) == pairs
+    seen = []
+    kind = type(docs)
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None, f=kind.join: (how == "left_anti" and seen.append(self.count())) or f(self, other, on, how))
+    corpus_pipeline._without(docs, gone)
+    assert seen and max(seen) < len(rows) / 2
