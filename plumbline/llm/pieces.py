@@ -47,6 +47,8 @@ SPACE_MARK = "▁"
 SHORT = 40
 #: Parts of more bytes are merged anew for each occurrence.
 LONG = 64
+#: Parts that are merged at once.
+MERGED_ROWS = 1 << 14
 
 
 @functools.cache
@@ -102,6 +104,15 @@ class PieceModel:
         self.rank_of = {piece: self.rank[i] for piece, i in self.ids.items()}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids):
             raise ValueError("a piece of this model has a space mark behind another character")
+        # All pairs of pieces that make a piece, sorted, and the pieces that single characters are.
+        pairs = sorted((a * len(self.rank) + b, i) for p, i in self.ids.items() for c in range(1, len(p)) if (a := self.ids.get(p[:c])) is not None and (b := self.ids.get(p[c:])) is not None)
+        self.pair_keys, self.pair_made = np.array([*(k for k, _ in pairs), 1 << 62], np.int64), np.array([*(i for _, i in pairs), 0], np.int32)
+        self.pair_rank = np.array([*(self.rank[i] for _, i in pairs), self.none])
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        self.of_char[0x20], self.of_char[ord(SPACE_MARK)] = self.of_char[ord(SPACE_MARK)], -1
         #: No piece has a stop behind an ASCII letter: a text can be cut there too.
         self.stops_apart = not any(re.search(r"[A-Za-z][.,;:!?]", p) for p in self.ids)
 
@@ -127,6 +138,79 @@ class PieceModel:
             out += [i] if i is not None else [self.byte_id[b] for b in (s or SPACE_MARK).encode("utf-8", "surrogatepass")]
         return out, seen
 
+    def merge_all(self, parts: list[bytes], skips: np.ndarray, keys: np.ndarray | None = None, rate: float = 0.0) -> tuple[list[bytes], np.ndarray]:
+        """(ids, number of candidates) of each part, as merge finds them, all parts at once.  A row of skips has the numbers
+        of a part's first skips; with keys, those after them are drawn, else there are none."""
+        texts = [part.decode("utf-8", "surrogatepass") for part in parts]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        symbols = self.of_char[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin = np.cumsum(sizes) - sizes
+        odd = sizes > LONG
+        odd[np.repeat(np.arange(len(texts)), sizes)[symbols < 0]] = True
+        found, seen = [b""] * len(texts), np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(odd).tolist():
+            own = skips[i].tolist()
+            tokens, seen[i] = self.merge(texts[i], own if keys is None else chain(own, _skips(int(keys[i]), rate, own[-1], len(own))))
+            found[i] = array("I", tokens).tobytes()
+        rows = np.flatnonzero(~odd)
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        for at in range(0, len(rows), MERGED_ROWS):
+            own = rows[at : at + MERGED_ROWS]
+            flat, counts, seen[own] = self._lockstep(symbols, begin[own], sizes[own], skips[own], None if keys is None else keys[own], rate)
+            raw, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, a, b in zip(own.tolist(), [0, *ends], ends, strict=False):
+                found[i] = raw[a:b]
+        return found, seen
+
+    def _lockstep(self, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, skips: np.ndarray, keys: np.ndarray | None, rate: float):
+        """The ids of parts of pieces, one part's behind the other's, their numbers and the numbers of candidates.  A row is a
+        part as a linked list; the column behind the last is its end on both sides."""
+        n, end = len(sizes), int(sizes.max(initial=0))
+        width, base = end + 1, len(self.rank)
+        place = np.arange(width)
+        sym = np.where(place < sizes[:, None], symbols[np.minimum(begin[:, None] + place, len(symbols) - 1)] if len(symbols) else -1, -1).astype(np.int64).ravel()
+        right = np.where(place + 1 < sizes[:, None], place + 1, end).ravel()
+        left = np.tile(np.where(place > 0, place - 1, end), n)
+        ranks, made = np.full(n * width, self.none), np.zeros(n * width, np.int32)
+
+        def look(at: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+            key = np.where((first >= 0) & (second >= 0), first * base + second, -1)
+            found = np.searchsorted(self.pair_keys, key)
+            ranks[at] = np.where(self.pair_keys[found] == key, self.pair_rank[found], self.none)
+            made[at] = self.pair_made[found]
+
+        row0 = np.arange(n) * width
+        at = np.flatnonzero(sym >= 0)
+        look(at, sym[at], sym[at // width * width + right[at]])
+        seen, turn = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        known = skips.shape[1]
+        skip = skips[:, 0].copy() if known else np.full(n, -1, np.int64)
+        table, live = ranks.reshape(n, width), np.arange(n)
+        while len(live):
+            best = table[live].argmin(1)
+            at = row0[live] + best
+            going = ranks[at] < self.none
+            live, at = live[going], at[going]
+            skipped = seen[live] == skip[live]
+            seen[live] += 1
+            over = live[skipped]
+            ranks[at[skipped]] = self.none
+            turn[over] += 1
+            more = turn[over] < known
+            skip[over[more]] = skips[over[more], turn[over[more]]]
+            later = over[~more]
+            skip[later] = -1 if keys is None else skip[later] + 1 + _kept(keys[later], turn[later], rate)
+            at, row = at[~skipped], row0[live[~skipped]]
+            second = row + right[at]
+            third = right[second]
+            sym[at], sym[second], ranks[second] = made[at], -1, self.none
+            right[at], left[row + third] = third, at - row
+            look(at, sym[at], sym[row + third])
+            before = row + left[at]
+            look(before, sym[before], sym[at])
+        kept = sym >= 0
+        return sym[kept].astype(np.uint32), kept.reshape(n, width).sum(1), seen
+
     def _scan(self, symbols: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
         """The agenda as a list of the current pairs' ranks: faster than a heap for a word."""
         get, none = self.rank_of.get, self.none
@@ -214,6 +298,17 @@ class DropoutEncoder:
                 self.known[part, skips] = found
         return found
 
+    def _all_merged(self, wanted: list[tuple[bytes, tuple[int, ...]]], turn: int) -> list[tuple[bytes, int]]:
+        """_merged of each, all with so many skips."""
+        out = list(map(self.known.get, wanted))
+        new = [i for i, known in enumerate(out) if known is None]
+        skips = np.array([wanted[i][1] for i in new], np.int64).reshape(len(new), turn)
+        for i, tokens, n in zip(new, *(x if isinstance(x, list) else x.tolist() for x in self.model.merge_all([wanted[i][0] for i in new], skips)), strict=True):
+            out[i] = tokens, n
+            if len(self.known) < CACHED_PARTS:
+                self.known[wanted[i]] = out[i]
+        return out
+
     def key(self, doc_id, text) -> int:
         return xxhash.xxh64_intdigest(text, xxhash.xxh64_intdigest(str(doc_id), self.seed))
 
@@ -265,25 +360,23 @@ class DropoutEncoder:
             times = np.bincount(code, minlength=len(parents))
             fresh = np.fromiter((p not in self.known for p in parents), bool, len(parents))
             alone = ((times == 1) & fresh | np.fromiter((len(p) > LONG for p, _ in parents), bool, len(parents)))[code]
-            own = active[alone]
-            ahead = [skip[own]]
-            for t in range(turn + 1, turn + 4):
-                ahead.append(ahead[-1] + 1 + _kept(keys[own], t, self.rate))
-            for i, key, at, later in zip(own.tolist(), keys[own].tolist(), code[alone].tolist(), np.stack(ahead, 1).tolist(), strict=True):
-                part, skips = parents[at]
-                tokens, n = self.model.merge(part.decode("utf-8", "surrogatepass"), chain(skips, later, _skips(key, self.rate, later[-1], turn + 4)))
-                node[i] = len(found)
-                where.append((part, ()))
-                found.append(array("I", tokens).tobytes())
-                seen.append(0)
-                if later[-1] >= n and len(part) <= LONG and len(self.known) < CACHED_PARTS:
-                    self.known[part, (*skips, *(x for x in later if x < n))] = found[-1], n
+            own, at = active[alone], code[alone].tolist()
+            skips = np.column_stack([np.array([parents[i][1] for i in at], np.int64).reshape(len(at), turn), skip[own]])
+            tokens, counts = self.model.merge_all([parents[i][0] for i in at], skips, keys[own], self.rate)
+            node[own] = len(found) + np.arange(len(own))
+            where += [(parents[i][0], ()) for i in at]
+            seen += [0] * len(own)
+            found += tokens
+            if len(self.known) < CACHED_PARTS:
+                for i, j in zip(np.flatnonzero(counts <= skip[own]).tolist(), range(CACHED_PARTS - len(self.known)), strict=False):
+                    if len(parents[at[i]][0]) <= LONG:
+                        self.known[parents[at[i]]] = tokens[i], int(counts[i])
             active, code = active[~alone], code[~alone]
             wanted, at = np.unique(code, return_inverse=True)
             base = len(found)
-            for w in wanted.tolist():
-                tokens, n = self._merged(*parents[w])
-                where.append(parents[w])
+            wanted = [parents[w] for w in wanted.tolist()]
+            for part, (tokens, n) in zip(wanted, self._all_merged(wanted, turn), strict=True):
+                where.append(part)
                 found.append(tokens)
                 seen.append(n)
             node[active] = base + at

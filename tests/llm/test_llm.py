@@ -557,6 +557,24 @@ def test_sentencepiece_without_dropout_and_round_trip():
         pieces.SHORT = short
 
 
+@pytest.mark.parametrize("rows", [3, 1 << 14])
+def test_parts_merged_at_once_as_one_by_one(rows, monkeypatch):
+    monkeypatch.setattr(pieces, "MERGED_ROWS", rows)
+    own, rng = pieces.model(SP), np.random.default_rng(5)
+    parts = [p.encode("utf-8", "surrogatepass") for t in odd_texts(30, 4) for p in (t[:9], " " + t[9:40], t) if p]
+    parts += [w.encode() for w in (" internationalisation", "a", " ", "   x", "▁x", " 日本語", "aaaaaaaaaaaa", " \x00é", " word" * 30)]
+    for known in (0, 1, 3):
+        skips = np.cumsum(rng.integers(1, 4, (len(parts), known)), 1) - 1
+        got, seen = own.merge_all(parts, skips)
+        want = [own.merge(p.decode("utf-8", "surrogatepass"), s) for p, s in zip(parts, skips.tolist(), strict=True)]
+        assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [ids for ids, _ in want] and seen.tolist() == [n for _, n in want]
+    keys = rng.integers(0, 2**62, len(parts), dtype=np.uint64)
+    first = pieces._kept(keys, 0, 0.4)
+    got, _ = own.merge_all(parts, first[:, None], keys, 0.4)
+    assert [np.frombuffer(g, np.uint32).tolist() for g in got] == [own.merge(p.decode("utf-8", "surrogatepass"), pieces._skips(int(k), 0.4))[0] for p, k in zip(parts, keys, strict=True)]
+    assert own.merge_all([], np.zeros((0, 2), np.int64))[0] == []
+
+
 def test_dropout_is_drawn_for_each_occurrence(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["the", "international", "of", "segmentation"]) for _ in range(400)) for _ in range(30)] + ["日本語のテキスト" * 40 + " international"] + odd_texts(200, 8)
