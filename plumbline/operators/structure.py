@@ -17,11 +17,11 @@ NODES, EDGES, FROM, TO = ("nodes", "vertices"), ("edges", "links"), ("source", "
 def containers(docs: DataFrame, key: str, raw: str) -> DataFrame:
     """(row_id, path, container, keys): every object of the documents with the name of the member that holds it (its list's
     for an item) and its own keys."""
-    nodes = docs.select(F.col(key).alias("row_id"), F.explode(src.tree(F.col(raw))).alias("n")).where("n.kind = 'object'")
+    nodes = docs.select(F.col(key).alias("row_id"), F.explode(src.objects(F.col(raw))).alias("n"))
     names = F.split("n.path", "/")
     last = F.element_at(names, -1)
     holder = F.when(last.rlike("^[0-9]+$") & (F.size(names) > 2), F.element_at(names, -2)).otherwise(last)
-    return nodes.select("row_id", F.col("n.path").alias("path"), holder.alias("container"), F.array_sort(F.json_object_keys("n.value")).alias("keys"))
+    return nodes.select("row_id", F.col("n.path").alias("path"), holder.alias("container"), F.col("n.keys").alias("keys"))
 
 
 def morphology(docs: DataFrame, key: str, raw: str, share: float = SHAPE, least: int = MIN_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -62,17 +62,21 @@ def _kind(v: Column) -> Column:
 def graphs(docs: DataFrame, key: str, raw: str) -> DataFrame:
     """(row_id, path, nodes, edges, id_key, from_key, to_key): objects that hold a list of nodes and one of edges.  The keys
     are those that all items have; an object whose items don't agree on one is no carrier."""
-    parts = docs.select(F.col(key).alias("row_id"), F.explode(src.tree(F.col(raw))).alias("n")).where("n.kind = 'object'")
-    held = F.json_object_keys("n.value")
-    first = lambda names: F.get(F.array_intersect(F.array(*map(F.lit, names)), held), F.lit(0))
+    parts = docs.select(F.col(key).alias("row_id"), F.explode(src.objects(F.col(raw), (NODES, EDGES))).alias("n"))
+    first = lambda names: F.get(F.array_intersect(F.array(*map(F.lit, names)), "n.keys"), F.lit(0))
     found = parts.withColumns({"nodes": first(NODES), "edges": first(EDGES)}).where("nodes is not null and edges is not null")
     v = F.try_parse_json("n.value")
-    lists = found.select("row_id", F.col("n.path").alias("path"), "nodes", "edges", F.from_json(F.to_json(v), "map<string,string>").alias("m"))
-    items = lambda c: F.from_json(F.element_at("m", F.col(c)), "array<map<string,string>>")
-    lists = lists.withColumns({"ns": items("nodes"), "es": items("edges")}).where("size(ns) > 0 and size(es) > 0")
+    items = lambda m, c: F.from_json(F.element_at(m, F.col(c)), "array<map<string,string>>")
     common = lambda c, names: F.get(F.filter(F.array(*map(F.lit, names)), lambda k: F.forall(c, lambda x: F.map_contains_key(x, k))), F.lit(0))
-    keyed = lists.withColumns({"id_key": common("ns", ("id", "name", "key")), "from_key": common("es", FROM), "to_key": common("es", TO)})
-    return keyed.where("id_key is not null and from_key is not null and to_key is not null").select("row_id", "path", "nodes", "edges", "id_key", "from_key", "to_key")
+
+    def keys(w: Column) -> Column:
+        named = F.struct(common(w["ns"], ("id", "name", "key")).alias("id_key"), common(w["es"], FROM).alias("from_key"), common(w["es"], TO).alias("to_key"))
+        return F.when((F.size(w["ns"]) > 0) & (F.size(w["es"]) > 0), named)
+
+    # Texts are parsed once: a generator's rows are never computed again for a filter on them.
+    told = fn.let({"m": F.from_json(F.to_json(v), "map<string,string>")}, lambda u: fn.let({"ns": items(u["m"], "nodes"), "es": items(u["m"], "edges")}, keys))
+    keyed = found.select("row_id", F.col("n.path").alias("path"), "nodes", "edges", F.explode(F.array(told)).alias("k"))
+    return keyed.where("k.id_key is not null and k.from_key is not null and k.to_key is not null").select("row_id", "path", "nodes", "edges", "k.id_key", "k.from_key", "k.to_key")
 
 
 def evolution(docs: DataFrame, regime: str, raw: str, share: float = 0.95) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -239,6 +240,51 @@ def tree(raw: Column) -> Column:
     return _walker(arrays=True, inner=True)(raw)
 
 
+_OBJECT = T.StructType([T.StructField("path", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("value", T.StringType())])
+
+
+def objects(raw: Column, having: tuple[tuple[str, ...], ...] | None = None) -> Column:
+    """array<struct<path, keys, value>>: every object at any depth with its keys in order, without values; or only objects
+    that have a key of each group in ``having``, with their JSON texts.  Null for a text that isn't strict JSON.  Only what
+    holds something is visited and nothing is written that isn't asked for, which ``tree`` does for every node."""
+
+    @F.arrow_udf(T.ArrayType(_OBJECT))
+    def run(texts: pa.Array) -> pa.Array:
+        ends, paths, keys, key_ends, values, n = [], [], [], [0], [], 0
+        for text in texts.to_pylist():
+            start = n
+            try:
+                stack = [] if text is None else [("", parse_strict(text))]
+            except (ValueError, RecursionError):
+                text = None
+            if text is None:
+                ends.append(None)
+                continue
+            while stack:
+                path, v = stack.pop()
+                if isinstance(v, dict):
+                    if having is None or all(any(k in v for k in group) for group in having):
+                        paths.append(path)
+                        keys += sorted(v)
+                        key_ends.append(len(keys))
+                        values.append(None if having is None else json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+                        n += 1
+                    items = [(k, x) for k, x in v.items() if isinstance(x, dict | list)]
+                elif isinstance(v, list):
+                    items = [(i, x) for i, x in enumerate(v) if isinstance(x, dict | list)]
+                else:
+                    continue
+                items.reverse()
+                stack += [(f"{path}/{k if isinstance(k, int) else escape(k)}", x) for k, x in items]
+            ends.append(start)
+        ends.append(n)
+        own = pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(keys, pa.string()))
+        found = pa.StructArray.from_arrays([pa.array(paths, pa.string()), own, pa.array(values, pa.string())], names=["path", "keys", "value"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+
+    return run(raw)
+
+
 def object_array_paths(raw: Column, least: int = 3) -> Column:
     """Pointers of all arrays, at any depth, of at least so many items that are all objects."""
 

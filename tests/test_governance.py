@@ -195,6 +195,14 @@ def test_structure_of_documents(spark):
     assert st.graphs(spark.createDataFrame([(1, "{}"), (2, None)], "id long, raw string"), "id", "raw").count() == 0
 
 
+def test_structure_writes_no_node_that_it_does_not_need(spark, monkeypatch):
+    monkeypatch.setattr(st.src, "tree", None)
+    rows = [(i, json.dumps({"g": {"nodes": [{"id": i}], "links": [{"from": 1, "to": i}, {"from": 2, "dst": i} if i == 3 else {"from": 2, "to": i}]}})) for i in range(8)]
+    docs = spark.createDataFrame(rows, "id long, raw string")
+    assert [(r["row_id"], r["path"], r["missing"]) for r in st.morphology(docs, "id", "raw")[1].collect()] == [(3, "/g/links/1", "to")]
+    assert sorted(tuple(r) for r in st.graphs(docs, "id", "raw").collect()) == [(i, "/g", "nodes", "links", "id", "from", "to") for i in range(8) if i != 3]
+
+
 def test_order_and_migration(spark):
     rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "id string, position long")
     chain = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")

@@ -352,3 +352,16 @@ def test_pointers():
 
     assert re.match(fn.glob_regex("/a/*/c"), "/a/b/c") and not re.match(fn.glob_regex("/a/*/c"), "/a/b/d/c")
     assert re.match(fn.glob_regex("/a/**"), "/a/b/d") and re.match(fn.glob_regex("/a/**"), "/a")
+
+
+ODD = ['{"a":{"b":[{"c":null,"a":1},2,[{"5":{"z":{}}}]]},"d":1.5}', '[{"b":1,"a/b":{"~":{}}},"x"]', "7", '{"a":1,"a":2}', '{"a":"\\ud800"}', '{"\\ud83d\\ude00":{"\u00e9":[]}}', '{"x":[NaN]}', '{"a":{}} x', "", None]
+
+
+def test_objects_are_those_of_the_tree(spark):
+    raw = spark.createDataFrame([(i, x) for i, x in enumerate(ODD)], "i int, raw string")
+    of_tree = raw.select("i", F.explode(src.tree(F.col("raw"))).alias("n")).where("n.kind = 'object'").select("i", "n.path", F.array_sort(F.json_object_keys("n.value")).alias("keys"))
+    got = raw.select("i", F.explode(src.objects(F.col("raw"))).alias("n")).select("i", "n.path", "n.keys")
+    assert got.collect() == of_tree.collect() and got.count() == 11
+    assert [r["i"] for r in raw.where(src.objects(F.col("raw")).isNull()).collect()] == [3, 4, 6, 7, 8, 9]
+    some = raw.select(F.explode(src.objects(F.col("raw"), (("a", "q"), ("c", "d")))).alias("n")).select("n.path", "n.value").collect()
+    assert [tuple(r) for r in some] == [("", '{"a":{"b":[{"a":1,"c":null},2,[{"5":{"z":{}}}]]},"d":1.5}'), ("/a/b/0", '{"a":1,"c":null}')]
