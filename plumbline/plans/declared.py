@@ -12,7 +12,7 @@ from ..operators import repair as rp
 from ..operators import rules as rl
 from ..operators import schema as sc
 from ..operators import systems as sy
-from ..sources.shared import cutter
+from ..sources.shared import cutter, dealt
 from ..sources.syntax import repaired
 from ..streaming import batches
 from .inputs import t, using, view
@@ -261,13 +261,13 @@ def scan_object_arrays(spark, d):
 def scan_leaf_paths(spark, d):
     """Scalar leaves at any depth; arrays are values."""
     raw = t(spark, d, "part").selectExpr("p_partkey", """concat('{"size":', p_size, ',"a/b":{"name":"', p_brand, '","list":[', p_size, '],"x":{"x":{"x":{"x":{"x":{"deep":null}}}}}}}') AS raw""")
-    return raw.select("p_partkey", F.explode(src.leaves(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
+    return dealt(raw, "p_partkey").select("p_partkey", F.explode(src.leaves(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
 
 
 def scan_tree_walk(spark, d):
     """Every node of a document, containers before what they hold."""
     raw = t(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.array(F.struct(F.col("p_size").alias("n"))).alias("list"), F.col("p_brand").alias("name"))).alias("raw"))
-    return raw.select("p_partkey", F.explode(src.tree(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
+    return dealt(raw, "p_partkey").select("p_partkey", F.explode(src.tree(F.col("raw"))).alias("x")).select("p_partkey", "x.*")
 
 
 

@@ -11,7 +11,7 @@ from .. import sources as src
 from ..operators import patches as pt
 from ..operators import schema as sc
 from ..sources import syntax
-from ..sources.shared import shared_folder
+from ..sources.shared import dealt, shared_folder
 from .inputs import t, using, view
 
 
@@ -268,6 +268,7 @@ def _keyword(name):
 
     def query(spark, d):
         raw = t(spark, d, "part").selectExpr("p_partkey", f"CAST({text.format(n='p_partkey', s='p_size')} AS STRING) AS raw")
+        raw = dealt(raw, "p_partkey")
         found = sc.violations(raw, "p_partkey", "raw", schema).where(F.col("code") == f"schema_{code}")
         ok = sc.validate(raw, "raw", schema)
         return ok.join(found.withColumnRenamed("row_id", "p_partkey"), "p_partkey", "left").select("p_partkey", "path", "new_value", "ok")

@@ -13,7 +13,7 @@ from ..operators import dependencies as dep
 from ..operators import governance as gv
 from ..operators import repair as rp
 from ..operators import structure as st
-from ..sources.shared import cutter, shared_folder
+from ..sources.shared import cutter, dealt, shared_folder
 from .inputs import t, using, view
 
 #: Options that Spark and the SQL read alike.
@@ -254,7 +254,7 @@ def morphology_relations(spark, d):
 def graph_discover(spark, d):
     """Documents that hold a graph, by the names and keys of its lists; one whose edges don't agree on a key is none."""
     raw = t(spark, d, "part").selectExpr("p_partkey", """CASE p_partkey % 4 WHEN 0 THEN concat('{"g":{"nodes":[{"id":', p_size, '}],"links":[{"from":1,"to":', p_size, '}]}}') WHEN 1 THEN '{"vertices":[{"id":1}],"edges":[{"source":1,"dst":1},{"source":1}]}' WHEN 2 THEN '{"vertices":[{"name":"a"}],"edges":[{"src":1,"target":1}]}' ELSE '{"nodes":[],"edges":[]}' END AS raw""")
-    return st.graphs(raw, "p_partkey", "raw")
+    return st.graphs(dealt(raw, "p_partkey"), "p_partkey", "raw")
 
 
 def schema_evolution(spark, d):
