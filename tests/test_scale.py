@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.plans import catalog
+from plumbline.plans import catalog, streams
 from plumbline.sources.shared import ROWS, dealt, tasks
+from plumbline.streaming import batches
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,3 +24,20 @@ def test_rows_are_dealt_by_their_number(spark):
 def test_a_scan_of_one_task_is_dealt_before_documents_are_parsed(spark):
     for name in ("graph_discover", "schema_ref", "schema_patternProperties", "scan_tree_walk", "scan_leaf_paths"):
         assert "RepartitionByExpression" in plan(catalog.QUERIES[name](spark, SF)), name
+
+
+def test_files_of_a_stream_are_dealt_by_their_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    folder, schema, files = streams._landed(spark, spark.range(60_000))
+    landed = spark.read.schema(schema).parquet(folder)
+    assert len(landed.inputFiles()) == streams.PARTS * cores and files == cores and landed.count() == 60_000
+    folder, schema, files = streams._landed(spark, spark.range(60), spark.range(7 * ROWS).select("id"))
+    assert len(spark.read.schema(schema).parquet(folder).inputFiles()) <= max(7, streams.PARTS * cores) and files == max(1, min(cores, max(7, streams.PARTS * cores) // streams.PARTS))
+    folder, _, files = streams._landed(spark, spark.range(60))
+    assert files == 1 and len(spark.read.parquet(folder).inputFiles()) == streams.PARTS
+
+
+def test_batches_of_several_files_add_up(spark):
+    rows = spark.range(30_000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("d"), (F.col("id") % 7 % 3).cast("string").alias("v"))
+    got = batches.functional(rows, spark).collect()
+    assert {r["d"]: (r["mode"], r["n"]) for r in got} == {str(i): (str(i % 3), len(range(i, 30_000, 7))) for i in range(7)}
