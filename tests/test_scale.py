@@ -1,7 +1,12 @@
 """What holds a task's work within bounds as tables grow."""
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
+from plumbline import functions as fn
+from plumbline.operators import aggregates as agg
 from plumbline.plans import catalog, streams
 from plumbline.sources.shared import ROWS, dealt, tasks
 from plumbline.streaming import batches
@@ -10,6 +15,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", 10_000)
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -41,3 +47,23 @@ def test_batches_of_several_files_add_up(spark):
     rows = spark.range(30_000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("d"), (F.col("id") % 7 % 3).cast("string").alias("v"))
     got = batches.functional(rows, spark).collect()
     assert {r["d"]: (r["mode"], r["n"]) for r in got} == {str(i): (str(i % 3), len(range(i, 30_000, 7))) for i in range(7)}
+
+
+def test_plain_numbers_are_exact_without_a_look_at_their_digits(spark):
+    texts = ["17", "-0.5", "+3.140000000", " 8 ", "9\n", "1" * 28, "1" * 29, "1" * 30, "0.123456789", "0.1234567891", "0.1234567890", "1e3", "12e-10", ".5", "5.", "", ".", "-", "1 2", "0x1", "NaN", "1d", None]
+    want = ["17", "-0.5", "3.14", "8", "9", "1" * 28, "1" * 29, None, "0.123456789", None, "0.123456789", "1000", None, "0.5", "5", None, None, None, None, None, None, None, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", fn.exact("t").alias("x"))
+    assert [r["x"] for r in df.orderBy("i").collect()] == [None if w is None else Decimal(w) for w in want]
+    assert "RLIKE" in plan(df)
+    numbers = spark.createDataFrame([(17.0,), (-0.0,), (1e7,), (9007199254740993.0,), (0.05,), (0.1 + 0.2,), (1e300,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in numbers.select(fn.exact("x")).collect()] == [Decimal(17), Decimal(0), Decimal(10**7), Decimal(9007199254740992), Decimal("0.05"), None, None, None, None]
+
+
+def test_products_of_whole_numbers_are_short_unless_they_overflow(spark):
+    big = 10**10
+    kids = spark.createDataFrame([(p, big + p, i) for p in range(6) for i in (1, 2)], "p long, size long, line int")
+    parents = spark.createDataFrame([(p, Decimal(big + p), Decimal(0)) for p in range(6)], "p long, avg_size decimal(38,0), var_size decimal(38,0)")
+    df = agg.inferred_moments(parents, "p", ["avg_size", "var_size"], kids, "p", ["size", "line"])
+    assert ("mean", "avg_size", "size", None, 6) in [(r["kind"], r["output"], r["value"], r["weight"], r["support"]) for r in df.collect()]
+    assert ("weighted_mean", "avg_size", "size", "line", 6) in [(r["kind"], r["output"], r["value"], r["weight"], r["support"]) for r in df.collect()]
+    assert re.search(r"size#\d+L( \*|,) size#\d+L", plan(df))
