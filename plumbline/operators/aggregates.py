@@ -51,10 +51,13 @@ def declared(parents: DataFrame, key: str, target: str, children: DataFrame, for
 def multisets(left: DataFrame, right: DataFrame, group: str, pairs: list[tuple[str, str]], confidence: float = CONFIDENCE) -> DataFrame:
     """(key, quantity, support, decided): pairs of a key and a quantity by which two lists of a group hold the same nearly
     always, whatever the order and however the quantities are split."""
+    from .references import side_by_side
+
     out = None
     for key, quantity in pairs:
-        total = lambda df, n: df.groupBy(F.col(group).alias("g"), F.col(key).cast("string").alias("k")).agg(exact_sum(exact(quantity)).alias(n))
-        both = total(left, "a").join(total(right, "b"), ["g", "k"], "full_outer")
+        own = lambda df: df.select(F.col(group).alias("g"), F.col(key).cast("string").alias("k"), exact(quantity).alias("x"))
+        both = side_by_side(own(left), own(right), ["g", "k"], {"a": F.col("x")}, {"b": F.col("x")})
+        both = both.groupBy("g", "k", "apart").agg(exact_sum(F.col("a")).alias("a"), exact_sum(F.col("b")).alias("b"))
         by_group = both.groupBy("g").agg(F.bool_and(F.coalesce(F.coalesce("a", F.lit(0).cast(DEC)) == F.coalesce("b", F.lit(0).cast(DEC)), F.lit(False))).alias("same"))
         one = by_group.agg(F.lit(key).alias("key"), F.lit(quantity).alias("quantity"), F.count(F.when(F.col("same"), 1)).alias("support"), F.count(F.lit(1)).alias("decided"))
         out = one if out is None else out.unionByName(one)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import functions as fn
 from plumbline.operators import aggregates as agg
+from plumbline.operators import references as ref
 from plumbline.plans import catalog, streams
 from plumbline.sources.shared import ROWS, dealt, tasks
 from plumbline.streaming import batches
@@ -67,3 +68,24 @@ def test_products_of_whole_numbers_are_short_unless_they_overflow(spark):
     assert ("mean", "avg_size", "size", None, 6) in [(r["kind"], r["output"], r["value"], r["weight"], r["support"]) for r in df.collect()]
     assert ("weighted_mean", "avg_size", "size", "line", 6) in [(r["kind"], r["output"], r["value"], r["weight"], r["support"]) for r in df.collect()]
     assert re.search(r"size#\d+L( \*|,) size#\d+L", plan(df))
+
+
+def test_residue_is_that_of_a_full_outer_join_without_a_sort(spark):
+    left = spark.createDataFrame([(1, "a", 5), (1, "a", 2), (1, "b", None), (2, None, 4), (None, "a", 1), (3, "c", 1), (4, "d", 0)], "g long, k string, q int")
+    right = spark.createDataFrame([(1, "a", 7), (1, "b", 3), (2, None, 4), (None, "a", 1), (5, "e", 9), (6, "f", 0)], "g long, k string, q long")
+    total = lambda df, n: df.groupBy("g", "k").agg(F.sum("q").alias(n))
+    want = total(left, "left_quantity").join(total(right, "right_quantity"), ["g", "k"], "full_outer").na.fill(0, ["left_quantity", "right_quantity"])
+    want = want.withColumn("difference", F.col("left_quantity") - F.col("right_quantity")).where("difference <> 0")
+    got = ref.residue(left, right, "g", "k", "q")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
+    long = spark.range(2 * ROWS).select(F.col("id").alias("g"), (F.col("id") % 3).cast("string").alias("k"), F.lit(1).alias("q"))
+    assert re.search(rf"RepartitionByExpression \[g#\d+L?, k#\d+\], {max(4, spark.sparkContext.defaultParallelism)}\b", plan(ref.residue(long, long, "g", "k", "q")))
+
+
+def test_lists_without_keys_are_never_the_same(spark):
+    rows = [(g, f"k{g % 3}", g, 1) for g in range(40)]
+    left = spark.createDataFrame([*rows, (None, "z", 1, 1)], "g long, k string, q long, m int")
+    right = spark.createDataFrame([*rows, (None, "z", 1, 1)], "g long, k string, q long, m int")
+    df = agg.multisets(left, right, "g", [("k", "q"), ("k", "m")])
+    assert sorted((r["key"], r["quantity"], r["support"], r["decided"]) for r in df.collect()) == [("k", "m", 40, 41), ("k", "q", 40, 41)]
+    assert "Join" not in plan(df) and "RepartitionByExpression" in plan(df)
