@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import tasks
 from . import repair as rp
 from .repair import CELL
 from .systems import components
@@ -138,9 +139,15 @@ def symmetric(options: DataFrame, members: DataFrame) -> DataFrame:
     """(row_id, array_path, options): choices that differ only by which of several equal members of an array they touch.  No
     evidence tells such members apart, so the choice is blocked.  options: (row_id, option_id, array_path, position);
     members: (row_id, array_path, position, member)."""
-    touched = options.join(members, ["row_id", "array_path", "position"]).withColumn("same", F.sha2("member", 256))
-    tied = touched.groupBy("row_id", "array_path", "same").agg(F.count_distinct("position").alias("places"), F.count_distinct("option_id").alias("options")).where("places > 1 and options > 1")
-    return tied.groupBy("row_id", "array_path").agg(F.sum("options").alias("options"))
+    n = tasks(members.sparkSession, members.count())
+    there = "row_id is not null and array_path is not null and position is not null"
+    # One column each: of several, a constant one would be taken out of the join's keys and all rows dealt again.
+    place = F.struct("row_id", "array_path", "position").alias("place")
+    same = F.when(F.length("member") > 64, F.concat(F.lit("#"), F.sha2("member", 256))).otherwise(F.concat(F.lit("="), "member"))
+    touched = options.where(there).select(place, "option_id").repartition(n, "place").join(members.where(there).select(place, same.alias("same")).repartition(n, "place"), "place")
+    equal = touched.select(F.struct("place.row_id", "place.array_path", "same").alias("equal"), "place.position", "option_id").repartition(n, "equal")
+    tied = equal.groupBy("equal").agg((F.min("position") < F.max("position")).alias("several"), F.count_distinct("option_id").alias("options")).where("several and options > 1")
+    return tied.groupBy("equal.row_id", "equal.array_path").agg(F.sum("options").alias("options"))
 
 
 def resolved_sets(df: DataFrame, key: str, candidates: DataFrame, rules: dict[str, Column], fields: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import functions as fn
 from plumbline.operators import aggregates as agg
+from plumbline.operators import conflicts as cf
 from plumbline.operators import references as ref
 from plumbline.plans import catalog, streams
 from plumbline.sources.shared import ROWS, dealt, tasks
@@ -89,3 +90,22 @@ def test_lists_without_keys_are_never_the_same(spark):
     df = agg.multisets(left, right, "g", [("k", "q"), ("k", "m")])
     assert sorted((r["key"], r["quantity"], r["support"], r["decided"]) for r in df.collect()) == [("k", "m", 40, 41), ("k", "q", 40, 41)]
     assert "Join" not in plan(df) and "RepartitionByExpression" in plan(df)
+
+
+def test_equal_members_are_told_by_place(spark):
+    long = "m" * 70
+    members = [(1, "/a", 1, "x"), (1, "/a", 2, "x"), (1, "/a", 3, "y"), (1, "/b", 1, long), (1, "/b", 2, long), (1, "/b", 2, "x"), (2, "/a", 1, "x"), (2, "/a", 1, "x"), (3, "/a", 1, None), (3, "/a", 2, None), (None, "/a", 1, "x"), (None, "/a", 2, "x"), (4, "/a", None, "x"), (4, "/a", 2, "x")]
+    options = [(r, p, at, o) for r in (1, 2, 3, None, 4) for p in ("/a", "/b") for at, o in ((1, "o1"), (2, "o2"), (2, "o3"), (3, "o4"), (None, "o5"))]
+    df = cf.symmetric(spark.createDataFrame(options, "row_id long, array_path string, position int, option_id string"), spark.createDataFrame(members, "row_id long, array_path string, position int, member string"))
+    found = {}
+    for r, p, at, m in members:
+        for r2, p2, at2, o in options:
+            if (r, p, at) == (r2, p2, at2) and None not in (r, at):
+                found.setdefault((r, p, m), []).append((at, o))
+    want = {}
+    for (r, p, _), hits in found.items():
+        if len({at for at, _ in hits}) > 1 and len({o for _, o in hits}) > 1:
+            want[r, p] = want.get((r, p), 0) + len({o for _, o in hits})
+    assert {(r["row_id"], r["array_path"]): r["options"] for r in df.collect()} == want and len(want) == 3
+    constant = spark.range(4 * ROWS).select(F.col("id").alias("row_id"), F.lit("/l").alias("array_path"), F.lit(1).alias("position"), F.lit("x").alias("member"))
+    assert len(re.findall(rf"RepartitionByExpression .*, {max(4, spark.sparkContext.defaultParallelism)}\b", plan(cf.symmetric(constant.withColumnRenamed("member", "option_id"), constant)))) == 3
